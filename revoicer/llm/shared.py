@@ -133,3 +133,19 @@ def file_system(uri: str):
     if "://" not in uri and not uri.startswith("file:"):
         uri = "file://" + os.path.abspath(uri)
     return fs.FileSystem.from_uri(uri)
+
+
+def with_columns(docs: DataFrame, fn: Callable, fields: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``docs`` (or its columns ``keep``) with what ``fn(batch, texts)`` adds, by
+    ``mapInArrow``; ``fields`` is the DDL of the added columns. No join, no shuffle."""
+    added = T._parse_datatype_string(fields)
+    keep = docs.columns if keep is None else keep
+    out = T.StructType([docs.schema[c] for c in keep] + added.fields)
+    arrow = arrow_schema(added)
+
+    def run(batches):
+        for batch, texts in slices(batches, text):
+            more = record(fn(batch, texts), arrow)
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in keep] + more.columns, names=[*keep, *arrow.names])
+
+    return docs.mapInArrow(run, out)
