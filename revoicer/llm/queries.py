@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, toxicity
+from . import quality, sharding, toxicity
 from .shared import table
 
 
@@ -10,11 +10,15 @@ def op3_feistel_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_divergence_rules(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity_bigru(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_feistel_sharding, op10_toxicity_bigru)}
+QUERIES = {f.__name__: f for f in (op3_feistel_sharding, op4_divergence_rules, op10_toxicity_bigru)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
