@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, toxicity
+from . import packing, quality, sharding, toxicity
 from .shared import table
 
 
+def vocabulary(name: str) -> str:
+    """The text of a public vocabulary file, read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op1_pattern_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op3_feistel_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -18,7 +30,7 @@ def op10_toxicity_bigru(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_feistel_sharding, op4_divergence_rules, op10_toxicity_bigru)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op3_feistel_sharding, op4_divergence_rules, op10_toxicity_bigru)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
