@@ -33,9 +33,9 @@ CHUNK = 4096
 class Sample:
     """Bounds of the labelled sample that the network is fitted on."""
 
-    positives: int = 2000
-    negatives: int = 4000
-    windows: int = 24  # of each document, spread evenly over the whole text
+    positives: int = 1500
+    negatives: int = 3000
+    windows: int = 12  # of each document, spread evenly over the whole text
     steps: int = 450
     batch: int = 96
     seed: int = 7
@@ -83,6 +83,11 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return bucket, grams[order].astype(np.int64), np.bincount(owners, minlength=len(words))
 
 
+def spans(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (counts[0] of them), first[1], ..."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 def group_mean(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out = np.zeros((len(counts), values.shape[1]), dtype=np.float32)
     has = counts > 0
@@ -253,17 +258,16 @@ def fit_texts(rows: list[tuple[list[str], int]], sample: Sample = Sample()) -> d
     place, mask, owner = windows(sizes)
     if not len(owner):
         return {"p": None, "prior": prior, "scale": (1.0, 0.0)}
-    index, of = flat[place], doc[owner]
+    index, of = flat[place].astype(np.int32), doc[owner]
     offset = np.cumsum(counts) - counts
     # The first number of each embedding starts at the log odds of its documents.
-    word_doc = np.unique(np.stack([doc[np.repeat(np.arange(len(pieces)), sizes)], flat]), axis=1)
-    rep = np.repeat(np.arange(word_doc.shape[1]), counts[word_doc[1]])
-    nth = np.arange(len(rep)) - np.repeat(np.cumsum(counts[word_doc[1]]) - counts[word_doc[1]], counts[word_doc[1]])
-    for name, b, d in (("Ew", bucket[word_doc[1]], word_doc[0]), ("Ec", grams[offset[word_doc[1]][rep] + nth], word_doc[0][rep])):
-        pairs = np.unique(np.stack([d, b]), axis=1)
-        n = len(p[name])
-        pos = np.bincount(pairs[1], weights=y[pairs[0]], minlength=n)
-        neg = np.bincount(pairs[1], weights=1 - y[pairs[0]], minlength=n)
+    seen = {"Ew": np.zeros((2, WORD_BUCKETS)), "Ec": np.zeros((2, GRAM_BUCKETS))}
+    edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(ws) for ws, _ in rows])])]
+    for d, label in enumerate(y.astype(int)):  # document by document: no table of all n-grams
+        own = np.unique(flat[edges[d] : edges[d + 1]])
+        seen["Ew"][label, np.unique(bucket[own])] += 1
+        seen["Ec"][label, np.unique(grams[spans(offset[own], counts[own])])] += 1
+    for name, (neg, pos) in seen.items():
         odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
         p[name][:, 0] = np.where(pos + neg >= 2, np.clip(odds, -3, 3) / 2, 0)
     p["Ew"][0] = 0
@@ -292,7 +296,7 @@ def fit_texts(rows: list[tuple[list[str], int]], sample: Sample = Sample()) -> d
         used, inverse = np.unique(ix, return_inverse=True)
         c = counts[used]
         g_rep = np.repeat(np.arange(len(used)), c)
-        g_at = grams[np.repeat(offset[used], c) + np.arange(len(g_rep)) - np.repeat(np.cumsum(c) - c, c)]
+        g_at = grams[spans(offset[used], c)]
         x = word_vectors(p, bucket[used], g_at, c)
         _, grad, dx = loss_gradient(p, x[inverse.reshape(ix.shape)], m, target)
         dword = np.zeros((len(used), x.shape[1]), dtype=np.float32)
