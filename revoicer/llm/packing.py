@@ -14,9 +14,11 @@ lengths, which has ``max_len`` numbers whatever the size of the corpus:
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,9 @@ from pyspark.sql import types as T
 
 from .shared import arrow_schema, column, ids_and_text, materialise, record, slices
 
-GRAIN, DEPTH = 32, 4
+GRAIN, DEPTH = 16, 3
 #: Distinct words whose ids one Python worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _memory: dict[str, object] = {}
 
 
@@ -44,7 +46,9 @@ class WordCoder:
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.folds = '"Lowercase"' in tokenizer_json
         self.clear()
 
     def clear(self) -> None:
@@ -55,29 +59,30 @@ class WordCoder:
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            sizes = np.array(list(map(len, ids)))
             n, total = len(self.known), int(sizes.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while n + len(part) + 1 > len(self.start):
                 self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
+            self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
             self.start[n : n + len(part) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
             self.used += total
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other (each closed by ``end``), and their counts."""
-        parts = [t.split() for t in texts]
-        distinct = set().union(*parts) if parts else set()
-        fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.clear()
-            fresh = list(distinct)
-        self.add(fresh)
+        # The normaliser maps A-Z to a-z, so folding them first changes no id.
+        parts = [(t.lower() if self.folds else t).split() for t in texts]
+        words = list(chain.from_iterable(parts))
+        word = np.array(list(map(self.known.get, words, repeat(-1))), dtype=np.int64)
+        if len(fresh := {words[i] for i in np.flatnonzero(word < 0)}):
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.clear()
+                fresh = set(words)
+            self.add(list(fresh))
+            word = np.array(list(map(self.known.__getitem__, words)), dtype=np.int64)
         n_words = np.fromiter(map(len, parts), np.int64, len(parts))
-        known = self.known
-        word = np.fromiter((known[w] for p in parts for w in p), np.int64, int(n_words.sum()))
         sizes = self.start[word + 1] - self.start[word]
         before = np.concatenate([[0], np.cumsum(sizes)])
         edge = np.concatenate([[0], np.cumsum(n_words)])
@@ -153,11 +158,14 @@ def length_patterns(bins: int, depth: int) -> np.ndarray:
     return np.array([x + [0] * (depth - len(x)) for x in found], dtype=np.int64)
 
 
-def nnls(A: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
+def nnls(A: np.ndarray, b: np.ndarray, rounds: int = 600, tolerance: float = 1e-3) -> np.ndarray:
     """min |Ax - b|, x >= 0, by the active-set method of Lawson and Hanson."""
     x, passive = np.zeros(A.shape[1]), np.zeros(A.shape[1], dtype=bool)
     for _ in range(rounds):
-        w = A.T @ (b - A @ x)
+        rest = b - A @ x
+        if np.abs(rest).sum() <= tolerance * b.sum():
+            break
+        w = A.T @ rest
         w[passive] = -np.inf
         j = int(np.argmax(w))
         if w[j] <= 1e-9 * max(1.0, float(np.abs(b).max())):
@@ -215,7 +223,10 @@ class Plan:
         bins = -(-self.max_len // GRAIN)
         if self.max_len % GRAIN or not self.left.any():
             return
-        histogram = np.add.reduceat(self.left[1:], np.arange(0, self.max_len, GRAIN)).astype(float)
+        # A length counts as the nearest multiple of GRAIN, so that the fit neither over- nor
+        # understates what a sequence holds; shorter ones than half of it wait for the rest.
+        near = (np.arange(self.max_len + 1) + GRAIN // 2 - 1) // GRAIN
+        histogram = np.bincount(near, weights=self.left, minlength=bins + 1)[1 : bins + 1]
         patterns = length_patterns(bins, DEPTH)
         patterns = patterns[(patterns < bins).all(axis=1)]
         A = np.zeros((bins, len(patterns)))
@@ -226,21 +237,23 @@ class Plan:
         for i in np.argsort(-repeats, kind="stable"):
             if not repeats[i]:
                 break
-            slots, need = [int(b) for b in patterns[i] if b], defaultdict(int)
+            slots, need = sorted((int(b) for b in patterns[i] if b), reverse=True), defaultdict(int)
             for b in slots:
                 need[b] += 1
-            have = {b: int(self.left[(b - 1) * GRAIN + 1 : b * GRAIN + 1].sum()) for b in need}
+            have = {b: int(self.left[near == b].sum()) for b in need}
             n = min(int(repeats[i]), *(have[b] // need[b] for b in need))
-            if n > 0:
-                self.fill(slots, n)
+            if n > 0 and slots[-1] * GRAIN >= (len(slots) - 1) * GRAIN // 2:
+                self.fill(slots[:-1], n)
 
     def fill(self, slots: list[int], n: int) -> None:
-        """n sequences with a piece of each slot's bin; equal ones are put as runs."""
+        """n sequences with a piece for each given slot, the longest of its bin; equal ones
+        are put as runs. A pattern's least slot stays open: best fit then gives each
+        sequence the piece that suits its exact room."""
         runs = []
         reserved = np.zeros_like(self.left)
         for b in slots:
             own, need = [], n
-            for length in range(b * GRAIN, (b - 1) * GRAIN, -1):
+            for length in range(min(b * GRAIN + GRAIN - GRAIN // 2, self.max_len), b * GRAIN - GRAIN // 2, -1):
                 if take := min(need, int(self.left[length] - reserved[length])):
                     own.append((length, take))
                     reserved[length] += take
