@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding, toxicity
+from . import neardup, packing, quality, sharding, toxicity
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op1_pattern_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_bag_minhash(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_feistel_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_toxicity_bigru(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op3_feistel_sharding, op4_divergence_rules, op10_toxicity_bigru)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op10_toxicity_bigru)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
