@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, quality, sharding, toxicity, warc
+from . import class_lm, neardup, packing, quality, sharding, toxicity, warc
 from .shared import table
 
 
@@ -30,6 +30,10 @@ def op4_divergence_rules(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op6_brown_class_lm(spark, sf_dir):
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_capture_index(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -38,7 +42,7 @@ def op10_toxicity_bigru(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op8_warc_capture_index, op10_toxicity_bigru)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op6_brown_class_lm, op8_warc_capture_index, op10_toxicity_bigru)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}

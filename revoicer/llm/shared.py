@@ -56,8 +56,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches to slices of about SLICE_BYTES of text; yields each with
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cut Arrow batches to slices of about ``limit`` bytes of text; yields each with
     its texts as UTF-8 bytes (null: empty)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -67,7 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
         ends = np.cumsum(sizes)
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at), [x or b"" for x in column.slice(at, to - at).to_pylist()]
             at = to
 
