@@ -11,17 +11,19 @@ component of links, exact copies included.
    shingle and the block alone. A weight w keeps the points of levels under w. The
    earliest point of each register is the signature; two signatures agree in a register
    with a probability of exactly the weighted Jaccard similarity.
-3. BANDS bands of ROWS registers: texts that agree in a band meet in a bucket. In a
-   bucket, a text is held against leaders only: it follows a leader of nearly the same
-   signature, or leads itself. Pairs whose signatures agree in fewer than FLOOR of the
-   registers are left out (0.8 is seven standard errors above).
-4. Every pair that is left is verified on the multisets themselves. Where a follower's
-   leader fails against a text of another class by a small margin, the followers
-   themselves are verified, as far as the triangle inequality leaves it open.
-5. Components by contraction: classes hook onto their least neighbour, round by round.
-
-No step holds a bucket, a class or the links on the driver or in one Python group: data
-stream through sorted partitions, and large buckets are split, clustered, and merged.
+3. BANDS bands of ROWS registers: texts that agree in a band meet in a bucket. Pairs of a
+   bucket whose signatures agree in fewer than FLOOR of the registers are left out: 0.8
+   lies four standard errors above, so that costs less than the bands themselves do.
+4. First, in the buckets of some bands, every text is paired with the nearest of those
+   before it (a tree per bucket, not all pairs). Pairs are verified on the multisets
+   themselves, and links make classes.
+5. Then only texts outside their bucket's largest class matter: each is held against
+   the texts of other classes, nearest first, more in every round, until each pair that
+   could join two classes has been verified. Members of one class are never paired.
+6. Components by contraction: classes hook onto their least neighbour, round by round.
+
+No step holds a bucket, a class or the links on the driver or in one Python group: rows
+stream through sorted partitions, and large buckets are cut to cells of bounded size.
 """
 
 from __future__ import annotations
@@ -41,10 +43,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Share of registers that must agree before a pair is verified; that at which one text follows another.
-FLOOR, FOLLOW = 0.55, 0.97
-#: Members of a bucket that are clustered in one go.
-BUCKET = 2048
+#: Registers that must agree before a pair is verified.
+FLOOR = int(0.66 * REGISTERS)
+#: Bands whose buckets make the first trees.
+FIRST_BANDS = 5
+#: A cell of a bucket holds so many members, and so many texts outside the largest class.
+MEMBERS, STRAYS = 2048, 256
+#: Partners that a text outside the largest class is verified against, by round; the last has no bound.
+PARTNERS = (1, 16, 256, 1 << 40)
 #: Members verified against one copy of their leader's text.
 CHUNK = 256
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,67 +189,95 @@ def sign(docs: DataFrame) -> DataFrame:
 # ---- candidates -------------------------------------------------------------
 
 
-def agreeing(leaders: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (leaders == one).sum(axis=1) / REGISTERS
+def meetings(texts: DataFrame) -> DataFrame:
+    """(bucket, band, key, n): the buckets of two texts and more, n texts each."""
+    met = texts.where("bands is not null").select("key", F.posexplode("bands").alias("band", "bucket"))
+    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return met.join(sizes, "bucket").select("bucket", "band", "key", "n")
+
 
+def cells_of(part: str, size: int):
+    return F.pmod(F.xxhash64("key", F.lit(part)), F.greatest(F.lit(1), F.ceil(F.col(part) / size))).cast("int")
 
-def clustered(rows: DataFrame) -> DataFrame:
-    """One pass of leader clustering over (bucket, salt, key, short), sorted: pairs
-    (a leads, b) with ``follows``; and every leader as (leader, leader)."""
-    struct = T._parse_datatype_string(PAIRS)
+
+def first_pairs(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b): in each cell of a bucket, each text and the nearest before it."""
+    struct = T._parse_datatype_string("a binary, b binary")
     arrow = arrow_schema(struct)
 
     def run(batches):
-        now, leads, keys, out = None, np.zeros((64, REGISTERS), np.uint8), [], []
+        now, seen, keys = None, np.zeros((64, REGISTERS), np.uint8), []
+        for batch in batches:
+            a, b = [], []
+            for bucket, cell, key, short in zip(*(column(batch, c).to_pylist() for c in ("bucket", "cell", "key", "short")), strict=True):
+                if (bucket, cell) != now:
+                    now, keys = (bucket, cell), []
+                one = np.frombuffer(short, np.uint8)
+                if keys:
+                    like = (seen[: len(keys)] == one).sum(axis=1)
+                    near = int(np.argmax(like))
+                    if like[near] >= FLOOR:
+                        a.append(keys[near])
+                        b.append(key)
+                if len(keys) == len(seen):
+                    seen = np.concatenate([seen, np.zeros_like(seen)])
+                seen[len(keys)] = one
+                keys.append(key)
+            yield record({"a": a, "b": b}, arrow)
+
+    rows = met.where(F.col("band") < FIRST_BANDS).withColumn("cell", cells_of("n", MEMBERS)).join(texts.select("key", "short"), "key").select("bucket", "cell", "key", "short")
+    return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "key").mapInArrow(run, struct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def open_pairs(met: DataFrame, texts: DataFrame, labels: DataFrame, partners: int) -> DataFrame:
+    """Pairs (a, b) of different classes in a bucket: for each text outside the bucket's
+    largest class its nearest ``partners`` texts of other classes (in each cell); ``more``
+    where it has farther ones."""
+    named = met.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    rows = named.drop("n").join(tops.select("bucket", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.c")).alias("strays")), "bucket")
+    rows = rows.withColumn("stray", F.col("label") != F.col("main")).join(texts.select("key", "short"), "key")
+    rows = rows.select("bucket", "key", "label", "short", "stray", "members", "strays")
+    n_members, n_strays = F.ceil(F.col("members") / MEMBERS).cast("int"), F.ceil(F.col("strays") / STRAYS).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where("stray").withColumn("p", cells_of("strays", STRAYS)).withColumn("q", every(n_members))
+    right = rows.withColumn("q", cells_of("members", MEMBERS)).withColumn("p", every(n_strays))
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select("bucket", "p", "q", "side", "key", "label", "short")
+    names = both.columns
+    struct = T._parse_datatype_string("a binary, b binary, more boolean")
+    arrow = arrow_schema(struct)
 
-        def flush():
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            return record(dict(zip(arrow.names, map(list, cols), strict=True)), arrow)
+    def pairs(strays, members):
+        shorts = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(-1, REGISTERS)
+        place: dict[bytes, int] = {}
+        label = np.array([place.setdefault(m[1], len(place)) for m in members])
+        for key, own, short in strays:
+            like = (shorts == np.frombuffer(short, np.uint8)).sum(axis=1)
+            like[label == place.get(own, -1)] = 0
+            near = np.flatnonzero(like >= FLOOR)
+            more = len(near) > partners
+            if more:
+                near = near[np.argsort(-like[near], kind="stable")[:partners]]
+            for i in near:
+                yield min(key, members[i][0]), max(key, members[i][0]), more
 
+    def run(batches):
+        now, strays, members = None, [], []
         for batch in batches:
-            for bucket, salt, key, short in zip(*(column(batch, c).to_pylist() for c in ("bucket", "salt", "key", "short")), strict=True):
-                if (bucket, salt) != now:
-                    now, keys = (bucket, salt), []
-                one = np.frombuffer(short, np.uint8)
-                like = agreeing(leads[: len(keys)], one)
-                near = int(np.argmax(like)) if len(keys) else 0
-                follows = bool(len(keys)) and like[near] >= FOLLOW
-                for i in np.flatnonzero(like >= FLOOR):
-                    out.append((bucket, salt, keys[i], key, bool(follows and i == near), None))
-                if not follows:
-                    if len(keys) == len(leads):
-                        leads = np.concatenate([leads, np.zeros_like(leads)])
-                    leads[len(keys)] = one
-                    keys.append(key)
-                    out.append((bucket, salt, key, key, False, short))
-                if len(out) >= 20_000:
-                    yield flush()
-                    out.clear()
-        yield flush()
-
-    return rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key").select("bucket", "salt", "key", "short").mapInArrow(run, struct)
-
-
-PAIRS = "bucket bigint, salt int, a binary, b binary, follows boolean, short binary"
-
-
-def candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, follows) of text keys to verify, from (key, short, bands)."""
-    met = texts.where("bands is not null").select("key", F.explode("bands").alias("bucket"))
-    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Only texts that meet another go on, each with its short signature.
-    inside = met.join(sizes, "bucket")
-    salted = inside.withColumn("salt", F.when(F.col("n") > BUCKET, F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BUCKET))).otherwise(0).cast("int"))
-    rows = materialise(salted.join(texts.select("key", "short"), "key").select("bucket", "salt", "key", "short", "n"), "buckets")
-    first = materialise(clustered(rows), "clusters")
-    parts = [first]
-    # The leaders of a split bucket meet once more.
-    again = first.where("a = b").join(sizes.where(F.col("n") > BUCKET).select("bucket"), "bucket")
-    parts.append(clustered(again.select("bucket", F.lit(-1).alias("salt"), F.col("a").alias("key"), "short")))
-    pairs = parts[0].unionByName(parts[1]).where("a != b")
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("follows"), F.when(F.col("a") < F.col("b"), 1).otherwise(2)).otherwise(0).alias("f"))
-    # follows: 1 where b follows a, 2 where a follows b, 3 both, 0 neither.
-    return ordered.groupBy("a", "b").agg(F.bit_or("f").alias("follows"))
+            out = []
+            for bucket, p, q, side, *row in zip(*(column(batch, c).to_pylist() for c in names), strict=True):
+                if (bucket, p, q) != now:
+                    if strays and members:
+                        out += pairs(strays, members)
+                    now, strays, members = (bucket, p, q), [], []
+                (members if side else strays).append(row)
+            yield record(dict(zip(arrow.names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in arrow.names}, arrow)
+        if strays and members and (out := list(pairs(strays, members))):
+            yield record(dict(zip(arrow.names, map(list, zip(*out, strict=True)), strict=True)), arrow)
+
+    found = both.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "side").mapInArrow(run, struct)
+    return found.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
 # ---- verification -----------------------------------------------------------
@@ -318,50 +352,40 @@ def text_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
 def link_texts(signed_docs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts: key, rep) of all distinct texts and (node, label) of those in a link."""
     texts = materialise(signed_docs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("short").alias("short"), F.first("bands").alias("bands")), "texts")
-    pairs = materialise(candidates(texts), "pairs")
-    inside = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    # A key whose rows all have null ids cannot be fetched by id: see near_duplicates.
-    own = texts.select("key", "rep").join(inside, "key").where("rep is not null")
-    have = materialise(text_of(own, docs).groupBy("key").agg(F.first("text").alias("text")) if repeats(docs) else text_of(own, docs), "texts_inside")
-    fetched = pairs.join(own.select(F.col("key").alias("a")), "a", "left_semi").join(own.select(F.col("key").alias("b")), "b", "left_semi")
-    tested = materialise(verified(fetched, have).join(fetched, ["a", "b"]), "tested")
-    links = tested.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    labels = components(links)
-    more = followers_left(tested, labels)
-    if more is not None:
-        extra = materialise(verified(more, have).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
-        labels = components(links.unionByName(extra))
+    # A text whose rows all have null ids can't be fetched by id: see near_duplicates.
+    met = materialise(meetings(texts.where("rep is not null")), "meetings")
+    twice = repeats(signed_docs)
+    tested = links = labels = None
+    turn = 0
+    while True:
+        more = False
+        if labels is None:
+            fresh = materialise(first_pairs(met, texts), "pairs")
+        else:
+            near = materialise(open_pairs(met, texts, labels, PARTNERS[turn]), "open")
+            more = not near.where("more").isEmpty()
+            fresh = materialise(near.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        linked = None
+        if labels is None or not fresh.isEmpty():
+            inside = fresh.select(F.col("a").alias("key")).union(fresh.select("b")).distinct()
+            own = text_of(texts.select("key", "rep").join(inside, "key"), docs)
+            found = materialise(verified(fresh, own.groupBy("key").agg(F.first("text").alias("text")) if twice else own), "tested")
+            tested = found if tested is None else tested.unionByName(found)
+            linked = found.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+            if labels is None or not linked.isEmpty():
+                links = linked if links is None else links.unionByName(linked)
+                labels = components(links)
+                continue
+        # No class has grown: go on to farther pairs, if there are any.
+        if not more:
+            break
+        turn += 1
     return texts.select("key", "rep"), labels
 
 
 def repeats(docs: DataFrame) -> bool:
     """Whether an id has several rows."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
-def followers_left(tested: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Pairs (x, y) still open: x follows leader l, y was held against l and failed.
-
-    With distances d = 1 - similarity, d(x, y) >= d(l, y) - d(l, x): only where that is
-    at most 0.2, and x and y are of different classes, can x and y be linked unseen.
-    """
-    gap = 1 - SIMILARITY
-    both = lambda a, b, bit: tested.select(F.col(a).alias("l"), F.col(b).alias("o"), (1 - F.col("similarity")).alias("d"), (F.col("follows").bitwiseAND(bit) > 0).alias("f"))
-    around = both("a", "b", 1).unionByName(both("b", "a", 2))
-    label = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-    near = around.where("f and d > 0").select("l", F.col("o").alias("x"), F.col("d").alias("dx"))
-    held = near.where(F.col("dx") <= gap)
-    widest = held.groupBy("l").agg(F.max("dx").alias("most"))
-    missed = around.where(F.col("d") > gap).select("l", F.col("o").alias("y"), F.col("d").alias("dy")).join(widest, "l").where(F.col("dy") - F.col("most") <= gap).drop("most")
-    # Followers that hold share their leader's class, so only misses of another class count.
-    missed = label(label(missed, "l", "ll"), "y", "ly").where("ll != ly").select("l", "y", "dy")
-    open_ = missed.join(held, "l").where(F.col("dy") - F.col("dx") <= gap).select("x", "y")
-    # A follower whose own leader fails is held against all that met that leader.
-    lost = near.where(F.col("dx") > gap).join(around.select("l", F.col("o").alias("y"), F.col("d").alias("dy")), "l").where(F.abs(F.col("dy") - F.col("dx")) <= gap).select("x", "y")
-    pairs = open_.unionByName(lost).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = label(label(pairs, "a", "la"), "b", "lb").where("la != lb").select("a", "b")
-    pairs = materialise(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").withColumn("follows", F.lit(0)), "open")
-    return None if pairs.isEmpty() else pairs
+    return not docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
