@@ -31,7 +31,11 @@ from .shared import arrow_schema, column, ids_and_text, materialise, record, sli
 
 GRAIN, DEPTH = 16, 3
 #: Distinct words whose ids one Python worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 900_000
+#: Marks that are no letter, digit or white space, and in no contraction or special token.
+TAIL = b".,;:!?*#$%&"
+#: Of a pre-tokenizer that parts runs of letters from runs of marks.
+MARKS_PATTERN = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _memory: dict[str, object] = {}
 
 
@@ -49,26 +53,46 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.folds = '"Lowercase"' in tokenizer_json
+        self.parts_at_marks = MARKS_PATTERN in tokenizer_json
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.start, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
 
+    def learn(self, words: set[bytes]) -> None:
+        """Make words known. A word that ends with a letter or digit and then marks of
+        TAIL is two pre-tokens or more, parted there: its ids are those of both parts."""
+        joined = []
+        if self.parts_at_marks:
+            for w in words:
+                core = w.rstrip(TAIL)
+                if len(core) < len(w) and core and core[-1] < 128 and core[-1:].isalnum():
+                    joined.append((w, core, w[len(core) :]))
+        whole = words.difference(j[0] for j in joined)
+        self.add([w for w in whole.union(*[j[1:] for j in joined]) if w not in self.known])
+        if joined:
+            pair = np.array([(self.known[a], self.known[b]) for _, a, b in joined]).ravel()
+            sizes = self.start[pair + 1] - self.start[pair]
+            ids = self.flat[np.repeat(self.start[pair] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            self.append([j[0] for j in joined], ids, sizes[::2] + sizes[1::2])
+
+    def append(self, words: list[bytes], ids, sizes: np.ndarray) -> None:
+        n, total = len(self.known), int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used : self.used + total] = ids
+        self.start[n : n + len(words) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
+        self.used += total
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
     def add(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            sizes = np.array(list(map(len, ids)))
-            n, total = len(self.known), int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
-            self.start[n : n + len(part) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
-            self.used += total
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+            self.append(part, list(chain.from_iterable(ids)), np.array(list(map(len, ids))))
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other (each closed by ``end``), and their counts."""
@@ -76,12 +100,13 @@ class WordCoder:
         parts = [(t.lower() if self.folds else t).split() for t in texts]
         words = list(chain.from_iterable(parts))
         word = np.array(list(map(self.known.get, words, repeat(-1))), dtype=np.int64)
-        if len(fresh := {words[i] for i in np.flatnonzero(word < 0)}):
-            if len(self.known) + len(fresh) > REMEMBERED:
+        if len(missing := np.flatnonzero(word < 0)):
+            fresh = {words[i] for i in missing}
+            if len(self.known) + 2 * len(fresh) > REMEMBERED:
                 self.clear()
-                fresh = set(words)
-            self.add(list(fresh))
-            word = np.array(list(map(self.known.__getitem__, words)), dtype=np.int64)
+                fresh, missing = set(words), np.arange(len(words))
+            self.learn(fresh)
+            word[missing] = list(map(self.known.__getitem__, map(words.__getitem__, missing.tolist())))
         n_words = np.fromiter(map(len, parts), np.int64, len(parts))
         sizes = self.start[word + 1] - self.start[word]
         before = np.concatenate([[0], np.cumsum(sizes)])
