@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, neardup, packing, quality, sharding, toxicity, warc
+from . import class_lm, nearest, neardup, packing, quality, sharding, toxicity, warc
 from .shared import table
 
 
@@ -38,11 +38,15 @@ def op8_warc_capture_index(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_one_bit_codes(spark, sf_dir):
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity_bigru(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op6_brown_class_lm, op8_warc_capture_index, op10_toxicity_bigru)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op6_brown_class_lm, op8_warc_capture_index, op9_one_bit_codes, op10_toxicity_bigru)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
