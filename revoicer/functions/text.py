@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Devanagari code points by their part in a syllable.
 DEV_CONSONANTS = r"\x{0915}-\x{0939}\x{0958}-\x{095F}\x{0978}-\x{097F}"
@@ -70,7 +71,7 @@ def syllables(text: Column) -> Column:
     return F.when(F.trim(text) == "", F.lit(0)).otherwise(F.aggregate(words(text), F.lit(0), lambda acc, w: acc + one(w)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC: Spark has no function for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -126,7 +127,7 @@ def row_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Word edit distance of texts of any length, in Arrow batches."""
     return pd.Series([row_distance(r.split(), h.split()) for r, h in zip(ref, hyp, strict=True)])
