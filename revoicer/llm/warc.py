@@ -35,6 +35,8 @@ from .shared import arrow_schema, column, file_system, materialise, record, shar
 
 BLOCK = 512
 LEVEL = 4
+#: Rows of about 80 bytes that may be sent to every task.
+BROADCAST = 100_000
 RECORD_URI = "urn:revoicer:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "file string, first_key string, last_key string, records bigint, directory_offset bigint, directory_length bigint"
@@ -112,13 +114,15 @@ def gunzipped(data: bytes) -> bytes:
 def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     """key, page_id, url, html, refers_to of every page.
 
-    Copies are found on (hash, size) alone; only groups of two and more are joined back,
-    as an ordinary join, so that a large group is split over tasks by its key's skew.
+    Copies are found on (hash, size) alone, and only groups of two and more are joined
+    back: from memory where they are at most BROADCAST rows, so that pages move once, to
+    their place in the archives; else by an ordinary join, whose large groups are split.
     """
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     plain = plain.withColumn("hash", F.sha1("html")).withColumn("size", F.octet_length("html"))
     groups = plain.where(F.col("size") >= min_bytes).groupBy("hash", "size").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = plain.join(groups, ["hash", "size"], "left")
+    groups = materialise(groups, "copies")
+    joined = plain.join(F.broadcast(groups) if groups.count() <= BROADCAST else groups, ["hash", "size"], "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("newest")), F.lit(None)).otherwise(F.col("newest"))
     return joined.select(url_key(F.col("url")).alias("key"), "page_id", "url", "html", refers.cast("long").alias("refers_to"))
 
