@@ -11,19 +11,17 @@ component of links, exact copies included.
    shingle and the block alone. A weight w keeps the points of levels under w. The
    earliest point of each register is the signature; two signatures agree in a register
    with a probability of exactly the weighted Jaccard similarity.
-3. BANDS bands of ROWS registers: texts that agree in a band meet in a bucket. Pairs of a
-   bucket whose signatures agree in fewer than FLOOR of the registers are left out: 0.8
-   lies four standard errors above, so that costs less than the bands themselves do.
-4. First, in the buckets of some bands, every text is paired with the nearest of those
-   before it (a tree per bucket, not all pairs). Pairs are verified on the multisets
-   themselves, and links make classes.
-5. Then only texts outside their bucket's largest class matter: each is held against
-   the texts of other classes, nearest first, more in every round, until each pair that
-   could join two classes has been verified. Members of one class are never paired.
+3. BANDS bands of ROWS registers: texts that agree in a band meet in a bucket, and
+   buckets that share a text make a family. Only texts in a family go on.
+4. Families are cut to cells of bounded size. In a cell every pair is compared exactly, on
+   the multisets, by vectorised counting; one link is kept for each two classes that meet.
+5. In families of several cells, the heads of each cell's classes meet next; after that
+   only texts outside their family's largest class matter, and each of them is compared
+   exactly with all members of other classes. Pairs of one class are never made.
 6. Components by contraction: classes hook onto their least neighbour, round by round.
 
-No step holds a bucket, a class or the links on the driver or in one Python group: rows
-stream through sorted partitions, and large buckets are cut to cells of bounded size.
+No step holds a family, a class or the links on the driver or in one Python group: rows
+stream through sorted partitions, and what meets in memory is a cell of bounded size.
 """
 
 from __future__ import annotations
@@ -33,7 +31,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,16 +41,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Registers that must agree before a pair is verified.
-FLOOR = int(0.66 * REGISTERS)
-#: Bands whose buckets make the first trees.
-FIRST_BANDS = 5
-#: A cell of a bucket holds so many members, and so many texts outside the largest class.
-MEMBERS, STRAYS = 2048, 256
-#: Partners that a text outside the largest class is verified against, by round; the last has no bound.
-PARTNERS = (1, 16, 256, 1 << 40)
-#: Members verified against one copy of their leader's text.
-CHUNK = 256
+#: Most texts and bytes of a cell, most texts outside the largest class that a cell is held
+#: against at once, and heads that a cell sends on.
+CELL, CELL_BYTES, STRAYS, HEADS = 512, 8 << 20, 128, 16
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,164 +145,154 @@ def weighed(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[first], shingle[first], np.diff(np.concatenate([first, [len(doc)]]))
 
 
-def signed(texts: list[bytes]) -> tuple[list[bytes], list[bytes], list]:
-    """Keys, short signatures (a byte per register) and band hashes of texts; a text
-    without a word has no band. Copies within the slice are worked once."""
+def signed(texts: list[bytes]) -> tuple[list[bytes], list]:
+    """Keys and band hashes of texts; a text without a word has no band. Copies within
+    the slice are worked once."""
     keys = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
     once = {k: i for i, k in enumerate(keys)}
     some = [i for i in once.values() if texts[i].strip()]
     place = {keys[i]: j for j, i in enumerate(some)}
     if not some:
-        return keys, [b""] * len(keys), [None] * len(keys)
+        return keys, [None] * len(keys)
     hashes, counts = shingles([texts[i] for i in some])
     names = signatures(*weighed(np.repeat(np.arange(len(some)), counts), hashes), len(some))
-    short = (names >> np.uint64(56)).astype(np.uint8)
     rows = names.reshape(len(some), BANDS, ROWS)
     bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(some), BANDS))
     for k in range(ROWS):
         bands = mixed(bands * np.uint64(3) + rows[:, :, k] + GOLD)
     bands = bands.astype(np.int64)
     at = [place.get(k) for k in keys]
-    return keys, [b"" if j is None else short[j].tobytes() for j in at], [None if j is None else bands[j].tolist() for j in at]
+    return keys, [None if j is None else bands[j].tolist() for j in at]
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, key, short, bands of every document."""
+    """doc_id, key, bands of every document."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batch, texts):
-        keys, short, band = signed(texts)
-        return {"doc_id": column(batch, "doc_id"), "key": keys, "short": short, "bands": band}
-
-    return map_slices(plain, run, "doc_id bigint, key binary, short binary, bands array<bigint>")
-
-
-# ---- candidates -------------------------------------------------------------
-
-
-def meetings(texts: DataFrame) -> DataFrame:
-    """(bucket, band, key, n): the buckets of two texts and more, n texts each."""
-    met = texts.where("bands is not null").select("key", F.posexplode("bands").alias("band", "bucket"))
-    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return met.join(sizes, "bucket").select("bucket", "band", "key", "n")
-
-
-def cells_of(part: str, size: int):
-    return F.pmod(F.xxhash64("key", F.lit(part)), F.greatest(F.lit(1), F.ceil(F.col(part) / size))).cast("int")
-
-
-def first_pairs(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b): in each cell of a bucket, each text and the nearest before it."""
-    struct = T._parse_datatype_string("a binary, b binary")
+        keys, band = signed(texts)
+        return {"doc_id": column(batch, "doc_id"), "key": keys, "bands": band}
+
+    return map_slices(plain, run, "doc_id bigint, key binary, bands array<bigint>")
+
+
+# ---- cells ------------------------------------------------------------------
+
+
+class Cell:
+    """Bags side by side, for exact similarities of one bag with all of them."""
+
+    def __init__(self, members: list[tuple[np.ndarray, np.ndarray]]):
+        flat = np.concatenate([m[0] for m in members])
+        self.names, self.ids = np.unique(flat, return_inverse=True)
+        self.weights = np.concatenate([m[1] for m in members])
+        sizes = np.array([len(m[0]) for m in members])
+        self.first, self.total = np.cumsum(sizes) - sizes, np.array([m[1].sum() for m in members])
+        self.mark = np.zeros(len(self.names) + 1, np.int64)
+
+    def similarities(self, bag: tuple[np.ndarray, np.ndarray], upto: int | None = None) -> np.ndarray:
+        """Weighted Jaccard similarity with the first ``upto`` members (all of them)."""
+        n = len(self.first) if upto is None else upto
+        if n == 0:
+            return np.zeros(0)
+        at = np.minimum(np.searchsorted(self.names, bag[0]), len(self.names) - 1)
+        own = self.names[at] == bag[0]
+        self.mark[at[own]] = bag[1][own]
+        stop = self.first[n] if n < len(self.first) else len(self.ids)
+        common = np.add.reduceat(np.minimum(self.mark[self.ids[:stop]], self.weights[:stop]), self.first[:n])
+        self.mark[at[own]] = 0
+        return common / (self.total[:n] + int(bag[1].sum()) - common)
+
+
+def linked_inside(keys: list[bytes], members: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[bytes, bytes]]:
+    """Links of a cell, one for each two classes that meet: every pair is compared."""
+    cell, label, links = Cell(members), np.arange(len(keys)), []
+    for i in range(1, len(keys)):
+        for j in np.flatnonzero(cell.similarities(members[i], i) >= SIMILARITY):
+            if label[i] != label[j]:
+                links.append((keys[j], keys[i]))
+                label[label == label[i]] = label[j]
+    return links
+
+
+def linked_across(strays: list[tuple], members: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links between (key, label, bag) of strays and members of other labels, at most one
+    for each stray and label."""
+    cell = Cell([m[2] for m in members])
+    place: dict[bytes, int] = {}
+    label = np.array([place.setdefault(m[1], len(place)) for m in members])
+    links = []
+    for key, own, bag in strays:
+        hit = np.flatnonzero((cell.similarities(bag) >= SIMILARITY) & (label != place.get(own, -1)))
+        for j in hit[np.unique(label[hit], return_index=True)[1]]:
+            links.append((key, members[j][0]))
+    return links
+
+
+LINKS = "a binary, b binary"
+
+
+def links_in_cells(rows: DataFrame) -> DataFrame:
+    """Links within each (family, cell) of rows (family, cell, key, text)."""
+    struct = T._parse_datatype_string(LINKS)
     arrow = arrow_schema(struct)
 
     def run(batches):
-        now, seen, keys = None, np.zeros((64, REGISTERS), np.uint8), []
-        for batch in batches:
-            a, b = [], []
-            for bucket, cell, key, short in zip(*(column(batch, c).to_pylist() for c in ("bucket", "cell", "key", "short")), strict=True):
-                if (bucket, cell) != now:
-                    now, keys = (bucket, cell), []
-                one = np.frombuffer(short, np.uint8)
-                if keys:
-                    like = (seen[: len(keys)] == one).sum(axis=1)
-                    near = int(np.argmax(like))
-                    if like[near] >= FLOOR:
-                        a.append(keys[near])
-                        b.append(key)
-                if len(keys) == len(seen):
-                    seen = np.concatenate([seen, np.zeros_like(seen)])
-                seen[len(keys)] = one
+        now, keys, members, out = None, [], [], []
+        for batch, raw in slices(batches):
+            for family, cell, key, bag in zip(column(batch, "family").to_pylist(), column(batch, "cell").to_pylist(), column(batch, "key").to_pylist(), bags(*shingles(raw)), strict=True):
+                if (family, cell) != now:
+                    out += linked_inside(keys, members) if len(keys) > 1 else []
+                    now, keys, members = (family, cell), [], []
                 keys.append(key)
-            yield record({"a": a, "b": b}, arrow)
-
-    rows = met.where(F.col("band") < FIRST_BANDS).withColumn("cell", cells_of("n", MEMBERS)).join(texts.select("key", "short"), "key").select("bucket", "cell", "key", "short")
-    return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "key").mapInArrow(run, struct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def open_pairs(met: DataFrame, texts: DataFrame, labels: DataFrame, partners: int) -> DataFrame:
-    """Pairs (a, b) of different classes in a bucket: for each text outside the bucket's
-    largest class its nearest ``partners`` texts of other classes (in each cell); ``more``
-    where it has farther ones."""
-    named = met.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    tops = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    rows = named.drop("n").join(tops.select("bucket", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.c")).alias("strays")), "bucket")
-    rows = rows.withColumn("stray", F.col("label") != F.col("main")).join(texts.select("key", "short"), "key")
-    rows = rows.select("bucket", "key", "label", "short", "stray", "members", "strays")
-    n_members, n_strays = F.ceil(F.col("members") / MEMBERS).cast("int"), F.ceil(F.col("strays") / STRAYS).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.where("stray").withColumn("p", cells_of("strays", STRAYS)).withColumn("q", every(n_members))
-    right = rows.withColumn("q", cells_of("members", MEMBERS)).withColumn("p", every(n_strays))
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select("bucket", "p", "q", "side", "key", "label", "short")
-    names = both.columns
-    struct = T._parse_datatype_string("a binary, b binary, more boolean")
-    arrow = arrow_schema(struct)
-
-    def pairs(strays, members):
-        shorts = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(-1, REGISTERS)
-        place: dict[bytes, int] = {}
-        label = np.array([place.setdefault(m[1], len(place)) for m in members])
-        for key, own, short in strays:
-            like = (shorts == np.frombuffer(short, np.uint8)).sum(axis=1)
-            like[label == place.get(own, -1)] = 0
-            near = np.flatnonzero(like >= FLOOR)
-            more = len(near) > partners
-            if more:
-                near = near[np.argsort(-like[near], kind="stable")[:partners]]
-            for i in near:
-                yield min(key, members[i][0]), max(key, members[i][0]), more
-
-    def run(batches):
-        now, strays, members = None, [], []
-        for batch in batches:
+                members.append(bag)
+            yield record({"a": [x[0] for x in out], "b": [x[1] for x in out]}, arrow)
             out = []
-            for bucket, p, q, side, *row in zip(*(column(batch, c).to_pylist() for c in names), strict=True):
-                if (bucket, p, q) != now:
-                    if strays and members:
-                        out += pairs(strays, members)
-                    now, strays, members = (bucket, p, q), [], []
-                (members if side else strays).append(row)
-            yield record(dict(zip(arrow.names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in arrow.names}, arrow)
-        if strays and members and (out := list(pairs(strays, members))):
-            yield record(dict(zip(arrow.names, map(list, zip(*out, strict=True)), strict=True)), arrow)
-
-    found = both.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "side").mapInArrow(run, struct)
-    return found.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
-
+        out = linked_inside(keys, members) if len(keys) > 1 else []
+        yield record({"a": [x[0] for x in out], "b": [x[1] for x in out]}, arrow)
 
-# ---- verification -----------------------------------------------------------
+    return rows.select("family", "cell", "key", "text").repartition("family", "cell").sortWithinPartitions("family", "cell", "key").mapInArrow(run, struct)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with their exact ``similarity``. texts: key, text, one row a key.
-
-    Work is cut to chunks of CHUNK members of one leader; a chunk gets its leader's
-    text once, and streams through a sorted partition.
-    """
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n"))
-    cut = pairs.select("a", "b").join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("__n") / CHUNK)).cast("int").alias("chunk"))
-    heads = cut.select("a", "chunk").distinct().withColumn("b", F.lit(None).cast("binary")).withColumn("__key", F.col("a"))
-    needed = heads.unionByName(cut.withColumn("__key", F.col("b")))
-    rows = needed.join(texts.withColumnRenamed("key", "__key"), "__key").select("a", "chunk", "b", "text")
-    struct = T._parse_datatype_string("a binary, b binary, similarity double")
+def links_of_strays(pool: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between texts outside their family's largest class and all other classes of
+    the family, for families of several cells. pool: family, cell, cells, key, text."""
+    several = pool.where("cells > 1").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    sizes = several.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
+    tops = sizes.groupBy("family").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where(F.col("all") > F.col("top.c")).select("family", F.col("top.label").alias("main"), (F.col("all") - F.col("top.c")).alias("strays"))
+    rows = several.join(tops, "family")
+    chunks = F.ceil(F.col("strays") / STRAYS).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where("label != main").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit("s")), chunks).cast("int")).withColumn("cell", every(F.col("cells"))).withColumn("side", F.lit(0))
+    right = rows.withColumn("chunk", every(chunks)).withColumn("side", F.lit(1))
+    names = ["family", "chunk", "cell", "side", "key", "label", "text"]
+    struct = T._parse_datatype_string(LINKS)
     arrow = arrow_schema(struct)
 
     def run(batches):
-        now, lead = None, None
+        now, sides = None, ([], [])
         for batch, raw in slices(batches):
             out = []
-            for a, chunk, b, bag in zip(column(batch, "a").to_pylist(), column(batch, "chunk").to_pylist(), column(batch, "b").to_pylist(), bags(*shingles(raw)), strict=True):
-                if b is None:
-                    now, lead = (a, chunk), bag
-                    continue
-                if now != (a, chunk):
-                    raise RuntimeError("a leader's text is missing")
-                out.append((a, b, similarity(lead, bag)))
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield record(dict(zip(arrow.names, map(list, cols), strict=True)), arrow)
+            for family, chunk, cell, side, key, label, bag in zip(*(column(batch, c).to_pylist() for c in names[:-1]), bags(*shingles(raw)), strict=True):
+                if (family, chunk, cell) != now:
+                    out += linked_across(*sides) if all(sides) else []
+                    now, sides = (family, chunk, cell), ([], [])
+                sides[side].append((key, label, bag))
+            yield record({"a": [x[0] for x in out], "b": [x[1] for x in out]}, arrow)
+        out = linked_across(*sides) if all(sides) else []
+        yield record({"a": [x[0] for x in out], "b": [x[1] for x in out]}, arrow)
+
+    return left.select(*names).unionByName(right.select(*names)).repartition("family", "chunk", "cell").sortWithinPartitions(*names[:5]).mapInArrow(run, struct)
+
 
-    return rows.repartition("a", "chunk").sortWithinPartitions(F.col("a"), F.col("chunk"), F.col("b").asc_nulls_first()).mapInArrow(run, struct)
+def heads(pool: DataFrame, labels: DataFrame) -> DataFrame:
+    """One text of each cell's largest classes, dealt to new cells: links among them join
+    what is one class in several cells, so that few texts are left outside it."""
+    several = pool.where("cells > 1").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    own = several.groupBy("family", "cell", "cells", "label").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("key"))
+    best = own.withColumn("r", F.row_number().over(Window.partitionBy("family", "cell").orderBy(F.desc("c"), "key"))).where(F.col("r") <= HEADS)
+    met = best.withColumn("cell", F.pmod(F.xxhash64("key", F.lit("h")), F.ceil(F.col("cells") * HEADS / CELL)).cast("int")).select("family", "cell", "key")
+    return met.join(pool.select("key", "text"), "key")
 
 
 # ---- components -------------------------------------------------------------
@@ -343,43 +324,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def text_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, text) for (key, rep): joined on the id of one row that has the text."""
+    """keys with their text, for (key, rep, ...): joined on the id of one row that has it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = rows.join(keys.withColumnRenamed("rep", "__id"), "__id").where(F.unhex(F.md5("text")) == F.col("key")).select("key", "text")
-    return found
+    found = rows.join(keys.withColumnRenamed("rep", "__id"), "__id").where(F.unhex(F.md5("text")) == F.col("key"))
+    return found.drop("__id")
 
 
 def link_texts(signed_docs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts: key, rep) of all distinct texts and (node, label) of those in a link."""
-    texts = materialise(signed_docs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("short").alias("short"), F.first("bands").alias("bands")), "texts")
+    texts = materialise(signed_docs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
     # A text whose rows all have null ids can't be fetched by id: see near_duplicates.
-    met = materialise(meetings(texts.where("rep is not null")), "meetings")
-    twice = repeats(signed_docs)
-    tested = links = labels = None
-    turn = 0
-    while True:
-        more = False
-        if labels is None:
-            fresh = materialise(first_pairs(met, texts), "pairs")
-        else:
-            near = materialise(open_pairs(met, texts, labels, PARTNERS[turn]), "open")
-            more = not near.where("more").isEmpty()
-            fresh = materialise(near.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        linked = None
-        if labels is None or not fresh.isEmpty():
-            inside = fresh.select(F.col("a").alias("key")).union(fresh.select("b")).distinct()
-            own = text_of(texts.select("key", "rep").join(inside, "key"), docs)
-            found = materialise(verified(fresh, own.groupBy("key").agg(F.first("text").alias("text")) if twice else own), "tested")
-            tested = found if tested is None else tested.unionByName(found)
-            linked = found.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-            if labels is None or not linked.isEmpty():
-                links = linked if links is None else links.unionByName(linked)
-                labels = components(links)
-                continue
-        # No class has grown: go on to farther pairs, if there are any.
-        if not more:
-            break
-        turn += 1
+    met = texts.where("bands is not null and rep is not null").select("key", F.explode("bands").alias("bucket"))
+    first = met.groupBy("bucket").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
+    families = components(materialise(met.join(first, "bucket").select("a", F.col("key").alias("b")).distinct(), "meetings"))
+    named = families.select(F.col("node").alias("key"), F.col("label").alias("family")).join(texts.select("key", "rep"), "key")
+    own = text_of(named, docs)
+    own = own.groupBy("key").agg(F.first("family").alias("family"), F.first("text").alias("text")) if repeats(signed_docs) else own
+    fetched = materialise(own.withColumn("bytes", F.octet_length("text")), "family_texts")
+    sizes = fetched.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("bytes") / CELL_BYTES)).cast("int").alias("cells"))
+    pool = fetched.join(sizes, "family").withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
+    links = materialise(links_in_cells(pool), "links")
+    labels = components(links)
+    if not sizes.where("cells > 1").isEmpty():
+        links = materialise(links.unionByName(links_in_cells(heads(pool, labels))), "links")
+        labels = components(links)
+        labels = components(materialise(links.unionByName(links_of_strays(pool, labels)), "links"))
     return texts.select("key", "rep"), labels
 
 
