@@ -14,6 +14,7 @@ lengths, which has ``max_len`` numbers whatever the size of the corpus:
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -31,7 +32,7 @@ from .shared import arrow_schema, column, ids_and_text, materialise, record, sli
 
 GRAIN, DEPTH = 16, 3
 #: Distinct words whose ids one Python worker remembers; then it starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 1_400_000
 #: Marks that are no letter, digit or white space, and in no contraction or special token.
 TAIL = b".,;:!?*#$%&"
 #: Of a pre-tokenizer that parts runs of letters from runs of marks.
@@ -52,6 +53,10 @@ class WordCoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # Lower-case ASCII letters pass a lower-casing normaliser, a split into runs of
+        # letters and the byte alphabet unchanged, so those words need the merges alone.
+        bare = json.loads(tokenizer_json) | {"normalizer": None, "pre_tokenizer": None}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
         self.folds = '"Lowercase"' in tokenizer_json
         self.parts_at_marks = MARKS_PATTERN in tokenizer_json
         self.clear()
@@ -89,9 +94,14 @@ class WordCoder:
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def add(self, words: list[bytes]) -> None:
+        plain = [w for w in words if w.isalpha()] if self.folds and self.parts_at_marks else []
+        self.code(self.merges, plain)
+        self.code(self.tokenizer, [w for w in words if not w.isalpha()] if plain else words)
+
+    def code(self, tokenizer, words: list[bytes]) -> None:
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
             self.append(part, list(chain.from_iterable(ids)), np.array(list(map(len, ids))))
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
