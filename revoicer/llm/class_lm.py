@@ -22,17 +22,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, column, file_system, id_crc, ids_and_text, materialise, record, shared_dir, slices
+from .shared import arrow_schema, blocks, column, fresh_folder, id_crc, ids_and_text, materialise, read_block, record, slices, write_by_block
 
 UNITS, POOLS, CLASSES = 1000, 256, 48
 #: Frequent words that every task holds; the others come by block.
 FREQUENT = 50_000
-BLOCK_BYTES = 16 << 20
 SWEEPS = 8
 #: Weight of the class's own probability beside its transition.
 MIXED = 0.1
@@ -52,13 +50,6 @@ def indexed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.array(list(map(place.__getitem__, words)), dtype=np.int64), np.fromiter(map(len, parts), np.int64, len(parts)), distinct
 
 
-def blocks(batches):
-    """(block, batch, texts): a block's number holds its task's partition."""
-    part = TaskContext.get().partitionId()
-    for i, (batch, texts) in enumerate(slices(batches, limit=BLOCK_BYTES)):
-        yield part << 24 | i, batch, texts
-
-
 def unit_numbers(words: list[bytes], units: dict[bytes, int]) -> np.ndarray:
     """Unit of each word: its own, or the pool of its last three bytes."""
     n = len(units)
@@ -220,51 +211,13 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
 
 def side_files(counted: DataFrame, model: dict, folder: str) -> None:
     """For each block one file of its words that are not frequent, with their counts."""
-    spark = counted.sparkSession
-    listed = spark.createDataFrame([(bytearray(w),) for w in model["frequent"]], "word binary")
-    rows = counted.join(F.broadcast(listed), "word", "left_anti").select("block", "word", "c")
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-    arrow = pa.schema([("block", pa.int64())])
-
-    def run(batches):
-        fs, root = file_system(folder)
-        fs.create_dir(root, recursive=True)
-        now, parts, done = None, [], []
-
-        def close():
-            # The same block always has the same words, so whichever attempt comes last is right.
-            name = f"{root}/{now}.arrow"
-            own = f"{name}.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(own, compression=None) as out, pa.ipc.new_file(out, schema) as writer:
-                writer.write_table(pa.Table.from_batches(parts, schema))
-            fs.move(own, name)
-            done.append(now)
-
-        for batch in batches:
-            block = np.asarray(column(batch, "block"))
-            edges = np.flatnonzero(np.diff(block)) + 1
-            for a, b in zip([0, *edges], [*edges, len(block)], strict=True):
-                if b > a:
-                    if now is not None and block[a] != now:
-                        close()
-                        parts = []
-                    now = int(block[a])
-                    parts.append(pa.RecordBatch.from_arrays([column(batch, "word").slice(a, b - a).cast(pa.binary()), column(batch, "c").slice(a, b - a)], schema=schema))
-        if now is not None:
-            close()
-        yield record({"block": done}, arrow)
-
-    rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block bigint").write.format("noop").mode("overwrite").save()
+    listed = counted.sparkSession.createDataFrame([(bytearray(w),) for w in model["frequent"]], "word binary")
+    write_by_block(counted.join(F.broadcast(listed), "word", "left_anti").select("block", "word", "c"), folder)
 
 
 def counts_of(words: list[bytes], frequent: dict[bytes, int], folder: str, block: int) -> np.ndarray:
-    fs, root = file_system(folder)
-    rare: dict[bytes, int] = {}
-    path = f"{root}/{block}.arrow"
-    if fs.get_file_info(path).is_file:
-        with fs.open_input_file(path) as source:
-            own = pa.ipc.open_file(source).read_all()
-        rare = dict(zip(own["word"].to_pylist(), own["c"].to_pylist(), strict=True))
+    own = read_block(folder, block)
+    rare: dict[bytes, int] = {} if own is None else dict(zip(own["word"].to_pylist(), own["c"].to_pylist(), strict=True))
     try:
         return np.fromiter((frequent[w] if w in frequent else rare[w] for w in words), np.int64, len(words))
     except KeyError as e:
@@ -280,9 +233,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     plain = ids_and_text(docs)
     counted, model = fit(plain)
-    import uuid
-
-    folder = f"{shared_dir(docs.sparkSession)}/revoicer/block_counts-{uuid.uuid4().hex}"
+    folder = fresh_folder(docs.sparkSession, "block_counts")
     side_files(counted, model, folder)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FREQUENT words and a grid of classes
     struct = T._parse_datatype_string("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

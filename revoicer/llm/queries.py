@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, nearest, neardup, packing, quality, sharding, toxicity, url_filter, warc
+from . import class_lm, nearest, neardup, packing, quality, sentencepieces, sharding, toxicity, url_filter, warc
 from .shared import table
 
 
@@ -30,6 +30,14 @@ def op4_divergence_rules(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_piece_lattice(spark, sf_dir):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), model, with_ids=False)
+
+
 def op6_brown_class_lm(spark, sf_dir):
     return class_lm.score(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,7 @@ def op10_toxicity_bigru(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op6_brown_class_lm, op7_dated_url_lists, op8_warc_capture_index, op9_one_bit_codes, op10_toxicity_bigru)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op5_piece_lattice, op6_brown_class_lm, op7_dated_url_lists, op8_warc_capture_index, op9_one_bit_codes, op10_toxicity_bigru)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op7_dated_url_lists": url_filter.JUDGE_SQL}

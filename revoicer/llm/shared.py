@@ -149,3 +149,71 @@ def with_columns(docs: DataFrame, fn: Callable, fields: str, keep: list[str] | N
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in keep] + more.columns, names=[*keep, *arrow.names])
 
     return docs.mapInArrow(run, out)
+
+
+# ---- tables by block --------------------------------------------------------
+# A block is a slice of a task's input. Some operators need, for the words of a block,
+# facts of the whole corpus: they are shuffled to one side file per block in the shared
+# folder, so that texts themselves never move.
+
+
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """(block, batch, texts): a block's number holds its task's partition, so it is the
+    same in every pass over the same files."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    for i, (batch, texts) in enumerate(slices(batches, limit=limit)):
+        yield part << 24 | i, batch, texts
+
+
+def write_by_block(rows: DataFrame, folder: str) -> None:
+    """One Arrow file per block from rows (block, ...). A block's rows are the same in
+    every attempt, and a file appears whole, so a repeated task does no harm."""
+    names = [c for c in rows.columns if c != "block"]
+    schema = arrow_schema(rows.select(*names).schema)
+    done_schema = pa.schema([("block", pa.int64())])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, root = file_system(folder)
+        fs.create_dir(root, recursive=True)
+        now, parts, done = None, [], []
+
+        def close():
+            own = f"{root}/{now}.arrow.{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(own, compression=None) as out, pa.ipc.new_file(out, schema) as writer:
+                writer.write_table(pa.Table.from_batches(parts, schema))
+            fs.move(own, f"{root}/{now}.arrow")
+            done.append(now)
+
+        for batch in batches:
+            block = np.asarray(column(batch, "block"))
+            edges = np.flatnonzero(np.diff(block)) + 1
+            for a, b in zip([0, *edges], [*edges, len(block)], strict=True):
+                if b > a:
+                    if now is not None and block[a] != now:
+                        close()
+                        parts = []
+                    now = int(block[a])
+                    parts.append(pa.RecordBatch.from_arrays([column(batch, c).slice(a, b - a).cast(schema.field(c).type) for c in names], schema=schema))
+        if now is not None:
+            close()
+        yield record({"block": done}, done_schema)
+
+    rows.select("block", *names).repartition("block").sortWithinPartitions("block").mapInArrow(run, "block bigint").write.format("noop").mode("overwrite").save()
+
+
+def read_block(folder: str, block: int) -> pa.Table | None:
+    """A block's rows; None for a block without any."""
+    fs, root = file_system(folder)
+    path = f"{root}/{block}.arrow"
+    if not fs.get_file_info(path).is_file:
+        return None
+    with fs.open_input_file(path) as source:
+        return pa.ipc.open_file(source).read_all()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/revoicer/{name}-{uuid.uuid4().hex}"
