@@ -95,16 +95,16 @@ def or_sentinel(value: Column, sentinel: str) -> Column:
 
 def reasons(row: dict[str, Column], threshold: float) -> Column:
     """Why a segment was flagged, in order: row has wer, hyp_words, signed_drift,
-    clamped, overlap_s, latin."""
+    clamped, overlap_s, latin (tokens of the reference)."""
     drift = F.abs(row["signed_drift"])
     word = F.when(row["signed_drift"] > 0, F.lit("overruns")).otherwise(F.lit("underruns"))
     found = F.array(
         F.when(row["hyp_words"] == 0, F.lit("no speech was recognised in the window")),
-        F.when((row["hyp_words"] > 0) & (row["wer"] >= 0.5), F.format_string("high word error rate (%.3f)", row["wer"])),
-        F.when((row["hyp_words"] > 0) & (row["wer"] > 0) & (row["wer"] < 0.5), F.format_string("word error rate %.3f", row["wer"])),
+        F.when(row["wer"] >= 0.5, F.format_string("high word error rate (%.3f)", row["wer"])),
+        F.when((row["wer"] > 0) & (row["wer"] < 0.5), F.format_string("word error rate %.3f", row["wer"])),
         F.when(drift > threshold, F.format_string("%s its window by %.1f%%", word, drift)),
         F.when(row["clamped"], F.lit("pace was clamped")),
         F.when(row["overlap_s"] > 0, F.format_string("overlaps the next clip by %.3f s", row["overlap_s"])),
-        F.when(row["latin"] > 0, F.format_string("%d tokens in Latin script", row["latin"])),
+        F.when(row["latin"] > 0, F.format_string("%d tokens of the reference are in Latin script", row["latin"])),
     )
     return F.filter(found, lambda x: x.isNotNull())

@@ -37,9 +37,9 @@ def mux_checks(source: DataFrame, output: DataFrame, tolerance_s: float = 0.25)
 
 def chunk_acceptance(chunks: DataFrame, max_s: float = 30.0, eps: float = 1e-3) -> DataFrame:
     """Chunks over the cap, and seams that do not meet: (m, idx, problem)."""
-    from revoicer.operators.timeline import BY_M
+    from revoicer.operators.timeline import by_m
 
-    w = BY_M.orderBy("idx")
+    w = by_m().orderBy("idx")
     rows = chunks.withColumn("next", F.lead("start_s").over(w))
     found = F.array(F.when(F.col("end_s") - F.col("start_s") > max_s + eps, F.lit("over the cap")), F.when(F.abs(F.col("next") - F.col("end_s")) > eps, F.lit("does not meet the next")))
     return rows.select("m", "idx", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))

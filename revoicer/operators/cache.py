@@ -61,7 +61,7 @@ def clear(spark, path: str) -> int:
     except AnalysisException:
         return 0
     n = old.count()
-    old.limit(0).write.mode("overwrite").option("path", path).parquet(path + ".empty")
+    old.limit(0).write.mode("overwrite").parquet(path + ".empty")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(hadoop, True)

@@ -106,11 +106,11 @@ def assemble(clips: DataFrame, media: DataFrame, fade_ms: int = 15) -> tuple[Dat
     rate): the mixed frames and the placements. The canvas is the source's length, or the
     last clip's end where that lies beyond."""
     from revoicer.functions.scalar import frames, placed_start
-    from revoicer.operators.timeline import BY_M
+    from revoicer.operators.timeline import by_m
 
     at = placed_start(F.col("start_s"), F.col("lead_trim_s"))
     own = clips.withColumn("placed_start_s", at).withColumn("offset", frames(at, F.col("rate"))).withColumn("samples", faded(F.col("samples"), F.col("rate"), fade_ms))
-    own = own.withColumn("ord", F.row_number().over(BY_M.orderBy("placed_start_s", "segment_id"))).withColumn("duration_s", F.size("samples") / F.col("rate"))
+    own = own.withColumn("ord", F.row_number().over(by_m().orderBy("placed_start_s", "segment_id"))).withColumn("duration_s", F.size("samples") / F.col("rate"))
     ends = own.groupBy("m").agg(F.max(F.col("offset") + F.size("samples")).alias("stop"))
     canvas = media.join(ends, "m", "left").select("m", F.greatest(frames(F.col("duration_s"), F.col("rate")), F.coalesce("stop", F.lit(0))).alias("frames"))
     counts = mix_counts(own.select("m", "ord", "offset", "samples"), canvas)

@@ -30,7 +30,7 @@ def score_pairs(pairs: DataFrame, native_words: int = 40, composed: bool = False
     split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     out = word_edits(out.withColumns({"rw": split("r"), "hw": split("h")}), native_words)
     n = F.size("rw")
-    return out.withColumns({"ref_words": n, "hyp_words": F.size("hw"), "wer": F.when(F.size("hw") == 0, F.lit(1.0)).otherwise(F.col("edits") / n), "cer": X.cer(F.col("r"), F.col("h")), "latin": X.latin_tokens(F.col("h"))}).drop("rw", "hw")
+    return out.withColumns({"ref_words": n, "hyp_words": F.size("hw"), "wer": F.when(F.size("hw") == 0, F.lit(1.0)).otherwise(F.col("edits") / n), "cer": X.cer(F.col("r"), F.col("h")), "latin": X.latin_tokens(F.col("r"))}).drop("rw", "hw")
 
 
 def corpus_rates(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -88,7 +88,7 @@ def merged(rows: list[dict], least: float) -> list[dict]:
         left = short if short + 1 < len(rows) and (short == 0 or length(rows[short + 1]) < length(rows[short - 1])) else short - 1
         a, b = rows[left], rows[left + 1]
         joined = " ".join(t for t in (a["text"].strip(), b["text"].strip()) if t)
-        rows[left : left + 2] = [a | {"end": b["end"], "text": joined, "boundary_source": "merged", "origin": sorted({*a["origin"], *b["origin"]})}]
+        rows[left : left + 2] = [a | {"end": b["end"], "text": joined, "speaker": a["speaker"] or b["speaker"], "boundary_source": "merged", "origin": sorted({*a["origin"], *b["origin"]})}]
     return rows
 
 

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from revoicer.config import MAPPING_EPS, TIMELINE_EPS
 
-BY_M = Window.partitionBy("m")
+
+def by_m():
+    return Window.partitionBy("m")
+
 
 
 def violations(segments: DataFrame, media: DataFrame, eps: float = TIMELINE_EPS) -> DataFrame:
     """Segments that break the tiling of [0, D]: (m, id, problem), one row per problem."""
-    w = BY_M.orderBy("start", "id")
+    w = by_m().orderBy("start", "id")
     rows = segments.join(media.select("m", "duration_s"), "m").select(
         "m", "id", "start", "end", "duration_s", F.lead("start").over(w).alias("next"), F.row_number().over(w).alias("n"),
     )
@@ -29,7 +32,7 @@ def violations(segments: DataFrame, media: DataFrame, eps: float = TIMELINE_EPS)
 
 def overlaps(placements: DataFrame, eps: float = TIMELINE_EPS) -> DataFrame:
     """Adjacent clips that overlap, keyed by the left one, with the share of the later clip."""
-    w = BY_M.orderBy("placed_start_s", "segment_id")
+    w = by_m().orderBy("placed_start_s", "segment_id")
     rows = placements.select("m", "segment_id", (F.col("placed_start_s") + F.col("duration_s")).alias("stop"), F.lead("placed_start_s").over(w).alias("next_start"), F.lead("duration_s").over(w).alias("next_s"), F.lead("segment_id").over(w).alias("right_id"))
     over = F.col("stop") - F.col("next_start")
     return rows.where(over > eps).select("m", F.col("segment_id").alias("left_id"), "right_id", over.alias("overlap_s"), F.when(F.col("next_s") > 0, over / F.col("next_s") * 100).otherwise(0.0).alias("pct_of_right"))
@@ -49,7 +52,7 @@ def all_overlaps(placements: DataFrame, eps: float = TIMELINE_EPS, bucket_s: flo
 
 def renumber(segments: DataFrame) -> DataFrame:
     """Dense ids from 0 in the order of time."""
-    return segments.withColumn("id", (F.row_number().over(BY_M.orderBy("start", "end", "id")) - 1).cast("int"))
+    return segments.withColumn("id", (F.row_number().over(by_m().orderBy("start", "end", "id")) - 1).cast("int"))
 
 
 def close_gaps(spans: DataFrame) -> DataFrame:
@@ -62,12 +65,12 @@ def close_gaps(spans: DataFrame) -> DataFrame:
 
 def start_sources(chunks: DataFrame) -> DataFrame:
     """What made each chunk's start: the last chunk's cut, ``file_start`` for the first."""
-    return chunks.withColumn("start_source", F.lag("cut_source", 1, "file_start").over(BY_M.orderBy("idx")))
+    return chunks.withColumn("start_source", F.lag("cut_source", 1, "file_start").over(by_m().orderBy("idx")))
 
 
 def first_n(rows: DataFrame, n: int, order: str) -> DataFrame:
     """The first n rows of each medium, before any paid call."""
-    return rows.withColumn("__n", F.row_number().over(BY_M.orderBy(order))).where(F.col("__n") <= n).drop("__n")
+    return rows.withColumn("__n", F.row_number().over(by_m().orderBy(order))).where(F.col("__n") <= n).drop("__n")
 
 
 def with_buckets(rows: DataFrame, start: Column, end: Column, size: float) -> DataFrame:
@@ -100,7 +103,7 @@ def asof_neighbours(points: DataFrame, segments: DataFrame, eps: float = TIMELIN
     p = points.select("m", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("ends"), F.lit(None).cast("int").alias("starts"))
     e = segments.select("m", (F.col("end") - eps).alias("at"), F.lit(0).alias("kind"), F.col("id").cast("int").alias("ends"), F.lit(None).cast("int").alias("starts"))
     s = segments.select("m", (F.col("start") + eps).alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("int").alias("ends"), F.col("id").cast("int").alias("starts"))
-    w = BY_M.orderBy("at", "kind", F.coalesce("ends", "starts"))
+    w = by_m().orderBy("at", "kind", F.coalesce("ends", "starts"))
     rows = p.unionByName(e).unionByName(s)
     back, ahead = F.last("ends", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("starts", True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return rows.withColumns({"before_id": back, "after_id": ahead}).where("kind = 1").select("m", F.col("at").alias("t"), "before_id", "after_id")
@@ -108,7 +111,7 @@ def asof_neighbours(points: DataFrame, segments: DataFrame, eps: float = TIMELIN
 
 def seam_texts(segments: DataFrame, n: int = 6) -> DataFrame:
     """The last words before and the first words after each inner boundary."""
-    w = BY_M.orderBy("start", "id")
+    w = by_m().orderBy("start", "id")
     parts = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     rows = segments.select("m", "id", "end", parts.alias("ws"), F.lead(parts).over(w).alias("next"))
     tail = F.slice(F.col("ws"), F.greatest(F.lit(1), F.size("ws") - n + 1), F.lit(n))
@@ -117,7 +120,7 @@ def seam_texts(segments: DataFrame, n: int = 6) -> DataFrame:
 
 def gaps_and_islands(samples: DataFrame, threshold: float, min_length: int) -> DataFrame:
     """Runs of at least min_length samples (m, i, x) under the threshold: m, first, last, length."""
-    w = BY_M.orderBy("i")
+    w = by_m().orderBy("i")
     quiet = samples.withColumn("q", F.abs("x") < threshold)
     runs = quiet.withColumn("turn", (F.col("q") != F.lag("q", 1, None).over(w)).cast("int")).withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(w))
     out = runs.where("q").groupBy("m", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("length"))
@@ -129,7 +132,7 @@ def mapping_audit(before: DataFrame, after: DataFrame, eps: float = MAPPING_EPS)
 
     Rows are paired by place; both have m, id, start, end, text, after also translation.
     """
-    number = lambda df: df.withColumn("n", F.row_number().over(BY_M.orderBy("start", "id")))
+    number = lambda df: df.withColumn("n", F.row_number().over(by_m().orderBy("start", "id")))
     a, b = number(before).alias("a"), number(after).alias("b")
     pair = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.n") == F.col("b.n")), "full")
     differs = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > eps
