@@ -1,11 +1,12 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-Every vector is centred, rotated at random, and kept as one bit per dimension with two
-correction scalars: its distance from the centre, and the inner product of its unit
-residual with its own code. From packed bits and scalars the inner product with a query
-is estimated without bias, with an error bound that shrinks as the dimension grows. In
-each block of the table only vectors whose upper bound reaches the best lower bounds
-are scored exactly, on the original vectors in double precision.
+Every vector is centred, padded to CODE_BITS dimensions where it has fewer, rotated at
+random, and kept as one bit per dimension with two correction scalars: its distance from
+the centre, and the inner product of its unit residual with its own code. From packed
+bits and scalars the inner product with a query is estimated without bias, with an error
+bound that shrinks as the code grows. In each block of the table the SEEDS best estimates
+are scored exactly, which gives a floor; then only vectors whose upper bound reaches it
+are, on the original vectors in double precision.
 
 Queries are held against all rows in blocks. Copies of a vector are merged first: of
 equal vectors only the TOP + 1 least ids can be among a query's nearest, since ties go to
@@ -29,14 +30,17 @@ BLOCK, QUERIES = 8192, 1024
 #: Rows that the centre is the mean of: those with the least hashes.
 CENTRE_ROWS = 4096
 #: Standard errors that the bounds span.
-WIDTH = 3.0
+WIDTH = 2.5
+#: Least length of a code, and estimates scored first in each block.
+CODE_BITS, SEEDS = 256, 48
 SEED = 11
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The first ``dim`` rows of a random orthogonal matrix: pads to CODE_BITS and rotates."""
+    bits = -(-max(dim, CODE_BITS) // 8) * 8
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,42 +48,52 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     residual = x - centre
     norm = np.linalg.norm(residual, axis=1)
     unit = (residual / np.where(norm > 0, norm, 1)[:, None]) @ turn
-    bits = unit > 0
-    own = np.abs(unit).sum(axis=1) / np.sqrt(x.shape[1])
-    return np.packbits(bits, axis=1), norm, np.where(norm > 0, own, 1.0)
+    own = np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1])
+    return np.packbits(unit > 0, axis=1), norm, np.where(norm > 0, own, 1.0)
 
 
-def estimate(bits: np.ndarray, norm: np.ndarray, own: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries, rows) and their error bounds.
+def unpacked(bits: np.ndarray, norm: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes times norm / own, and the deviation of an estimate for a query of length 1.
 
     <q, x> = <q, centre> + norm * <q, unit>, and <q, unit> is estimated by <q', code> / own
-    with q' the rotated query; the error has a deviation of |q| * sqrt((1 - own^2) / own^2 / (dim - 1)).
+    with q' the rotated query; its deviation is |q| * sqrt((1 - own^2) / own^2 / (bits - 1)).
     """
-    dim = queries.shape[1]
-    code = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    q = (queries @ turn).astype(np.float32)
-    guess = (queries @ centre)[:, None].astype(np.float32) + (q @ code.T) * (norm / own).astype(np.float32)
-    deviation = norm * np.sqrt(np.maximum(1 - own**2, 0) / own**2 / max(dim - 1, 1))
-    return guess, np.linalg.norm(queries, axis=1)[:, None].astype(np.float32) * (WIDTH * deviation).astype(np.float32)[None]
-
-
-def block_top(codes: tuple, vectors: np.ndarray, ids: np.ndarray, firsts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, centre: np.ndarray, turn: np.ndarray, top: int):
-    """(query row, id, score) of the best in one block: distinct vectors, ids sorted by
-    (vector, id), firsts[i]:firsts[i+1] the ids of vector i."""
-    guess, error = estimate(*codes, queries, centre, turn)
-    size = np.diff(firsts)
-    lower = guess - error
-    # The floor of a query: the lower bound of the vector that completes its top rows.
+    n = bits.shape[1] * 8
+    code = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
+    code *= (norm / own / np.sqrt(n)).astype(np.float32)[:, None]
+    return code, (norm * np.sqrt(np.maximum(1 - own**2, 0) / own**2 / (n - 1))).astype(np.float32)
+
+
+def estimate(code: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Estimated inner products (queries, rows)."""
+    guess = (queries @ turn).astype(np.float32) @ code.T
+    guess += (queries @ centre).astype(np.float32)[:, None]
+    return guess
+
+
+def block_top(code: np.ndarray, deviation: np.ndarray, vectors: np.ndarray, ids: np.ndarray, firsts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, centre: np.ndarray, turn: np.ndarray, top: int):
+    """(query row, id, score) of the best in one block: distinct vectors, the ids of
+    vector i at firsts[i]:firsts[i + 1]."""
+    guess = estimate(code, queries, centre, turn)
+    n, size = len(vectors), np.diff(firsts)
     # One place is kept for the query itself, which is among the candidates.
-    k = min(top + 1, len(size)) - 1
-    floor = -np.partition(-lower, k, axis=1)[:, k] if size.sum() > top + 1 and len(size) > k + 1 else np.full(len(queries), -np.inf)
-    rows, at = np.nonzero(guess + error >= floor[:, None])
+    seeds = min(n, max(SEEDS, top + 1))
+    floor = np.full(len(queries), -np.inf)
+    if n > top + 1:
+        first = np.argpartition(-guess, seeds - 1, axis=1)[:, :seeds]
+        exact = np.einsum("qsd,qd->qs", vectors[first], queries)
+        floor = np.sort(exact, axis=1)[:, -(top + 1)]
+    guess += (WIDTH * np.linalg.norm(queries, axis=1)).astype(np.float32)[:, None] * deviation[None]
+    # A hair of room for the rounding of single precision.
+    rows, at = np.nonzero(guess >= (floor - 1e-5 * np.abs(floor))[:, None])
     for i in range(0, len(rows), 1 << 18):
         r, a = rows[i : i + (1 << 18)], at[i : i + (1 << 18)]
         exact = np.einsum("ij,ij->i", queries[r], vectors[a])
-        n = size[a]
-        rr, ss = np.repeat(r, n), np.repeat(exact, n)
-        ii = ids[np.repeat(firsts[a] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        good = exact >= floor[r]
+        r, a, exact = r[good], a[good], exact[good]
+        m = size[a]
+        rr, ss = np.repeat(r, m), np.repeat(exact, m)
+        ii = ids[np.repeat(firsts[a] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
         other = ii != query_ids[rr]
         yield rr[other], ii[other], ss[other]
 
@@ -148,10 +162,10 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, top: int = TOP,
         lists = v["ids"].combine_chunks()
         ids, firsts = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))])
         bits = np.frombuffer(b"".join(v["bits"].to_pylist()), np.uint8).reshape(len(vectors_), -1)
-        codes = (bits, np.asarray(v["norm"]), np.asarray(v["own"]))
+        code, deviation = unpacked(bits, np.asarray(v["norm"]), np.asarray(v["own"]))
         centre_, turn_ = shared.value
         for i in range(0, len(queries_), 256):
-            found = list(block_top(codes, vectors_, ids, firsts, queries_[i : i + 256], query_ids[i : i + 256], centre_, turn_, top))
+            found = list(block_top(code, deviation, vectors_, ids, firsts, queries_[i : i + 256], query_ids[i : i + 256], centre_, turn_, top))
             if found:
                 r, d, s = (np.concatenate(x) for x in zip(*found, strict=True))
                 keep = best(r, d, s, top)
