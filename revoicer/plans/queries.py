@@ -13,6 +13,7 @@ from revoicer.functions import text as X
 from revoicer.operators import audit, cache, folds, pcm, qc, stats, timeline
 from revoicer.operators import segments as seg
 from revoicer.plans import fixtures as fx
+from revoicer.streaming import calls as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -523,6 +524,20 @@ def stitched(spark, d):
     return seg.stitch(chunks, spans).select("m", "id", "start", "end", "text", "boundary_source")
 
 
+# ---- extensions -------------------------------------------------------------
+
+
+def timed_calls(spark, d):
+    return fx.table(spark, d, "events").select("ts", "user_id", F.col("event_type").alias("stage"), (F.col("event_id") % 3 == 0).alias("cache_hit"), (F.ceil("value") * 20.0 / 10000).alias("cost"))
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS start, event_type AS stage, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS hits, round(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE ceil(value) * 20e0 / 10000 END), 6) AS cost_inr FROM events GROUP BY ALL""")
+def windowed_costs(spark, d):
+    """An extension: the streaming aggregate, here over the table at rest."""
+    out = streams.windowed_costs(timed_calls(spark, d), "1 day")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
 # ---- the flagship -----------------------------------------------------------
 
 
