@@ -260,7 +260,7 @@ def links_of_strays(pool: DataFrame, labels: DataFrame) -> DataFrame:
     several = pool.where("cells > 1").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = several.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
     tops = sizes.groupBy("family").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where(F.col("all") > F.col("top.c")).select("family", F.col("top.label").alias("main"), (F.col("all") - F.col("top.c")).alias("strays"))
-    rows = several.join(tops, "family")
+    rows = salted_join(several, tops, "family")
     chunks = F.ceil(F.col("strays") / STRAYS).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rows.where("label != main").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit("s")), chunks).cast("int")).withColumn("cell", every(F.col("cells"))).withColumn("side", F.lit(0))
@@ -323,6 +323,12 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def salted_join(rows: DataFrame, small: DataFrame, on: str, salts: int = 16) -> DataFrame:
+    """rows joined with one row per value of ``on``; a value with many rows is spread."""
+    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(salts)).cast("int")).join(spread, [on, "__salt"]).drop("__salt")
+
+
 def text_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
     """keys with their text, for (key, rep, ...): joined on the id of one row that has it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -342,7 +348,7 @@ def link_texts(signed_docs: DataFrame, docs: DataFrame) -> tuple[DataFrame, Data
     own = own.groupBy("key").agg(F.first("family").alias("family"), F.first("text").alias("text")) if repeats(signed_docs) else own
     fetched = materialise(own.withColumn("bytes", F.octet_length("text")), "family_texts")
     sizes = fetched.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("bytes") / CELL_BYTES)).cast("int").alias("cells"))
-    pool = fetched.join(sizes, "family").withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
+    pool = salted_join(fetched, sizes, "family").withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
     links = materialise(links_in_cells(pool), "links")
     labels = components(links)
     if not sizes.where("cells > 1").isEmpty():
@@ -366,6 +372,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stay with their exact copies (class_id null if no row of them has an id); an id of
     several rows may be in several classes; an empty table gives no rows.
     """
+    return classified(docs).select("doc_id", "class_id")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, key, class_id of every document."""
     own = materialise(sign(docs), "signed")
     texts, labels = link_texts(own, docs)
     named = texts.join(labels, texts["key"] == labels["node"], "left").select("key", "rep", "label")
@@ -373,17 +384,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = named.where("label is not null")
     least = linked.groupBy("label").agg(F.min("rep").alias("class_id"))
     classes = alone.unionByName(linked.join(least, "label").select("key", "class_id"))
-    return own.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
+    return own.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least id, with its columns as they
     were; rows without an id stay only where no row with an id is in their class."""
-    classes = materialise(near_duplicates(docs), "classes")
+    classes = materialise(classified(docs), "classes")
     keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep")).drop("__keep")
     if repeats(docs):
         kept = kept.dropDuplicates(["doc_id"])
-    if not classes.where("class_id is null").isEmpty():
-        kept = kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    orphans = classes.where("class_id is null").select("key").distinct()
+    if not orphans.isEmpty():
+        key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        own = docs.where("doc_id is null").withColumn("__key", key).join(orphans.withColumnRenamed("key", "__key"), "__key", "left_semi")
+        kept = kept.unionByName(own.dropDuplicates(["__key"]).select(*docs.columns))
     return kept
