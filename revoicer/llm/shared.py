@@ -11,6 +11,8 @@ Conventions
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 #: ASCII white space: what parts words everywhere in this subpackage.
 WHITE = " \t\n\x0b\x0c\r"
 #: Bytes of text that a slice holds at most, but for a single longer text.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at), [x or b"" for x in column.slice(at, to - at).to_pylist()]
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, by other operators too."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_slices(df: DataFrame, fn: Callable, schema: str | T.StructType, text: str = "text") -> DataFrame:
