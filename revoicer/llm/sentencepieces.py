@@ -107,17 +107,58 @@ def piece_table(spark, model: Model) -> DataFrame:
     return spark.createDataFrame([(p, s, i) for p, (s, i) in model.pieces.items()], "piece string, score double, id int")
 
 
+EDGES = T.StructType(
+    [
+        T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType()),
+        T.StructField("edges", T.ArrayType(T.StructType([T.StructField("o", T.DoubleType()), T.StructField("i", T.IntegerType()), T.StructField("l", T.IntegerType()), T.StructField("id", T.IntegerType())]))),
+    ]
+)
+
+
+def grouped(batches):
+    """Rows (at, word, n, o, i, l, id) to one row per word, edges sorted by (o, i).
+
+    A word's rows follow each other: they come from exploding one row and from a join that
+    streams them past the piece table. ``at`` numbers the words of a partition upwards,
+    so an order that ever was otherwise would be seen, and raises."""
+    held: list[pa.RecordBatch] = []
+    last = -1
+
+    def emit(rows: pa.Table):
+        at = np.asarray(rows["at"])
+        order = np.lexsort((np.asarray(rows["i"]), np.asarray(rows["o"]), at))
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        edge = pa.StructArray.from_arrays([pa.array(np.asarray(rows[c])[order]) if c != "id" else rows[c].combine_chunks().take(pa.array(order)) for c in ("o", "i", "l", "id")], names=["o", "i", "l", "id"])
+        edges = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(at)]]).astype(np.int32)), edge)
+        take = pa.array(first)
+        return pa.RecordBatch.from_arrays([rows["word"].combine_chunks().take(take), rows["n"].combine_chunks().take(take), edges], names=["word", "n", "edges"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        at = np.asarray(column(batch, "at"))
+        if at[0] < last or (np.diff(at) < 0).any():
+            raise RuntimeError("the rows of a word came apart")
+        last = int(at[-1])
+        whole = int(np.searchsorted(at, last))  # the last word may go on in the next batch
+        if whole:
+            yield emit(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+            held = []
+        held.append(batch.slice(whole))
+    if held:
+        yield emit(pa.Table.from_batches(held))
+
+
 def lattice(words: DataFrame, model: Model) -> DataFrame:
     """(word, n, edges) of words of at most BITS characters: edges are
-    array<struct<o, i, l, s, id>>, best score first, then leftmost; every single character
+    array<struct<o, i, l, id>>, best score first, then leftmost; every single character
     has one, with a null id where no piece is it."""
-    spans = words.withColumn("n", F.char_length("word")).where(F.col("n").between(1, BITS))
+    spans = words.withColumn("n", F.char_length("word")).where(F.col("n").between(1, BITS)).withColumn("at", F.monotonically_increasing_id())
     spans = spans.withColumn("i", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("l", F.explode(F.expr(f"sequence(1, least(n - i, {model.longest}))")))
     spans = spans.withColumn("piece", F.expr("substring(word, i + 1, l)"))
     # The piece table is bounded by the vocabulary: tens of thousands of short rows.
     met = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("id is not null or l = 1")
-    edge = F.struct((-F.coalesce("score", F.lit(model.unknown_score))).alias("o"), "i", "l", "id")
-    return met.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    return met.select("at", "word", "n", (-F.coalesce("score", F.lit(model.unknown_score))).alias("o"), "i", "l", "id").mapInArrow(grouped, EDGES)
 
 
 MERGED = """aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(1L, n + 1) - 1L, (mask, _) ->
@@ -128,19 +169,27 @@ BACK = """aggregate(sequence(1, n), named_struct('p', n, 'mask', shiftleft(1L, n
  named_struct('p', best[s.p].b, 'mask', s.mask | shiftleft(1L, best[s.p].b)))).mask"""
 
 
+def computed(rows: DataFrame, *names: str) -> DataFrame:
+    """The word and the named columns, worked out once: without this step the optimiser
+    would put a column's expression into each lambda that names it, to be worked out again
+    for every element."""
+    return rows.select("word", F.inline(F.array(F.struct(*names))))
+
+
 def coded(words: DataFrame, model: Model) -> DataFrame:
     """(word, ids) of distinct words."""
     rows = lattice(words, model)
     if model.kind == "bpe":
         joins = F.expr("transform(filter(edges, e -> e.l > 1), e -> named_struct('req', shiftleft(1L, e.i) | shiftleft(1L, e.i + e.l), 'span', shiftleft(1L, e.i + e.l) - shiftleft(1L, e.i + 1)))")
-        rows = rows.withColumn("joins", joins).withColumn("mask", F.expr(MERGED))
+        rows = computed(rows.withColumn("joins", joins), "n", "edges", "joins").withColumn("mask", F.expr(MERGED))
     else:
-        rows = rows.withColumn("best", F.expr(BEST)).withColumn("mask", F.expr(BACK))
-    starts = rows.withColumn("starts", F.expr("filter(sequence(0, n - 1), p -> (mask & shiftleft(1L, p)) != 0L)"))
+        rows = computed(rows.withColumn("best", F.expr(BEST)), "n", "edges", "best").withColumn("mask", F.expr(BACK))
+    rows = computed(rows, "n", "edges", "mask").withColumn("starts", F.expr("filter(sequence(0, n - 1), p -> (mask & shiftleft(1L, p)) != 0L)"))
     byte_ids = f"array({','.join(map(str, model.bytes_))})"
     one = "coalesce(get(filter(edges, e -> e.i = p and e.l = coalesce(get(starts, k + 1), n) - p), 0).id, -1)"
     raw = f"transform(sequence(0, octet_length(substring(word, p + 1, 1)) - 1), b -> {byte_ids}[int(conv(substring(hex(substring(word, p + 1, 1)), b * 2 + 1, 2), 16, 10))])"
-    found = starts.withColumn("plain", F.expr(f"transform(starts, (p, k) -> {one})"))
+    found = computed(rows, "n", "edges", "starts").withColumn("plain", F.expr(f"transform(starts, (p, k) -> {one})"))
+    found = computed(found, "starts", "plain")
     known = ~F.exists("plain", lambda x: x == -1)
     # Byte pieces are rare; only words that have them pay for the longer expression.
     ids = F.when(known, F.col("plain")).otherwise(F.expr(f"flatten(transform(starts, (p, k) -> if(plain[k] >= 0, array(plain[k]), {raw})))"))
@@ -224,7 +273,9 @@ def encode(docs: DataFrame, data: bytes, with_ids: bool = True) -> DataFrame:
     spark, model = docs.sparkSession, load(data)
     plain = ids_and_text(docs)
     met = materialise(block_words(plain, model), "block_words")
-    words = materialise(coded(met.select("word").distinct(), model), "words")
+    # An explicit number of partitions: words are short, what is made of them is not.
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = materialise(coded(met.select("word").repartition(parts, "word").distinct(), model), "words")
     folder = fresh_folder(spark, "block_ids")
     write_by_block(met.join(words, "word").select("block", "word", "ids"), folder)
     shared = spark.sparkContext.broadcast(model)
