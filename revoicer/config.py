@@ -6,8 +6,14 @@ from dataclasses import dataclass
 
 STAGES = ("demux", "asr", "translate", "tts", "assemble", "mux", "qc")
 CALL_STAGES = ("asr", "translate", "tts", "qc")
-#: Characters that a request of each model may hold.
-CHAR_CAPS = {"mayura:v1": 1000, "sarvam-translate:v1": 2000, "bulbul:v3": 2500}
+#: Characters that a request of each kind of model may hold.
+CHAR_CAPS = {"translate": 1000, "translate-long": 2000, "speech": 2500}
+#: Languages that calls accept, modes, and paces.
+SPEECH_LANGUAGES = ("bn-IN", "en-IN", "gu-IN", "hi-IN", "kn-IN", "ml-IN", "mr-IN", "od-IN", "pa-IN", "ta-IN", "te-IN")
+MORE_LANGUAGES = ("as-IN", "brx-IN", "doi-IN", "kok-IN", "ks-IN", "mai-IN", "mni-IN", "ne-IN", "sa-IN", "sat-IN", "sd-IN", "ur-IN")
+LANGUAGES = {"asr": ("unknown", *SPEECH_LANGUAGES, *MORE_LANGUAGES), "translate": SPEECH_LANGUAGES, "translate-long": (*SPEECH_LANGUAGES, *MORE_LANGUAGES), "speech": SPEECH_LANGUAGES}
+MODES = {"asr": ("codemix", "transcribe", "translate", "translit", "verbatim"), "translate": ("classic-colloquial", "code-mixed", "formal", "modern-colloquial"), "translate-long": ("formal",)}
+PACE_RANGE = (0.5, 2.0)
 #: Rupees per hour of speech, and per ten thousand characters.
 STT_PER_HOUR, STT_DIARIZED_PER_HOUR, TRANSLATE_PER_10K, TTS_PER_10K = 30.0, 45.0, 20.0, 30.0
 TIMELINE_EPS, MAPPING_EPS = 1e-3, 1e-6
@@ -75,6 +81,12 @@ class Config:
     drift_weight: float = 1.0
     small_sample: int = 20
     mux_tolerance_s: float = 0.25
+    source_lang: str = "en-IN"
+    target_lang: str = "hi-IN"
+    translate_model: str = "translate"
+    translate_mode: str = "classic-colloquial"
+    translate_batched: bool = True
+    max_segments: int | None = None
 
     def __post_init__(self) -> None:
         def need(ok: bool, what: str) -> None:
@@ -96,3 +108,25 @@ class Config:
         need(self.qc_drift_pct >= 0 and self.qc_top >= 1, "qc_drift_pct must not be negative, qc_top 1 or more")
         need(self.wer_weight >= 0 and self.drift_weight >= 0, "weights must not be negative")
         need(self.mux_tolerance_s > 0, "mux_tolerance_s must be positive")
+        need(self.source_lang in LANGUAGES["asr"], "source_lang is not known")
+        need(self.translate_model in MODES and self.translate_model != "asr", "translate_model is not known")
+        need(self.target_lang in LANGUAGES[self.translate_model], "target_lang is not one that the model knows")
+        need(self.translate_mode in MODES[self.translate_model], "translate_mode is not one that the model knows")
+        need(self.max_segments is None or self.max_segments >= 1, "max_segments must be 1 or more")
+
+
+def load_config(env: dict[str, str] | None = None, **given) -> Config:
+    """Environment variables ``REVOICER_<FIELD>`` first, then what is given, over the defaults."""
+    import os
+    from dataclasses import fields
+
+    env = dict(os.environ) if env is None else env
+    kinds = {"float": float, "int": int, "str": str, "bool": lambda x: x.lower() in ("1", "true", "yes"), "int | None": int}
+    found = {}
+    for f in fields(Config):
+        if (raw := env.get(f"REVOICER_{f.name.upper()}")) is not None:
+            try:
+                found[f.name] = kinds[str(f.type)](raw)
+            except ValueError as e:
+                raise ConfigError(f"REVOICER_{f.name.upper()}: {e}") from e
+    return Config(**(found | given))
\ No newline at end of file

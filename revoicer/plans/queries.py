@@ -428,7 +428,7 @@ def shipped_attempts(spark, d):
 def keyed(spark, d):
     h = cache.text_hash(F.col("text"))
     params = cache.canonical_params(speaker=F.col("source"), mode=F.col("lang"), nothing=F.lit(None).cast("string"))
-    return fx.table(spark, d, "documents").select("doc_id", cache.cache_key(F.lit("translate"), F.lit("mayura:v1"), params, h).alias("key"))
+    return fx.table(spark, d, "documents").select("doc_id", cache.cache_key(F.lit("translate"), F.lit("model-a"), params, h).alias("key"))
 
 
 # chr(0) can't be in DuckDB text: see the test for this query.
