@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, column, ids_and_text, materialise, record, slices
+from .shared import arrow_schema, column, ids_and_text, materialise, record, slices, without_cycles
 
 GRAIN, DEPTH = 16, 3
 #: Distinct words whose ids one Python worker remembers; then it starts anew.
@@ -68,14 +68,20 @@ class WordCoder:
     def learn(self, words: set[bytes]) -> None:
         """Make words known. A word that ends with a letter or digit and then marks of
         TAIL is two pre-tokens or more, parted there: its ids are those of both parts."""
-        joined = []
+        plain = [w for w in words if w.isalpha()] if self.folds and self.parts_at_marks else []
+        joined, whole = [], {w for w in words if not w.isalpha()} if plain else set(words)
         if self.parts_at_marks:
-            for w in words:
+            for w in list(whole):
                 core = w.rstrip(TAIL)
-                if len(core) < len(w) and core and core[-1] < 128 and core[-1:].isalnum():
+                if len(core) < len(w) and core[-1:].isalnum():
                     joined.append((w, core, w[len(core) :]))
-        whole = words.difference(j[0] for j in joined)
-        self.add([w for w in whole.union(*[j[1:] for j in joined]) if w not in self.known])
+                    whole.discard(w)
+            # A part never ends in marks after a letter, so it is coded whole.
+            parts = {x for j in joined for x in j[1:] if x not in self.known and x not in words}
+            plain += [x for x in parts if x.isalpha()] if self.folds else []
+            whole.update(x for x in parts if not (self.folds and x.isalpha()))
+        self.code(self.merges, plain)
+        self.code(self.tokenizer, list(whole))
         if joined:
             pair = np.array([(self.known[a], self.known[b]) for _, a, b in joined]).ravel()
             sizes = self.start[pair + 1] - self.start[pair]
@@ -93,11 +99,6 @@ class WordCoder:
         self.used += total
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def add(self, words: list[bytes]) -> None:
-        plain = [w for w in words if w.isalpha()] if self.folds and self.parts_at_marks else []
-        self.code(self.merges, plain)
-        self.code(self.tokenizer, [w for w in words if not w.isalpha()] if plain else words)
-
     def code(self, tokenizer, words: list[bytes]) -> None:
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
@@ -148,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, max_len: int = 2048, end_id: in
     arrow = arrow_schema(struct)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary file: a few MB
 
+    @without_cycles
     def run(batches):
         ranks: dict[int, int] = defaultdict(int)
         part = TaskContext.get().partitionId()
