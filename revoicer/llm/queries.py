@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import class_lm, nearest, neardup, packing, quality, sentencepieces, sharding, toxicity, url_filter, warc
+from pyspark.sql import functions as F
+
+from . import class_lm, nearest, neardup, packing, quality, quality_sql, sentencepieces, sharding, toxicity, url_filter, warc
 from .shared import table
 
 
@@ -27,7 +29,8 @@ def op3_feistel_sharding(spark, sf_dir):
 
 
 def op4_divergence_rules(spark, sf_dir):
-    return quality.assess(table(spark, sf_dir, "documents"))
+    rows = quality.assess(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op5_piece_lattice(spark, sf_dir):
@@ -61,4 +64,4 @@ def op10_toxicity_bigru(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op5_piece_lattice, op6_brown_class_lm, op7_dated_url_lists, op8_warc_capture_index, op9_one_bit_codes, op10_toxicity_bigru)}
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op7_dated_url_lists": url_filter.JUDGE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_divergence_rules": quality_sql.assess_sql(), "op7_dated_url_lists": url_filter.JUDGE_SQL}
