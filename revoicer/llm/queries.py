@@ -63,5 +63,26 @@ def op10_toxicity_bigru(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_bag_minhash, op3_feistel_sharding, op4_divergence_rules, op5_piece_lattice, op6_brown_class_lm, op7_dated_url_lists, op8_warc_capture_index, op9_one_bit_codes, op10_toxicity_bigru)}
 
+#: Every pair of texts that share a shingle, then the least id that links reach.
+NEAR_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), u AS (SELECT row_number() OVER (ORDER BY min(doc_id)) AS k, t, min(doc_id) AS rep FROM d GROUP BY t),
+ w AS (SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM u),
+ s AS (SELECT k, x, count(*) AS n FROM (SELECT k, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM w) GROUP BY ALL),
+ z AS (SELECT k, sum(n) AS total FROM s GROUP BY k),
+ p AS (SELECT a.k AS a, b.k AS b, sum(least(a.n, b.n)) AS c FROM s a JOIN s b ON a.x = b.x AND a.k < b.k GROUP BY ALL),
+ l AS (SELECT a, b FROM p JOIN z za ON a = za.k JOIN z zb ON b = zb.k WHERE c >= 0.8 * (za.total + zb.total - c)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(k, m) AS (SELECT k, k FROM u UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.k WHERE r.m < e.b),
+ c AS (SELECT k, min(m) AS m FROM r GROUP BY k)
+ SELECT d.doc_id, o.rep AS class_id FROM d JOIN u ON d.t = u.t JOIN c ON c.k = u.k JOIN u o ON o.k = c.m"""
+
+WARC_SQL = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS newest FROM p GROUP BY h)
+ SELECT page_id, url, strlen(p.h)::BIGINT AS payload_bytes, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(p.h), (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), lambda a, b: a || b) AS payload_digest,
+ CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to FROM p JOIN g ON p.h = g.h"""
+
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op4_divergence_rules": quality_sql.assess_sql(), "op7_dated_url_lists": url_filter.JUDGE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_bag_minhash": NEAR_SQL,
+    "op4_divergence_rules": quality_sql.assess_sql(),
+    "op7_dated_url_lists": url_filter.JUDGE_SQL,
+    "op8_warc_capture_index": WARC_SQL,
+}
