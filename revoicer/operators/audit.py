@@ -53,3 +53,10 @@ def seams(segments: DataFrame, silences: DataFrame) -> DataFrame:
     points = texts.select("m", F.col("boundary_s").alias("t")).distinct()
     around = enclosing_silence(points, silences).join(asof_neighbours(points, segments), ["m", "t"])
     return texts.join(around.withColumnRenamed("t", "boundary_s"), ["m", "boundary_s"]).withColumn("in_silence", F.col("start_s").isNotNull())
+
+
+def parts_match(parts: DataFrame, source: DataFrame) -> DataFrame:
+    """(m, passed): whether a medium's parts (m, idx, data), in order, are its source's data."""
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("idx", "data"))), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"]))
+    own = parts.groupBy("m").agg(F.sha2(joined, 256).alias("own"))
+    return source.join(own, "m", "left").select("m", F.sha2("data", 256).eqNullSafe(F.col("own")).alias("passed"))

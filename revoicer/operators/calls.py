@@ -109,7 +109,8 @@ def fit_rounds(rows: DataFrame, backend: Backend, config: Config = Config()) ->
     done = None
     attempts = config.fit_attempts if config.fit_enabled else 1
     for n in range(1, attempts + 1):
-        got = backend(active.withColumn("pace", F.bround("pace", 4)))
+        # The call has the pace to four places, as its key does; the loop goes on with the exact one.
+        got = backend(active.withColumns({"exact": F.col("pace"), "pace": F.bround("pace", 4)})).withColumn("pace", F.col("exact")).drop("exact")
         ratio = F.when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.col("duration_s") / F.col("target"))
         wanted = F.col("pace") * ratio
         step = F.least(F.greatest(wanted, F.lit(config.pace_min)), F.lit(config.pace_max))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from revoicer.config import Config
 from revoicer.functions import scalar as S
 from revoicer.functions import text as X
-from revoicer.operators import audit, cache, folds, pcm, qc, stats, timeline
+from revoicer.operators import audit, cache, calls, folds, pcm, qc, stats, timeline
 from revoicer.operators import segments as seg
 from revoicer.plans import fixtures as fx
 from revoicer.streaming import calls as streams
@@ -524,6 +524,47 @@ def stitched(spark, d):
     return seg.stitch(chunks, spans).select("m", "id", "start", "end", "text", "boundary_source")
 
 
+# ---- calls ------------------------------------------------------------------
+
+
+@query(f"""WITH {SEG} SELECT m, id, translate(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), 'e', 'E') AS translation FROM seg""")
+def translated_with_fallback(spark, d):
+    """Batches to a stub that loses a marker for every third medium, whose lines go again."""
+
+    def backend(df):
+        lost = (F.col("m") % 3 == 0) & F.col("text").startswith("[1]")
+        return df.withColumn("reply", F.translate(F.when(lost, F.regexp_replace("text", r"\[2\]", "")).otherwise(F.col("text")), "e", "E"))
+
+    rows = fx.segments(spark, d).withColumn("text", F.regexp_replace("text", r"[ \t\n\r]+", " "))
+    return calls.translate_segments(rows, backend, Config(translate_model="translate-long", translate_mode="formal"))[0]
+
+
+@query(f"""WITH RECURSIVE {FIT_REC} SELECT id AS segment_id, i::BIGINT AS attempt, round(used, 6) AS pace, round(dur, 6) AS duration_s, stop AS stop_reason FROM rec WHERE i > 0""")
+def fit_attempts(spark, d):
+    """The fit loop as rounds of calls to a synthesiser that is not asked about finished segments."""
+    rows = fx.table(spark, d, "part").select(F.lit(1).cast("long").alias("m"), F.col("p_partkey").alias("segment_id"), F.lit("x").alias("text"), (F.col("p_size") / 10.0).alias("target"), (F.col("p_retailprice") / 400).alias("base"))
+    base = rows.select("segment_id", "base")
+    speak = lambda df: df.join(base, "segment_id").withColumn("duration_s", F.col("base") / F.pow(F.col("exact"), F.lit(1.2))).drop("base")
+    return calls.fit_rounds(rows, speak).select("segment_id", "attempt", "pace", "duration_s", "stop_reason")
+
+
+@query("""WITH s AS (SELECT p_brand, 1 + p_size / 50e0 AS pace, max(p_retailprice / 100) AS v FROM part GROUP BY 1, 2), n AS (SELECT p_brand, lead(v) OVER (PARTITION BY p_brand ORDER BY pace) AS nx, v FROM s)
+ SELECT p_brand, CASE WHEN bool_and(nx < v) THEN 'falls' WHEN bool_and(nx > v) THEN 'rises' ELSE 'neither' END AS direction FROM n GROUP BY 1""")
+def sweep_direction(spark, d):
+    sweep = fx.table(spark, d, "part").groupBy("p_brand", (1 + F.col("p_size") / 50.0).alias("pace")).agg(F.max(F.col("p_retailprice") / 100).alias("duration_s"))
+    return calls.monotonic(sweep, ["p_brand"])
+
+
+@query()
+def seam_records(spark, d):
+    return audit.seams(fx.segments(spark, d), fx.silences(spark, d))
+
+
+@query(f"""WITH {SEG}, {PAIRS} SELECT m, segment_id, length(r) AS source_chars, length(h) AS target_chars, round(length(h) / length(r)::DOUBLE, 6) AS char_ratio FROM pairs""")
+def expansions(spark, d):
+    return X.expansion(fx.pairs(spark, d), "reference", "hypothesis").select("m", "segment_id", "source_chars", "target_chars", "char_ratio")
+
+
 # ---- extensions -------------------------------------------------------------
 
 

@@ -133,3 +133,12 @@ def test_segment_json(spark):
     s = spark.createDataFrame([(1, 1, 2.00049, 3.0, "b", None), (1, 0, 0.0, 2.0005, "a", "x")], "m long, id int, start double, end double, text string, speaker string")
     rows = json.loads(reports.segments_json(s).first().json)
     assert [r["id"] for r in rows] == [0, 1] and rows[0]["end"] in (2.0, 2.001) and rows[1]["speaker"] is None
+
+
+def test_files_of_parts(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [1, 2], 8000), ("b", [3], 8000)], "name string, samples array<int>, rate int")
+    wav.write_wavs(rows, str(tmp_path / "out"))
+    assert wav.samples_of((tmp_path / "out" / "b.wav").read_bytes()) == [3] and len(list((tmp_path / "out").iterdir())) == 2
+    parts = spark.createDataFrame([(1, 1, bytearray(b"cd")), (1, 0, bytearray(b"ab")), (2, 0, bytearray(b"x"))], "m long, idx int, data binary")
+    whole = spark.createDataFrame([(1, bytearray(b"abcd")), (2, bytearray(b"y"))], "m long, data binary")
+    assert sorted(map(tuple, audit.parts_match(parts, whole).collect())) == [(1, True), (2, False)]
