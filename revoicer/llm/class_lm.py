@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, blocks, column, fresh_folder, id_crc, ids_and_text, materialise, read_block, record, slices, write_by_block
+from .shared import arrow_schema, blocks, column, fresh_folder, id_crc, ids_and_text, materialise, read_block, record, slices, without_cycles, write_by_block
 
 UNITS, POOLS, CLASSES = 1000, 256, 48
 #: Frequent words that every task holds; the others come by block.
@@ -66,6 +66,7 @@ def block_words(docs: DataFrame) -> DataFrame:
     struct = T._parse_datatype_string("block bigint, word binary, n bigint")
     arrow = arrow_schema(struct)
 
+    @without_cycles
     def run(batches):
         for block, batch, texts in blocks(batches):
             flat, sizes, words = indexed(texts)
@@ -84,6 +85,7 @@ def bigrams(docs: DataFrame, units: dict[bytes, int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(units)
     total = len(units) + POOLS + 1
 
+    @without_cycles
     def run(batches):
         sums = np.zeros(total * total, np.int64)
         for batch, texts in slices(batches):
@@ -186,8 +188,8 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     words = totals.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     size = len(units) + POOLS + 1
     n = np.zeros((size, size), np.int64)
-    for r in bigrams(docs, units).toLocalIterator():
-        n[r["a"], r["b"]] = r["n"]
+    counted = bigrams(docs, units).toArrow()  # at most size * size rows of 16 bytes
+    n[np.asarray(counted["a"]), np.asarray(counted["b"])] = np.asarray(counted["n"])
     own, _ = exchange(n)
     # Distinct training words of each unit: one each for the frequent, counted for pools.
     distinct = np.zeros(size, np.int64)
@@ -239,6 +241,7 @@ def score(docs: DataFrame) -> DataFrame:
     struct = T._parse_datatype_string("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     arrow = arrow_schema(struct)
 
+    @without_cycles
     def run(batches):
         m = shared.value
         whole = m["n"] + m["v"] + 1

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, blocks, column, fresh_folder, ids_and_text, materialise, read_block, record, write_by_block
+from .shared import arrow_schema, blocks, column, fresh_folder, ids_and_text, materialise, read_block, record, without_cycles, write_by_block
 
 SPACE = "▁"
 BITS = 60
@@ -254,6 +254,7 @@ def block_words(docs: DataFrame, model: Model) -> DataFrame:
     arrow = arrow_schema(struct)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @without_cycles
     def run(batches):
         for block, _, texts in blocks(batches):
             distinct = list(dict.fromkeys(words_of(texts, shared.value)[0]))
@@ -282,6 +283,7 @@ def encode(docs: DataFrame, data: bytes, with_ids: bool = True) -> DataFrame:
     struct = T._parse_datatype_string("doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, text_crc32 bigint, round_trip boolean" + (", ids array<int>" if with_ids else ""))
     arrow = arrow_schema(struct)
 
+    @without_cycles
     def run(batches):
         shown = Decoder(shared.value)
         for block, batch, texts in blocks(batches):

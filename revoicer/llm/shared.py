@@ -103,6 +103,7 @@ def map_slices(df: DataFrame, fn: Callable, schema: str | T.StructType, text: st
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = arrow_schema(struct)
 
+    @without_cycles
     def run(batches):
         for batch, texts in slices(batches, text):
             yield record(fn(batch, texts), arrow)
@@ -169,6 +170,7 @@ def with_columns(docs: DataFrame, fn: Callable, fields: str, keep: list[str] | N
     out = T.StructType([docs.schema[c] for c in keep] + added.fields)
     arrow = arrow_schema(added)
 
+    @without_cycles
     def run(batches):
         for batch, texts in slices(batches, text):
             more = record(fn(batch, texts), arrow)
