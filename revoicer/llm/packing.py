@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, column, ids_and_text, materialise, record, slices, without_cycles
+from .shared import MEMORIES, arrow_schema, column, ids_and_text, materialise, record, slices, without_cycles
 
 GRAIN, DEPTH = 16, 3
 #: Distinct words whose ids one Python worker remembers; then it starts anew.
@@ -38,6 +38,7 @@ TAIL = b".,;:!?*#$%&"
 #: Of a pre-tokenizer that parts runs of letters from runs of marks.
 MARKS_PATTERN = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _memory: dict[str, object] = {}
+MEMORIES.append(_memory)
 
 
 # ---- tokens -----------------------------------------------------------------
@@ -153,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, max_len: int = 2048, end_id: in
     def run(batches):
         ranks: dict[int, int] = defaultdict(int)
         part = TaskContext.get().partitionId()
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, memory=_memory):
             flat, sizes = coder(shared.value).encode(texts, end_id)
             count = -(-sizes // max_len)
             doc = np.repeat(np.arange(len(texts)), count)
