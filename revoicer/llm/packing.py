@@ -38,7 +38,7 @@ TAIL = b".,;:!?*#$%&"
 #: Of a pre-tokenizer that parts runs of letters from runs of marks.
 MARKS_PATTERN = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _memory: dict[str, object] = {}
-MEMORIES.append(_memory)
+MEMORIES["packing"] = _memory
 
 
 # ---- tokens -----------------------------------------------------------------
@@ -154,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, max_len: int = 2048, end_id: in
     def run(batches):
         ranks: dict[int, int] = defaultdict(int)
         part = TaskContext.get().partitionId()
-        for batch, texts in slices(batches, memory=_memory):
+        for batch, texts in slices(batches, memory="packing"):
             flat, sizes = coder(shared.value).encode(texts, end_id)
             count = -(-sizes // max_len)
             doc = np.repeat(np.arange(len(texts)), count)

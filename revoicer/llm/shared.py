@@ -61,15 +61,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 #: What operators remember in a Python worker from task to task.
-MEMORIES: list[dict] = []
+MEMORIES: dict[str, dict] = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, memory: dict | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, memory: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches to slices of about ``limit`` bytes of text; yields each with
     its texts as UTF-8 bytes (null: empty). Workers are used by one operator after another:
     what others than this one (``memory``) remember is dropped first."""
-    for other in MEMORIES:
-        if other is not memory:
+    for name, other in MEMORIES.items():
+        if name != memory:
             other.clear()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
