@@ -43,7 +43,7 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Most texts and bytes of a cell, most texts outside the largest class that a cell is held
 #: against at once, and heads that a cell sends on.
-CELL, CELL_BYTES, STRAYS, HEADS = 512, 8 << 20, 128, 16
+CELL, CELL_BYTES, STRAYS, HEADS = 512, 8 << 20, 512, 16
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -258,10 +258,11 @@ def links_of_strays(pool: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between texts outside their family's largest class and all other classes of
     the family, for families of several cells. pool: family, cell, cells, key, text."""
     several = pool.where("cells > 1").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    sizes = several.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
-    tops = sizes.groupBy("family").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where(F.col("all") > F.col("top.c")).select("family", F.col("top.label").alias("main"), (F.col("all") - F.col("top.c")).alias("strays"))
+    sizes = several.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
+    tops = sizes.groupBy("family").agg(F.max(F.struct("c", "label", "bytes")).alias("top"), F.sum("c").alias("all"), F.sum("bytes").alias("bytes")).where(F.col("all") > F.col("top.c"))
+    tops = tops.select("family", F.col("top.label").alias("main"), F.greatest(F.ceil((F.col("all") - F.col("top.c")) / STRAYS), F.ceil((F.col("bytes") - F.col("top.bytes")) / CELL_BYTES)).cast("int").alias("chunks"))
     rows = salted_join(several, tops, "family")
-    chunks = F.ceil(F.col("strays") / STRAYS).cast("int")
+    chunks = F.greatest(F.col("chunks"), F.lit(1))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rows.where("label != main").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit("s")), chunks).cast("int")).withColumn("cell", every(F.col("cells"))).withColumn("side", F.lit(0))
     right = rows.withColumn("chunk", every(chunks)).withColumn("side", F.lit(1))

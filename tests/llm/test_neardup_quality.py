@@ -39,7 +39,7 @@ def classes(rows):
 @pytest.mark.parametrize("cell", [512, 3])
 def test_near_duplicates(docs, no_docs, corpus, cell, monkeypatch):
     monkeypatch.setattr(neardup, "CELL", cell)
-    monkeypatch.setattr(neardup, "STRAYS", 2 if cell == 3 else 128)
+    monkeypatch.setattr(neardup, "STRAYS", 2 if cell == 3 else 512)
     monkeypatch.setattr(neardup, "HEADS", 1 if cell == 3 else 16)
     got = sorted((str(r.doc_id), str(r.class_id)) for r in neardup.near_duplicates(docs).collect())
     assert got == classes([(r[0], r[1]) for r in corpus])
