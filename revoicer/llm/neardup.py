@@ -29,7 +29,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
