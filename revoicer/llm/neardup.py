@@ -332,7 +332,8 @@ def salted_join(rows: DataFrame, small: DataFrame, on: str, salts: int = 16) ->
 def text_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
     """keys with their text, for (key, rep, ...): joined on the id of one row that has it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = rows.join(keys.withColumnRenamed("rep", "__id"), "__id").where(F.unhex(F.md5("text")) == F.col("key"))
+    # A merge join at every size: the keys grow with the corpus, so they are not sent around.
+    found = rows.join(keys.withColumnRenamed("rep", "__id").hint("merge"), "__id").where(F.unhex(F.md5("text")) == F.col("key"))
     return found.drop("__id")
 
 
@@ -392,7 +393,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     were; rows without an id stay only where no row with an id is in their class."""
     classes = materialise(classified(docs), "classes")
     keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep")).drop("__keep")
+    kept = docs.join(keep.hint("merge"), F.col("doc_id").cast("long") == F.col("__keep")).drop("__keep")
     if repeats(docs):
         kept = kept.dropDuplicates(["doc_id"])
     orphans = classes.where("class_id is null").select("key").distinct()
