@@ -334,11 +334,16 @@ EDITS = """list_reduce(list_concat([range(0, len(hw) + 1)], list_transform(rw, l
 WORDS40 = f"""{PAIRS}, w40 AS (SELECT m, segment_id, list_slice(string_split(r, ' '), 1, 40) AS rw, list_slice(list_filter(string_split(h, ' '), lambda x: x <> ''), 1, 40) AS hw FROM pairs WHERE h <> '')"""
 
 
-def first_words(spark, d):
-    part = lambda c: F.slice(F.filter(F.split(c, " "), lambda x: x != ""), 1, 40)
+def whole_words(spark, d):
+    part = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
     return fx.pairs(spark, d).where("hypothesis != ''").select("m", "segment_id", part("reference").alias("rw"), part("hypothesis").alias("hw"))
 
 
+def first_words(spark, d):
+    """The first forty words alone: what the SQL of the prefix queries can fold."""
+    return whole_words(spark, d).withColumns({c: F.slice(c, 1, 40) for c in ("rw", "hw")})
+
+
 @query(f"WITH {WORDS40} SELECT m, segment_id, ({EDITS})::BIGINT AS edits, round(({EDITS}) / len(rw), 6) AS wer FROM w40")
 def wer_pairs(spark, d):
     """Segment-sized texts: the first forty words of each turn."""
@@ -347,7 +352,22 @@ def wer_pairs(spark, d):
 
 @query(f"WITH {WORDS40}, e AS (SELECT m, ({EDITS}) AS e, len(rw) AS n FROM w40) SELECT m, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, round(sum(e) / sum(n), 6) AS wer FROM e GROUP BY 1")
 def corpus_wer(spark, d):
-    return qc.word_edits(first_words(spark, d)).groupBy("m").agg(F.sum("edits").alias("edits"), F.sum(F.size("rw")).alias("words"), (F.sum("edits") / F.sum(F.size("rw"))).alias("wer"))
+    return rates(first_words(spark, d))
+
+
+def rates(pairs):
+    return qc.word_edits(pairs).groupBy("m").agg(F.sum("edits").alias("edits"), F.sum(F.size("rw")).alias("words"), (F.sum("edits") / F.sum(F.size("rw"))).alias("wer"))
+
+
+@query()
+def wer_pairs_whole(spark, d):
+    """Every word of each turn."""
+    return qc.word_edits(whole_words(spark, d)).select("m", "segment_id", "edits", (F.col("edits") / F.size("rw")).alias("wer"))
+
+
+@query()
+def corpus_wer_whole(spark, d):
+    return rates(whole_words(spark, d))
 
 
 # ---- folds ------------------------------------------------------------------
@@ -589,8 +609,18 @@ def windowed_costs(spark, d):
 def qc_rank_worst(spark, d):
     """Rank every medium's segments by word error rate plus drift: joins, scoring by a
     fold, window rank; the whole quality stage on segment-sized texts."""
+    return ranked_pairs(spark, d, first_words(spark, d))
+
+
+@query()
+def qc_rank_worst_whole(spark, d):
+    """The same over every word of each turn."""
+    return ranked_pairs(spark, d, whole_words(spark, d))
+
+
+def ranked_pairs(spark, d, words):
     text = lambda c: F.array_join(F.col(c), " ")
-    pairs = first_words(spark, d).select("m", "segment_id", text("rw").alias("reference"), text("hw").alias("hypothesis"))
+    pairs = words.select("m", "segment_id", text("rw").alias("reference"), text("hw").alias("hypothesis"))
     placed = fx.placements(spark, d).join(pairs.select("m", "segment_id"), ["m", "segment_id"])
     # Overlaps are those of the whole timeline, not of the scored part alone.
     over = timeline.overlaps(fx.placements(spark, d)).select("m", F.col("left_id").alias("segment_id"), "overlap_s")
