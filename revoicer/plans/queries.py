@@ -266,22 +266,32 @@ CLIPS = "clips AS (SELECT label::BIGINT AS m, m AS ord, m % 40 AS off, s FROM si
 
 
 def clips(spark, d):
-    return fx.signals(spark, d).where("m < 400").select(F.col("label").cast("long").alias("m"), F.col("m").alias("ord"), (F.col("m") % 40).cast("int").alias("offset"), F.transform("samples", lambda x: x * 3).alias("samples"))
+    return fx.signals(spark, d).select(F.col("label").cast("long").alias("m"), F.col("m").alias("ord"), (F.col("m") % 40).cast("int").alias("offset"), F.transform("samples", lambda x: x * 3).alias("samples"))
 
 
-def canvas(spark, d):
-    return clips(spark, d).select("m").distinct().withColumn("frames", F.lit(90))
+def canvas(rows):
+    return rows.select("m").distinct().withColumn("frames", F.lit(90))
 
 
 @query(f"""WITH {SIG}, {CLIPS}, f AS (SELECT m, ord, off + generate_subscripts(s, 1) - 1 AS i, unnest(s) * 3 AS x FROM clips), g AS (SELECT m, i, list(x ORDER BY ord) AS xs FROM f WHERE i < 90 GROUP BY ALL)
  SELECT m, i, list_reduce(list_concat([0], xs), lambda a, x: greatest(-32768, least(32767, a + x)))::BIGINT AS x FROM g""")
 def mixed_signals(spark, d):
-    return pcm.mix(clips(spark, d), canvas(spark, d))
+    """The clips that the SQL mixes: ids under 400 alone."""
+    some = clips(spark, d).where("ord < 400")
+    return pcm.mix(some, canvas(some))
+
+
+@query()
+def mixed_signals_whole(spark, d):
+    """Every clip."""
+    every = clips(spark, d)
+    return pcm.mix(every, canvas(every))
 
 
 @query()
 def mix_counts(spark, d):
-    return pcm.mix_counts(clips(spark, d), canvas(spark, d))
+    every = clips(spark, d)
+    return pcm.mix_counts(every, canvas(every))
 
 
 # ---- text -------------------------------------------------------------------

@@ -27,3 +27,28 @@ def test_errors_after_word_forty_count(spark, tmp_path):
     ranked = {r.segment_id: r for r in q["qc_rank_worst_whole"](spark, str(tmp_path)).collect()}
     assert {i: r.wer for i, r in ranked.items()} == {r.segment_id: r.wer for r in pairs}
     assert sorted(r.rank for r in ranked.values()) == [1, 2, 3, 4]
+
+
+def test_every_clip_is_mixed(spark, tmp_path):
+    rows = [(i, [0.1 + i / 1e4] * 64, i % 3) for i in (0, 1, 39, 399, 400, 439, 700, 1205)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    import numpy as np
+
+    frames, counts = {}, {}
+    for i, v, label in rows:
+        sample, seen = int(np.floor(float(np.float32(v[0])) * 20000)) * 3, [0, 0, 0, 0]
+        for k in range(64):
+            at = (label, i % 40 + k)
+            if at[1] >= 90:
+                seen[1] += 1
+                continue
+            old, total = frames.get(at, 0), frames.get(at, 0) + sample
+            frames[at] = max(-32768, min(32767, total))
+            seen[0] += 1
+            seen[2] += old != 0
+            seen[3] += total != frames[at]
+        counts[label, i] = tuple(seen)
+    q = entry.queries()
+    assert {(r.m, r.i): r.x for r in q["mixed_signals_whole"](spark, str(tmp_path)).collect()} == frames
+    got = {(r.m, r.ord): (r.written, r.truncated, r.overlapped, r.clipped) for r in q["mix_counts"](spark, str(tmp_path)).collect()}
+    assert got == counts and len(got) == len(rows)
