@@ -377,28 +377,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """doc_id, key, class_id of every document."""
+    """doc_id, key, class_id, class of every document; class is a text key that tells apart
+    the classes of one class_id, where an id has several texts."""
     own = materialise(sign(docs), "signed")
     texts, labels = link_texts(own, docs)
     named = texts.join(labels, texts["key"] == labels["node"], "left").select("key", "rep", "label")
-    alone = named.where("label is null").select("key", F.col("rep").alias("class_id"))
+    alone = named.where("label is null").select("key", F.col("rep").alias("class_id"), F.col("key").alias("class"))
     linked = named.where("label is not null")
     least = linked.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = alone.unionByName(linked.join(least, "label").select("key", "class_id"))
-    return own.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id")
+    classes = alone.unionByName(linked.join(least, "label").select("key", "class_id", F.col("label").alias("class")))
+    return own.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id", "class")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least id, with its columns as they
-    were; rows without an id stay only where no row with an id is in their class."""
+    were; rows without an id stay only where no row with an id is in their class. Where
+    an id has several texts, the row kept for a class has a text of that class."""
     classes = materialise(classified(docs), "classes")
-    keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep.hint("merge"), F.col("doc_id").cast("long") == F.col("__keep")).drop("__keep")
+    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    least = classes.where("doc_id = class_id")
     if repeats(docs):
-        kept = kept.dropDuplicates(["doc_id"])
+        # A class may have several texts of its least id: the one of the least key stays.
+        keep = least.groupBy("class").agg(F.min("doc_id").alias("__keep"), F.min("key").alias("__key"))
+        tagged = docs.withColumn("__text_key", key)
+        same = (F.col("doc_id").cast("long") == F.col("__keep")) & (F.col("__text_key") == F.col("__key"))
+        kept = tagged.join(keep.hint("merge"), same).dropDuplicates(["__keep", "__key"]).select(*docs.columns)
+    else:
+        keep = least.select(F.col("doc_id").alias("__keep")).distinct()
+        kept = docs.join(keep.hint("merge"), F.col("doc_id").cast("long") == F.col("__keep")).drop("__keep")
     orphans = classes.where("class_id is null").select("key").distinct()
     if not orphans.isEmpty():
-        key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
         own = docs.where("doc_id is null").withColumn("__key", key).join(orphans.withColumnRenamed("key", "__key"), "__key", "left_semi")
         kept = kept.unionByName(own.dropDuplicates(["__key"]).select(*docs.columns))
     return kept
