@@ -226,16 +226,22 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return flat, np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)), list(known)
 
 
-def score_texts(model: dict, texts: list[str]) -> np.ndarray:
-    """A score in [0, 1] for each whole text; a text without words gets the prior."""
-    if model["p"] is None:
-        return np.full(len(texts), model["prior"])
-    p, (flat, sizes, vocab) = model["p"], coded(texts)
+def highest(p: dict, texts: list[str]) -> np.ndarray:
+    """The greatest logit of each whole text's windows; -inf for a text without words."""
+    flat, sizes, vocab = coded(texts)
     top = np.full(len(texts), -np.inf)
     if len(flat):
         x = word_vectors(p, *word_features(vocab))
         place, mask, owner = windows(sizes)
         np.maximum.at(top, owner, logits(p, x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"], flat[place], mask).astype(float))
+    return top
+
+
+def score_texts(model: dict, texts: list[str]) -> np.ndarray:
+    """A score in [0, 1] for each whole text; a text without words gets the prior."""
+    if model["p"] is None:
+        return np.full(len(texts), model["prior"])
+    top = highest(model["p"], texts)
     a, b = model["scale"]
     return np.where(np.isfinite(top), sigmoid(a * np.where(np.isfinite(top), top, 0) + b), model["prior"])
 
@@ -243,10 +249,12 @@ def score_texts(model: dict, texts: list[str]) -> np.ndarray:
 # ---- fitting ----------------------------------------------------------------
 
 
-def fit_texts(rows: list[tuple[list[str], int]], sample: Sample = Sample()) -> dict:
-    """A model from documents given as (window texts, label)."""
+def fit_texts(rows: list[tuple[list[str], int]], sample: Sample = Sample(), weight: tuple[float, float] = (1.0, 1.0)) -> dict:
+    """A model from documents given as (window texts, label); weight: how many documents
+    one of each label stands for, in the prior and the calibration."""
     y = np.array([label for _, label in rows], dtype=np.float32)
-    prior = float(y.mean()) if len(y) else 0.0
+    share = np.array(weight)[y.astype(int)]
+    prior = float((share * y).sum() / share.sum()) if len(y) else 0.0
     if not len(y) or prior in (0.0, 1.0):
         return {"p": None, "prior": prior, "scale": (1.0, 0.0)}
     rng = np.random.default_rng(sample.seed)
@@ -315,16 +323,17 @@ def fit_texts(rows: list[tuple[list[str], int]], sample: Sample = Sample()) -> d
     z = logits(p, x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"], index, mask)
     high = np.full(len(rows), -np.inf)
     np.maximum.at(high, of, z.astype(float))
-    return {"p": p, "prior": prior, "scale": calibrated(high[np.isfinite(high)], y[np.isfinite(high)])}
+    return {"p": p, "prior": prior, "scale": calibrated(high[np.isfinite(high)], y[np.isfinite(high)], share[np.isfinite(high)])}
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
     """Slope and shift of a logistic curve from maximum logit to label, by Newton steps."""
+    weight = np.broadcast_to(weight, z.shape)
     w, x = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], axis=1)
     for _ in range(30):
         q = sigmoid(x @ w)
-        hessian = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(hessian, x.T @ (q - y) + 1e-2 * (w - [1, 0])), -2, 2)
+        hessian = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(hessian, x.T @ (weight * (q - y)) + 1e-2 * (w - [1, 0])), -2, 2)
     return max(float(w[0]), 0.05), float(w[1])
 
 
@@ -333,10 +342,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), held_out_
 
     Labels of one id are merged by their maximum; null labels don't count. Of each
     class the rows with the least hash of their id are taken, up to Sample's bounds:
-    that bound, not the table, is what reaches the driver.
+    that bound, not the table, is what reaches the driver. Where a bound leaves rows out,
+    those of the sample stand for them in the prior and the calibration, so class shares
+    are those of all labels; the calibration sees every window of the sampled texts, as
+    scoring does.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__label"))
     known = known.where(F.crc32(F.col("__id").cast("string")) % held_out_mod != 0)
+    found = {r["__label"]: r["count"] for r in known.where("__label in (0, 1)").groupBy("__label").count().collect()}
+    weight = tuple(found.get(label, 0) / max(1, min(found.get(label, 0), most)) for label, most in ((0, sample.negatives), (1, sample.positives)))
     order = F.xxhash64("__id")
     ids = known.where("__label = 1").orderBy(order, "__id").limit(sample.positives).unionByName(known.where("__label = 0").orderBy(order, "__id").limit(sample.negatives))
     # At most positives + negatives ids: safe to broadcast at any size of the tables.
@@ -355,7 +369,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), held_out_
 
     got = with_columns(rows, cut, "cut string", keep=["__doc", "__label"]).collect()
     got = sorted({(r["__doc"], r["cut"], r["__label"]) for r in got})
-    return fit_texts([(c.split("\n"), label) for _, c, label in got], sample)
+    model = fit_texts([(c.split("\n"), label) for _, c, label in got], sample, weight)
+    if model["p"] is None:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model["p"])
+
+    def tops(batch, texts):
+        return {"top": highest(shared.value, [t.decode("utf-8", "replace") for t in texts])}
+
+    whole = with_columns(rows, tops, "top double", keep=["__doc", "__label"]).collect()
+    high, y = np.array(sorted({(r["__doc"], r["top"], r["__label"]) for r in whole if np.isfinite(r["top"])})).reshape(-1, 3)[:, 1:].T
+    return model | {"scale": calibrated(high, y, np.array(weight)[y.astype(int)])}
 
 
 def score(docs: DataFrame, model: dict, keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
