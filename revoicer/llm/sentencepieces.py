@@ -1,43 +1,61 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 1. Words: stretches of text that no piece crosses (white space before letters or marks).
+   Each block of documents sends its distinct words once, packed by hash bucket.
 2. Lattice: every substring of a word up to the longest piece is exploded and equi-joined
    to the piece table; what matches are the edges, grouped by word.
 3. A fold of Spark's higher-order ``aggregate`` picks the path. For a unigram model it is
    Viterbi's: the best score at each place. For a BPE model the best sum of scores is not
    what the model means, so the fold merges in its order: of the edges whose two halves
-   stand side by side, the best score, the leftmost of equals, until none is left.
-4. Words' ids reach the documents through side files by block; texts are never shuffled.
-
-A path is a bit mask of places where pieces start, so words of at most BITS characters are
-folded; longer ones, which hold no more than runs of one kind of character, are coded by
-the same rules with a heap. Characters without a piece become byte pieces.
+   stand side by side, the best score, the leftmost of equals, until none is left. One
+   pass over the edges in that order does this, but where an edge becomes a half of a
+   better one that was passed over (``risk``); those words are folded round by round.
+4. Each bucket sends the ids of a block's words back to the block's side file, in the order
+   in which the block listed them; texts are never shuffled.
+
+A path is a bit mask of places where pieces start: one long for words of at most BITS
+characters, an array of longs for others, folded by the same rule. Characters without a
+piece become byte pieces.
+
+A bucket holds a word once for each block that has it, whatever the word's count, so no
+word is a hot key.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
-from dataclasses import dataclass, field
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, blocks, column, fresh_folder, ids_and_text, materialise, read_block, record, without_cycles, write_by_block
+from .shared import arrow_schema, blocks, column, fresh_folder, ids_and_text, read_block, record, without_cycles, write_by_block
 
 SPACE = "▁"
 BITS = 60
-#: Words: marks of space, then letters alone or other characters alone.
-FINE = rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[\W\d_](?<!{SPACE}))+|{SPACE}+"
+#: Words where no finer cut is safe: marks of space, then all up to the next mark.
 COARSE = rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
 
 
+def word_pattern(pieces: list[str]) -> str:
+    """Words that no piece crosses: marks of space, then letters alone or other characters
+    alone. Letters (as ``re`` sees them, superscripts too) that pieces put beside others
+    count as others."""
+    letter = re.compile(r"[^\W\d_]")
+    crossing = {c for p in pieces for a, b in zip(p, p[1:]) for c, other in ((a, b), (b, a)) if letter.match(c) and other != SPACE and not letter.match(other)}
+    moved = re.escape("".join(sorted(crossing)))
+    fine = rf"{SPACE}*[^\W\d_{moved}]+|{SPACE}*(?:(?!{SPACE})[\W\d_{moved}])+|{SPACE}+"
+    for pattern in (fine, COARSE):
+        if all(map(re.compile(pattern).fullmatch, pieces)):
+            return pattern
+    raise ValueError("a piece holds a space after other characters")
+
+
 @dataclass
 class Model:
     """The piece table of a model file, whose normaliser must leave text as it is."""
@@ -48,7 +66,7 @@ class Model:
     unknown: int
     shown: list[bytes]  # bytes that each id stands for
     prefix: bool
-    pattern: str = field(default=FINE)
+    pattern: str
 
     @property
     def longest(self) -> int:
@@ -83,11 +101,9 @@ def load(data: bytes) -> Model:
             shown.append(b"")
     if not any(bytes_):
         raise ValueError("only models with byte pieces are supported")
-    fine = re.compile(FINE)
-    pattern = FINE if all(fine.fullmatch(p) for p in pieces) else COARSE
-    if pattern == COARSE and not all(re.fullmatch(COARSE, p) for p in pieces):
-        raise ValueError("a piece holds a space after other characters")
-    return Model(kinds[proto.trainer_spec.model_type], pieces, bytes_, unknown, shown, spec.add_dummy_prefix, pattern)
+    if max(map(len, pieces)) > 32:
+        raise ValueError("pieces of more than 32 characters are not supported")
+    return Model(kinds[proto.trainer_spec.model_type], pieces, bytes_, unknown, shown, spec.add_dummy_prefix, word_pattern(list(pieces)))
 
 
 def marked(text: str, model: Model) -> str:
@@ -102,36 +118,93 @@ def words_of(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray]:
 
 # ---- the lattice ------------------------------------------------------------
 
+#: Bits of an edge's first character, and the id that stands for a missing piece.
+PLACE, NONE = 26, 0x7FFFFFFF
+
+
+@dataclass
+class Pieces:
+    """The piece table by number, best score first; its last row is any other character."""
+
+    texts: list[str]
+    length: np.ndarray
+    rank: np.ndarray  # equal for equal scores
+    id: np.ndarray
+    cost: np.ndarray
+
+    @classmethod
+    def of(cls, model: Model) -> Pieces:
+        rows = sorted(model.pieces.items(), key=lambda x: (-x[1][0], x[0]))
+        score = np.array([s for _, (s, _) in rows] + [model.unknown_score])
+        return cls(
+            [p for p, _ in rows], np.array([len(p) for p, _ in rows] + [1]), np.unique(-score, return_inverse=True)[1].astype(np.int64),
+            np.array([i for _, (_, i) in rows] + [NONE]), -score,
+        )
+
+
+def lattice(words: DataFrame, model: Model) -> DataFrame:
+    """Edges of each word of (word, block, members) rows, grouped; rows without a word pass
+    by, in their place. Every single character has an edge, if need be to no piece."""
+    table = Pieces.of(model)
+    # Bounded by the vocabulary: tens of thousands of short rows.
+    pieces = words.sparkSession.createDataFrame([(p, k) for k, p in enumerate(table.texts)], "piece string, p int")
+    spans = words.select(F.monotonically_increasing_id().alias("at"), "word", F.char_length("word").alias("n"), "block", "members")
+    spans = spans.withColumn("i", F.explode_outer(F.expr("if(n > 0, sequence(0, n - 1), null)")))
+    spans = spans.withColumn("rest", F.expr(f"substring(word, i + 1, {model.longest})")).withColumn("l", F.explode_outer(F.expr("sequence(1, char_length(rest))")))
+    spans = spans.withColumn("piece", F.expr("substring(rest, 1, l)"))
+    met = spans.join(F.broadcast(pieces), "piece", "left").where("p is not null or l = 1 or i is null")
+    edge = F.shiftleft(F.coalesce("p", F.lit(len(table.texts))).cast("long"), PLACE).bitwiseOR(F.col("i").cast("long"))
+    rows = met.select("at", F.expr("if(i = 0 and l = 1, word, null)").alias("word"), edge.alias("edge"), "block", "members")
+    shape = BPE_EDGES if model.kind == "bpe" else UNIGRAM_EDGES
+    arrow = pa.schema([*((f, k) for f, k in shape.items()), *CARRIED.items()])
+    struct = T.StructType([T.StructField(f.name, from_arrow(f.type)) for f in arrow])
+    edges = bpe_edges if model.kind == "bpe" else unigram_edges
+
+    def run(batches):
+        return grouped(batches, table, edges, arrow)
 
-def piece_table(spark, model: Model) -> DataFrame:
-    return spark.createDataFrame([(p, s, i) for p, (s, i) in model.pieces.items()], "piece string, score double, id int")
+    return rows.mapInArrow(run, struct)
 
 
-EDGES = T.StructType(
-    [
-        T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType()),
-        T.StructField("edges", T.ArrayType(T.StructType([T.StructField("o", T.DoubleType()), T.StructField("i", T.IntegerType()), T.StructField("l", T.IntegerType()), T.StructField("id", T.IntegerType())]))),
-    ]
-)
+def from_arrow(kind: pa.DataType) -> T.DataType:
+    from pyspark.sql.pandas.types import from_arrow_type
 
+    return from_arrow_type(kind)
 
-def grouped(batches):
-    """Rows (at, word, n, o, i, l, id) to one row per word, edges sorted by (o, i).
 
-    A word's rows follow each other: they come from exploding one row and from a join that
-    streams them past the piece table. ``at`` numbers the words of a partition upwards,
-    so an order that ever was otherwise would be seen, and raises."""
+JOIN = pa.struct([("req", pa.int64()), ("span", pa.int64()), ("risk", pa.int64()), ("at", pa.int64())])
+PART = [("k", pa.int32()), ("req", pa.int64()), ("span", pa.int64())]
+WIDE = pa.struct([*PART, ("at", pa.int64()), ("better", pa.list_(pa.struct(PART)))])
+#: ``at`` is a place (high half) and an id (low half); ``odd``: some character has no piece.
+BPE_EDGES = {"word": pa.string(), "n": pa.int32(), "odd": pa.bool_(), "ones": pa.list_(pa.int64()), "joins": pa.list_(JOIN), "wide": pa.list_(WIDE)}
+UNIGRAM_EDGES = {"word": pa.string(), "n": pa.int32(), "odd": pa.bool_(), "into": pa.list_(pa.list_(pa.struct([("b", pa.int32()), ("o", pa.float64()), ("id", pa.int32())])))}
+CARRIED = {"block": pa.int64(), "members": pa.binary()}
+
+
+def grouped(batches, table: Pieces, edges, arrow: pa.Schema):
+    """Rows (at, word, edge, block, members) to one row per word, in the same order.
+
+    A word's rows follow each other, by place and length: they come from exploding one row
+    and from a join that streams them past the piece table. ``at`` numbers the words of a
+    partition upwards, so an order that ever was otherwise would be seen, and raises."""
     held: list[pa.RecordBatch] = []
     last = -1
 
     def emit(rows: pa.Table):
-        at = np.asarray(rows["at"])
-        order = np.lexsort((np.asarray(rows["i"]), np.asarray(rows["o"]), at))
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        edge = pa.StructArray.from_arrays([pa.array(np.asarray(rows[c])[order]) if c != "id" else rows[c].combine_chunks().take(pa.array(order)) for c in ("o", "i", "l", "id")], names=["o", "i", "l", "id"])
-        edges = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(at)]]).astype(np.int32)), edge)
-        take = pa.array(first)
-        return pa.RecordBatch.from_arrays([rows["word"].combine_chunks().take(take), rows["n"].combine_chunks().take(take), edges], names=["word", "n", "edges"])
+        wordless = np.asarray(pa.compute.is_null(rows["edge"]))
+        turns = np.flatnonzero(np.diff(wordless)) + 1
+        for a, b in zip([0, *turns], [*turns, len(rows)], strict=True):
+            part = rows.slice(a, b - a).combine_chunks()
+            if wordless[a]:
+                out = {c: part[c] for c in CARRIED} | {c: pa.nulls(len(part), arrow.field(c).type) for c in arrow.names if c not in CARRIED}
+            else:
+                edge, at = np.asarray(part["edge"]), np.asarray(part["at"])
+                local = np.cumsum(np.concatenate([[0], at[1:] != at[:-1]]))
+                out = edges(local, edge >> PLACE, edge & ((1 << PLACE) - 1), table)
+                count = len(out["n"])
+                out |= {"word": part["word"].drop_null()} | {c: pa.nulls(count, k) for c, k in CARRIED.items()}
+            columns = [out[f.name] for f in arrow]
+            yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns], schema=arrow)
 
     for batch in batches:
         if not len(batch):
@@ -142,115 +215,169 @@ def grouped(batches):
         last = int(at[-1])
         whole = int(np.searchsorted(at, last))  # the last word may go on in the next batch
         if whole:
-            yield emit(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+            yield from emit(pa.Table.from_batches([*held, batch.slice(0, whole)]))
             held = []
         held.append(batch.slice(whole))
     if held:
-        yield emit(pa.Table.from_batches(held))
+        yield from emit(pa.Table.from_batches(held))
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n, edges) of words of at most BITS characters: edges are
-    array<struct<o, i, l, id>>, best score first, then leftmost; every single character
-    has one, with a null id where no piece is it."""
-    spans = words.withColumn("n", F.char_length("word")).where(F.col("n").between(1, BITS)).withColumn("at", F.monotonically_increasing_id())
-    spans = spans.withColumn("i", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("l", F.explode(F.expr(f"sequence(1, least(n - i, {model.longest}))")))
-    spans = spans.withColumn("piece", F.expr("substring(word, i + 1, l)"))
-    # The piece table is bounded by the vocabulary: tens of thousands of short rows.
-    met = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("id is not null or l = 1")
-    return met.select("at", "word", "n", (-F.coalesce("score", F.lit(model.unknown_score))).alias("o"), "i", "l", "id").mapInArrow(grouped, EDGES)
+def outranked(group: np.ndarray, length: np.ndarray, rank: np.ndarray, ties: bool) -> np.ndarray:
+    """Whether a longer edge of the same group has a better rank, or with ties an equal one."""
+    order = np.argsort(group << 6 | length)[::-1]  # groups downwards, long edges first
+    g, r = group[order], rank[order]
+    least = np.minimum.accumulate(g << 20 | r)  # a later group starts below all before it
+    out = np.zeros(len(g), bool)
+    out[order[1:]] = (g[1:] == g[:-1]) & ((least[:-1] & ((1 << 20) - 1)) < r[1:] + ties)
+    return out
+
+
+def bpe_edges(local: np.ndarray, p: np.ndarray, i: np.ndarray, table: Pieces) -> dict:
+    """Columns of BPE_EDGES, but for the word: joins best first, then leftmost."""
+    length, count = table.length[p], int(local[-1]) + 1
+    at = i << 32 | table.id[p]
+    one = length == 1
+    n = np.bincount(local[one], minlength=count)
+    odd = np.bincount(local[one], weights=table.id[p[one]] == NONE, minlength=count) > 0
+    own, p, i, length, at_ = local[~one], p[~one], i[~one], length[~one], at[~one]
+    rank = table.rank[p]
+    # Of equal scores the edge further left comes first, so it outranks one with its end.
+    risk = outranked(own << PLACE | i, length, rank, False) | outranked(own << PLACE | (i + length), length, rank, True)
+    order = np.argsort(own << 43 | rank << PLACE | i, kind="stable")
+    own, i, length, at_, risk, rank = (x[order] for x in (own, i, length, at_, risk, rank))
+    long = n[own] > BITS
+    start, end = (np.where(long, 0, x) for x in (i, i + length))
+    short = ~long
+    fields = [(1 << start | 1 << end)[short], ((1 << end) - (2 << start))[short], (risk.astype(np.int64) << 62)[short], at_[short]]
+    joins = lists_of(pa.StructArray.from_arrays([pa.array(x) for x in fields], fields=list(JOIN)), np.bincount(own[short], minlength=count))
+    wide: list = [None] * count
+    for w in np.flatnonzero(n > BITS):
+        mine = own == w
+        wide[w] = wide_edges(i[mine], length[mine], at_[mine], risk[mine])
+    return {"n": pa.array(n.astype(np.int32)), "odd": pa.array(odd), "ones": lists_of(pa.array(at[one]), n), "joins": joins, "wide": pa.array(wide, BPE_EDGES["wide"])}
+
+
+def wide_edges(i: np.ndarray, length: np.ndarray, at: np.ndarray, risk: np.ndarray) -> list[dict]:
+    """Edges of a long word against masks of 32 places: ``k`` is the first mask, and
+    ``better`` the better edges around a risky one."""
+    off = (i % 32).astype(np.uint64)
+    one = np.uint64(1)
+    end = off + length.astype(np.uint64)  # at most bit 63: no piece is longer than 32
+    req, span = (one << off | one << end).view(np.int64), ((one << end) - (one << off + one)).view(np.int64)
+    parts = [{"k": k, "req": r, "span": s} for k, r, s in zip((i // 32).tolist(), req.tolist(), span.tolist(), strict=True)]
+    starts, ends, at = i.tolist(), (i + length).tolist(), at.tolist()
+    by_start: dict[int, list[int]] = {}
+    for e, a in enumerate(starts):
+        by_start.setdefault(a, []).append(e)
+    out, reach = [], int(length.max(initial=0))
+    for e, part in enumerate(parts):
+        around: list[int] = []
+        if risk[e]:
+            around = sorted(c for a in range(max(0, ends[e] - reach), starts[e] + 1) for c in by_start.get(a, ()) if c < e and ends[c] >= ends[e])
+        out.append(part | {"at": at[e], "better": [parts[c] for c in around]})
+    return out
+
+
+def unigram_edges(local: np.ndarray, p: np.ndarray, i: np.ndarray, table: Pieces) -> dict:
+    """Columns of UNIGRAM_EDGES, but for the word: the edges into each place."""
+    length, count = table.length[p], int(local[-1]) + 1
+    n = np.bincount(local[length == 1], minlength=count)
+    odd = np.bincount(local, weights=table.id[p] == NONE, minlength=count) > 0
+    order = np.argsort(local << PLACE | (i + length), kind="stable")
+    p, i, key = p[order], i[order], (local << PLACE | (i + length))[order]
+    edge = pa.StructArray.from_arrays([pa.array(i.astype(np.int32)), pa.array(table.cost[p]), pa.array(table.id[p].astype(np.int32))], names=["b", "o", "id"])
+    into = lists_of(edge, np.unique(key, return_counts=True)[1])  # each place has an edge into it
+    return {"n": pa.array(n.astype(np.int32)), "odd": pa.array(odd), "into": lists_of(into, n)}
+
+
+def lists_of(flat: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
 
 
-MERGED = """aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(1L, n + 1) - 1L, (mask, _) ->
- mask & ~coalesce(get(filter(joins, e -> (mask & e.req) = e.req and bit_count(mask & e.span) = 1), 0).span, 0L))"""
-BEST = """aggregate(sequence(1, n), array(named_struct('s', 0D, 'b', 0)), (best, j) -> concat(best, array(
- array_max(transform(filter(edges, e -> e.i + e.l = j), e -> named_struct('s', best[e.i].s - e.o, 'b', e.i))))))"""
-BACK = """aggregate(sequence(1, n), named_struct('p', n, 'mask', shiftleft(1L, n)), (s, _) -> if(s.p = 0, s,
- named_struct('p', best[s.p].b, 'mask', s.mask | shiftleft(1L, best[s.p].b)))).mask"""
+FITS = "({m} & {e}.req) = {e}.req and bit_count({m} & {e}.span) = 1"
+ONCE = f"aggregate(joins, shiftleft(1L, n + 1) - 1L, (m, e) -> if({FITS.format(m='m', e='e')}, (m & ~e.span) | e.risk, m))"
+ROUNDS = f"""aggregate(sequence(1, n - 1), shiftleft(1L, n + 1) - 1L, (m, _) ->
+ m & ~coalesce(get(filter(joins, e -> {FITS.format(m='m', e='e')}), 0).span, 0L))"""
+#: The two masks of an array that an edge may touch, and the array once it is applied.
+PAIR = "(get({m}, {e}.k) | shiftleft(get({m}, {e}.k + 1), 32))"
+JOINED = f"concat(slice({{m}}, 1, {{e}}.k), array({PAIR} & ~{{e}}.span & 4294967295L, shiftrightunsigned({PAIR} & ~{{e}}.span, 32)), slice({{m}}, {{e}}.k + 3, size({{m}})))"
+FULL = "transform(sequence(0, cast(n div 32 as int) + 2), k -> if(k * 32 > n, 0L, if(k * 32 + 31 <= n, 4294967295L, shiftleft(1L, n + 1 - k * 32) - 1L)))"
+
+
+def wide_fold() -> str:
+    """One pass over the edges of a long word; an applied edge is followed by the better
+    ones that it makes fit, best first, until none does."""
+    fits = lambda m, e: FITS.format(m=PAIR.format(m=m, e=e), e=e)
+    first = f"slice(filter(e.better, b -> {fits('q', 'b')}), 1, 1)"
+    again = f"aggregate(e.better, {JOINED.format(m='m', e='e')}, (q, _) -> aggregate({first}, q, (z, c) -> {JOINED.format(m='z', e='c')}))"
+    return f"aggregate(wide, {FULL}, (m, e) -> if({fits('m', 'e')}, {again}, m))"
+
+
+BEST = """aggregate(into, array(named_struct('s', 0D, 'b', 0, 'id', 0)), (best, edges) -> concat(best, array(
+ array_max(transform(edges, e -> named_struct('s', best[e.b].s - e.o, 'b', e.b, 'id', e.id))))))"""
+BACK = """aggregate(sequence(1, n), named_struct('p', n, 'ats', cast(array() as array<bigint>)), (x, _) -> if(x.p = 0, x,
+ named_struct('p', best[x.p].b, 'ats', concat(array(shiftleft(cast(best[x.p].b as bigint), 32) | best[x.p].id), x.ats)))).ats"""
 
 
 def computed(rows: DataFrame, *names: str) -> DataFrame:
-    """The word and the named columns, worked out once: without this step the optimiser
-    would put a column's expression into each lambda that names it, to be worked out again
-    for every element."""
-    return rows.select("word", F.inline(F.array(F.struct(*names))))
+    """The named columns beside those that are always carried, worked out once: without
+    this step the optimiser would put a column's expression into each lambda that names
+    it, to be worked out again for every element."""
+    return rows.select("word", *CARRIED, F.inline(F.array(F.struct("n", "odd", *names))))
 
 
 def coded(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) of distinct words."""
+    """(word, ids, block, members) of (word, block, members) rows; rows without a word
+    keep their place among the others."""
     rows = lattice(words, model)
     if model.kind == "bpe":
-        joins = F.expr("transform(filter(edges, e -> e.l > 1), e -> named_struct('req', shiftleft(1L, e.i) | shiftleft(1L, e.i + e.l), 'span', shiftleft(1L, e.i + e.l) - shiftleft(1L, e.i + 1)))")
-        rows = computed(rows.withColumn("joins", joins), "n", "edges", "joins").withColumn("mask", F.expr(MERGED))
+        rows = computed(rows.withColumns({"mask": F.expr(f"if(n <= {BITS}, {ONCE}, null)"), "masks": F.expr(f"if(n > {BITS}, {wide_fold()}, null)")}), "ones", "joins", "wide", "mask", "masks")
+        rows = computed(rows.withColumn("mask", F.expr(f"if(mask >= {1 << 62}L, {ROUNDS}, mask)")), "ones", "joins", "wide", "mask", "masks")
+        # The edges of the path: both ends are starts, and no place within.
+        own = "concat(filter(ones, a -> (shiftright(mask, cast(shiftright(a, 32) as int)) & 3) = 3), transform(filter(joins, e -> (mask & (e.req | e.span)) = e.req), e -> e.at))"
+        limb = "cast(shiftright(a, 37) as int)"
+        alone = f"(shiftright(get(masks, {limb}) | shiftleft(get(masks, {limb} + 1), 32), cast(shiftright(a, 32) % 32 as int)) & 3) = 3"
+        far = f"concat(filter(ones, a -> {alone}), transform(filter(wide, e -> ({PAIR.format(m='masks', e='e')} & (e.req | e.span)) = e.req), e -> e.at))"
+        rows = rows.withColumn("ats", F.expr(f"sort_array(if(n <= {BITS}, {own}, {far}))"))
     else:
-        rows = computed(rows.withColumn("best", F.expr(BEST)), "n", "edges", "best").withColumn("mask", F.expr(BACK))
-    rows = computed(rows, "n", "edges", "mask").withColumn("starts", F.expr("filter(sequence(0, n - 1), p -> (mask & shiftleft(1L, p)) != 0L)"))
+        rows = computed(rows.withColumn("best", F.expr(BEST)), "best").withColumn("ats", F.expr(BACK))
+    rows = computed(rows, "ats")
     byte_ids = f"array({','.join(map(str, model.bytes_))})"
-    one = "coalesce(get(filter(edges, e -> e.i = p and e.l = coalesce(get(starts, k + 1), n) - p), 0).id, -1)"
-    raw = f"transform(sequence(0, octet_length(substring(word, p + 1, 1)) - 1), b -> {byte_ids}[int(conv(substring(hex(substring(word, p + 1, 1)), b * 2 + 1, 2), 16, 10))])"
-    found = computed(rows, "n", "edges", "starts").withColumn("plain", F.expr(f"transform(starts, (p, k) -> {one})"))
-    found = computed(found, "starts", "plain")
-    known = ~F.exists("plain", lambda x: x == -1)
+    text = "hex(substring(word, cast(shiftright(a, 32) as int) + 1, 1))"
+    raw = f"transform(sequence(0, cast(length({text}) div 2 as int) - 1), b -> {byte_ids}[int(conv(substring({text}, b * 2 + 1, 2), 16, 10))])"
     # Byte pieces are rare; only words that have them pay for the longer expression.
-    ids = F.when(known, F.col("plain")).otherwise(F.expr(f"flatten(transform(starts, (p, k) -> if(plain[k] >= 0, array(plain[k]), {raw})))"))
-    short = found.select("word", ids.alias("ids"))
-    struct = T.StructType([T.StructField("word", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    ids = f"if(odd, flatten(transform(ats, a -> if((a & {NONE}L) = {NONE}L, {raw}, array(cast(a & {NONE}L as int))))), transform(ats, a -> cast(a & {NONE}L as int)))"
+    return rows.select("word", F.expr(ids).alias("ids"), *CARRIED)
 
-    def by_heap(frames):
-        for frame in frames:
-            yield pd.DataFrame({"word": frame["word"], "ids": [heap_code(w, model) for w in frame["word"]]})
 
-    long = words.where(F.char_length("word") > BITS).mapInPandas(by_heap, struct)
-    return short.unionByName(long)
+# ---- documents --------------------------------------------------------------
 
 
-def heap_code(word: str, model: Model) -> list[int]:
-    """Ids of a word of any length by the same rules."""
-    n = len(word)
-    if model.kind == "bpe":
-        after, before, alive, size = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, [1] * n
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if (j := after[i]) < n and (hit := model.pieces.get(word[i : j + size[j]])):
-                heapq.heappush(heap, (-hit[0], i, size[i], size[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = i + a
-            if not alive[i] or size[i] != a or j >= n or not alive[j] or size[j] != b:
-                continue
-            alive[j], size[i], after[i] = False, a + b, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        spans = [(i, size[i]) for i in range(n) if alive[i]]
-    else:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for j in range(1, n + 1):
-            options = [(best[i][0] + (model.pieces[word[i:j]][0] if word[i:j] in model.pieces else model.unknown_score), i) for i in range(max(0, j - model.longest), j) if word[i:j] in model.pieces or j - i == 1]
-            best.append(max(options))
-        spans, j = [], n
-        while j:
-            spans.append((best[j][1], j - best[j][1]))
-            j = best[j][1]
-        spans.reverse()
-    out: list[int] = []
-    for i, length in spans:
-        hit = model.pieces.get(word[i : i + length])
-        out += [hit[1]] if hit else [model.bytes_[b] for b in word[i].encode()]
-    return out
+def packed(numbers: np.ndarray, text: str = "") -> bytes:
+    """Numbers and a text, compressed; :func:`unpacked` takes them back."""
+    body = np.ascontiguousarray(numbers, "<i4").tobytes()
+    raw = len(numbers).to_bytes(8, "little") + body + text.encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-# ---- documents --------------------------------------------------------------
+def unpacked(data: bytes) -> tuple[np.ndarray, str]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    end = 8 + 4 * int.from_bytes(raw[:8], "little")
+    return np.frombuffer(raw[8:end], "<i4"), raw[end:].decode()
+
 
+def dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the words by bucket, the buckets that have some, where each begins in that
+    order, and a checksum of each one's words."""
+    crc = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.int64, len(words))
+    order = np.argsort(crc % buckets, kind="stable")
+    own, first = np.unique((crc % buckets)[order], return_index=True)
+    return order, own, first, np.bitwise_xor.reduceat(crc[order], first) if len(words) else crc
 
-def block_words(docs: DataFrame, model: Model) -> DataFrame:
-    struct = T._parse_datatype_string("block bigint, word string")
+
+def block_words(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """(bucket, block, mark, words): the distinct words of each block, packed by bucket."""
+    struct = T._parse_datatype_string("bucket int, block bigint, mark bigint, words binary")
     arrow = arrow_schema(struct)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -258,46 +385,133 @@ def block_words(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for block, _, texts in blocks(batches):
             distinct = list(dict.fromkeys(words_of(texts, shared.value)[0]))
-            yield record({"block": np.full(len(distinct), block), "word": distinct}, arrow)
+            order, own, first, mark = dealt(distinct, buckets)
+            held = [distinct[i] for i in order]
+            size = np.fromiter(map(len, held), np.int32, len(held))
+            parts = [packed(size[a:b], "".join(held[a:b])) for a, b in zip(first, [*first[1:], len(held)], strict=True)] if held else []
+            yield record({"bucket": own, "block": np.full(len(own), block), "mark": mark, "words": parts}, arrow)
 
     return docs.mapInArrow(run, struct)
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """From packed rows, those of a bucket together: each distinct word of a bucket, then
+    for each block of it a row without a word, whose members are the block's words by their
+    number in the bucket."""
+    struct = T._parse_datatype_string("word string, block bigint, members binary")
+    arrow = arrow_schema(struct)
+
+    def flush(bucket: int, known: dict[str, int], parts: list[tuple[int, int, np.ndarray]]):
+        words = list(known)
+        for i in range(0, len(words), 1 << 14):
+            own = words[i : i + (1 << 14)]
+            yield record({"word": own, "block": pa.nulls(len(own)), "members": pa.nulls(len(own))}, arrow)
+        for block, mark, at in parts:
+            head = np.array([bucket, mark - (1 << 31)], "<i4")
+            yield record({"word": [None], "block": [block], "members": [head.tobytes() + at.astype("<i4").tobytes()]}, arrow)
+
+    @without_cycles
+    def run(batches):
+        now, known, parts = None, {}, []
+        for batch in batches:
+            for bucket, block, mark, data in zip(*(column(batch, c).to_pylist() for c in ("bucket", "block", "mark", "words")), strict=True):
+                if bucket != now:
+                    if parts:
+                        yield from flush(now, known, parts)
+                    now, known, parts = bucket, {}, []
+                size, text = unpacked(data)
+                ends = np.cumsum(size)
+                put = known.setdefault
+                parts.append((block, mark, np.fromiter((put(text[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, len(size))))
+        if parts:
+            yield from flush(now, known, parts)
+
+    return rows.mapInArrow(run, struct)
+
+
+def block_ids(rows: DataFrame) -> DataFrame:
+    """(block, bucket, mark, ids) of coded rows: the ids of a block's words of one bucket,
+    packed with how many each word has."""
+    struct = T._parse_datatype_string("block bigint, bucket int, mark bigint, ids binary")
+    arrow = arrow_schema(struct)
+
+    def run(batches):
+        held: list[pa.Array] = []
+        sizes = first = flat = None  # of the bucket's words, once its blocks come
+        for batch in batches:
+            members, ids = column(batch, "members"), column(batch, "ids")
+            wordless = np.asarray(pa.compute.is_valid(members))
+            turns = np.flatnonzero(np.diff(wordless)) + 1
+            for a, b in zip([0, *turns], [*turns, len(batch)], strict=True):
+                if a == b:
+                    continue
+                if not wordless[a]:
+                    held, sizes = held if sizes is None else [], None
+                    held.append(ids.slice(a, b - a))
+                    continue
+                if sizes is None:
+                    sizes = np.concatenate([np.asarray(pa.compute.list_value_length(x)) for x in held]).astype(np.int64)
+                    first, flat = np.cumsum(sizes) - sizes, np.concatenate([np.asarray(x.flatten()) for x in held])
+                out: dict[str, list] = {c: [] for c in arrow.names}
+                for block, data in zip(column(batch, "block").slice(a, b - a).to_pylist(), members.slice(a, b - a).to_pylist(), strict=True):
+                    head, at = np.frombuffer(data[:8], "<i4"), np.frombuffer(data[8:], "<i4")
+                    own = np.concatenate([[len(at)], sizes[at], flat[spans(first[at], sizes[at])]])
+                    for c, x in zip(arrow.names, (block, int(head[0]), int(head[1]) + (1 << 31), packed(own)), strict=True):
+                        out[c].append(x)
+                yield record(out, arrow)
+
+    return rows.mapInArrow(run, struct)
+
+
 def encode(docs: DataFrame, data: bytes, with_ids: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (unsigned; little-endian 32-bit ids), decoded_crc32,
     text_crc32, round_trip, and the ids themselves of every whole text.
 
+    The Viterbi fold runs for unigram models, the fold in merge order for BPE models (as
+    the registered query's); both give what the model's own library gives.
+
     Edge cases: a null or empty text has no piece; any character is coded, by bytes where
     no piece has it; long words and texts are coded whole; repeated rows are coded each;
     an empty table gives no rows.
     """
     spark, model = docs.sparkSession, load(data)
     plain = ids_and_text(docs)
-    met = materialise(block_words(plain, model), "block_words")
     # An explicit number of partitions: words are short, what is made of them is not.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = materialise(coded(met.select("word").repartition(parts, "word").distinct(), model), "words")
+    buckets = 4 * parts
+    met = block_words(plain, model, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
     folder = fresh_folder(spark, "block_ids")
-    write_by_block(met.join(words, "word").select("block", "word", "ids"), folder)
+    write_by_block(block_ids(coded(told_apart(met), model)), folder)
     shared = spark.sparkContext.broadcast(model)
     struct = T._parse_datatype_string("doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, text_crc32 bigint, round_trip boolean" + (", ids array<int>" if with_ids else ""))
     arrow = arrow_schema(struct)
 
+    def table(block: int, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each of the block's words has, all ids, and each word's place there."""
+        own = read_block(folder, block)
+        order, at, first, mark = dealt(words, buckets)
+        rows = sorted(zip(*(own[c].to_pylist() for c in ("bucket", "mark", "ids")), strict=True)) if own is not None else []
+        parts_ = [unpacked(x)[0] for _, _, x in rows]
+        if [(b, m, x[0]) for (b, m, _), x in zip(rows, parts_, strict=True)] != list(zip(at.tolist(), mark.tolist(), np.diff([*first, len(words)]).tolist(), strict=True)):
+            raise RuntimeError("the input's partitions changed between two reads; write it first")
+        none = np.zeros(0, np.int32)
+        sizes, flat = np.concatenate([none, *(x[1 : 1 + x[0]] for x in parts_)]).astype(np.int64), np.concatenate([none, *(x[1 + x[0] :] for x in parts_)])
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        return sizes, flat.astype(np.uint32), place
+
     @without_cycles
     def run(batches):
         shown = Decoder(shared.value)
         for block, batch, texts in blocks(batches):
-            own = read_block(folder, block)
             words_, counts = words_of(texts, shared.value)
-            table = own["ids"].combine_chunks() if own is not None else pa.array([], pa.list_(pa.int32()))
-            place = {} if own is None else dict(zip(own["word"].to_pylist(), range(len(own)), strict=True))
-            try:
-                at = np.fromiter((place[w] for w in words_), np.int64, len(words_))
-            except KeyError as e:
-                raise RuntimeError("the input's partitions changed between two reads; write it first") from e
-            sizes = np.asarray(pa.compute.list_value_length(table), dtype=np.int64)
+            known: dict[str, int] = {}  # each word's first occurrence
+            met = np.fromiter(map(known.setdefault, words_, count()), np.int64, len(words_))
+            number = np.zeros(len(words_), np.int64)
+            number[list(known.values())] = np.arange(len(known))
+            sizes, flat_table, place = table(block, list(known))
+            at = place[number[met]]
             first = np.cumsum(sizes) - sizes
-            flat_table = np.asarray(table.flatten(), dtype=np.uint32)
             flat = flat_table[spans(first[at], sizes[at])]
             edges = np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum(counts)])]
             raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")

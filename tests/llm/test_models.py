@@ -160,11 +160,51 @@ def test_viterbi_for_unigram_models(spark):
         assert r.round_trip and score(list(r.ids)) >= score(library.encode(texts[r.doc_id])) - 1e-3
 
 
-def test_heap_and_fold_agree(spark):
+def plain_code(word, model):
+    """Ids of a word by the rules alone: merge by merge, or the best sum of scores."""
+    if model.kind == "bpe":
+        parts = list(word)
+        while hits := [(-model.pieces[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in model.pieces]:
+            i = min(hits)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    else:
+        best = [(0.0, 0)]
+        for j in range(1, len(word) + 1):
+            best.append(max((best[i][0] + (model.pieces[word[i:j]][0] if word[i:j] in model.pieces else model.unknown_score), i) for i in range(max(0, j - model.longest), j) if word[i:j] in model.pieces or j - i == 1))
+        parts, j = [], len(word)
+        while j:
+            parts.insert(0, word[best[j][1] : j])
+            j = best[j][1]
+    return [i for p in parts for i in ([model.pieces[p][1]] if p in model.pieces else [model.bytes_[b] for b in p.encode()])]
+
+
+def test_folds_follow_the_rules(spark):
     import random
 
+    rng = random.Random(4)
     for data in (model_bytes(), model_bytes(unigram=True)):
-        model, rng = sentencepieces.load(data), random.Random(4)
-        words = sorted({sentencepieces.SPACE + w for w in prose(rng, 60).split()} | {"ü日", "...", "▁▁▁"})
-        out = sentencepieces.coded(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()
-        assert {r.word: list(r.ids) for r in out} == {w: sentencepieces.heap_code(w, model) for w in words}
+        model = sentencepieces.load(data)
+        words = {sentencepieces.SPACE + w for w in prose(rng, 60).split()} | {"ü日", "...", "▁▁▁", "日" * 3}
+        pieces = list(model.pieces)
+        # Words of pieces' ends put together meet passed-over edges; some are longer than one mask.
+        words |= {"".join(rng.choice(pieces)[-rng.randint(1, 6) :] for _ in range(n)) for n in [2, 3, 4] * 60 + [20, 30, 60] * 5}
+        words |= {"a" * n for n in (59, 60, 61, 64, 65, 200)} | {"ab" * 40 + "日" + "=" * 70}
+        rows = spark.createDataFrame([(w, None, None) for w in sorted(words)], "word string, block long, members binary")
+        out = sentencepieces.coded(rows, model).collect()
+        assert {r.word: list(r.ids) for r in out} == {w: plain_code(w, model) for w in words}
+
+
+def test_order_of_merges_that_one_pass_would_miss(spark):
+    """abc outranks bc, its own half: it fits only once bc is joined."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(model_bytes())
+    for p in [p for p in proto.pieces if p.type == p.NORMAL and len(p.piece) > 1]:
+        proto.pieces.remove(p)
+    for k, piece in enumerate(["abc", "xabc", "bc", "cd", "ca", "cab", "xabcd"]):
+        proto.pieces.add(piece=piece, score=-float(k))
+    model = sentencepieces.load(proto.SerializeToString())
+    words = ["abc", "xabc", "abcd", "xabcd", "bcabcab", "cabc", "xabcd" * 20, "cab" * 30 + "d"]
+    out = sentencepieces.coded(spark.createDataFrame([(w, None, None) for w in words], "word string, block long, members binary"), model).collect()
+    assert {r.word: list(r.ids) for r in out} == {w: plain_code(w, model) for w in words}
