@@ -118,6 +118,8 @@ def words_of(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray]:
 
 # ---- the lattice ------------------------------------------------------------
 
+#: Bytes of text whose words a task holds at once.
+BLOCK_BYTES = 6 << 20
 #: Bits of an edge's first character, and the id that stands for a missing piece.
 PLACE, NONE = 26, 0x7FFFFFFF
 
@@ -383,7 +385,7 @@ def block_words(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
 
     @without_cycles
     def run(batches):
-        for block, _, texts in blocks(batches):
+        for block, _, texts in blocks(batches, BLOCK_BYTES):
             distinct = list(dict.fromkeys(words_of(texts, shared.value)[0]))
             order, own, first, mark = dealt(distinct, buckets)
             held = [distinct[i] for i in order]
@@ -503,7 +505,7 @@ def encode(docs: DataFrame, data: bytes, with_ids: bool = True) -> DataFrame:
     @without_cycles
     def run(batches):
         shown = Decoder(shared.value)
-        for block, batch, texts in blocks(batches):
+        for block, batch, texts in blocks(batches, BLOCK_BYTES):
             words_, counts = words_of(texts, shared.value)
             known: dict[str, int] = {}  # each word's first occurrence
             met = np.fromiter(map(known.setdefault, words_, count()), np.int64, len(words_))
