@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, blocks, column, fresh_folder, ids_and_text, read_block, record, without_cycles, write_by_block
+from .shared import arrow_schema, blocks, column, fresh_folder, give_back, ids_and_text, read_block, record, without_cycles, write_by_block
 
 SPACE = "▁"
 BITS = 60
@@ -119,7 +119,7 @@ def words_of(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray]:
 # ---- the lattice ------------------------------------------------------------
 
 #: Bytes of text whose words a task holds at once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Bits of an edge's first character, and the id that stands for a missing piece.
 PLACE, NONE = 26, 0x7FFFFFFF
 
@@ -222,6 +222,7 @@ def grouped(batches, table: Pieces, edges, arrow: pa.Schema):
         held.append(batch.slice(whole))
     if held:
         yield from emit(pa.Table.from_batches(held))
+    give_back()
 
 
 def outranked(group: np.ndarray, length: np.ndarray, rank: np.ndarray, ties: bool) -> np.ndarray:
@@ -427,6 +428,8 @@ def told_apart(rows: DataFrame) -> DataFrame:
                 parts.append((block, mark, np.fromiter((put(text[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, len(size))))
         if parts:
             yield from flush(now, known, parts)
+        known, parts = {}, []
+        give_back()
 
     return rows.mapInArrow(run, struct)
 
@@ -461,6 +464,8 @@ def block_ids(rows: DataFrame) -> DataFrame:
                     for c, x in zip(arrow.names, (block, int(head[0]), int(head[1]) + (1 << 31), packed(own)), strict=True):
                         out[c].append(x)
                 yield record(out, arrow)
+        held = sizes = first = flat = None
+        give_back()
 
     return rows.mapInArrow(run, struct)
 

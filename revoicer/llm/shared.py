@@ -102,6 +102,7 @@ def without_cycles(fn: Callable) -> Callable:
 
 def give_back() -> None:
     """Return freed memory to the system: workers are used again, by other operators too."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
