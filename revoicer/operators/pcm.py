@@ -68,30 +68,48 @@ def pcm_slice(samples: Column, rate: Column, start_s: Column, end_s: Column) ->
     return F.when(last <= first, F.raise_error(F.lit("the slice is empty")).cast("array<int>")).otherwise(F.slice(samples, first + 1, last - first))
 
 
+#: Frames of a tile: clips are cut to tiles, which meet as arrays, not sample by sample.
+TILE = 4096
+
+
+def tiles(clips: DataFrame, canvas: DataFrame) -> DataFrame:
+    """(m, tile, parts): of each tile of the canvas the parts (ord, s) that clips have in
+    it, in order; s covers the tile, null where the clip does not."""
+    rows = clips.join(canvas, "m").withColumn("stop", F.least(F.col("offset") + F.size("samples"), F.col("frames")).cast("int")).withColumn("from", F.greatest("offset", F.lit(0)).cast("int")).where("from < stop")
+    rows = rows.withColumn("tile", F.explode(F.expr(f"sequence(cast(from div {TILE} as int), cast((stop - 1) div {TILE} as int))")))
+    a, z = F.greatest("from", F.col("tile") * TILE), F.least("stop", (F.col("tile") + 1) * TILE)
+    none = lambda n: F.array_repeat(F.lit(None).cast("int"), n.cast("int"))
+    own = F.concat(none(a - F.col("tile") * TILE), F.slice("samples", (a - F.col("offset") + 1).cast("int"), (z - a).cast("int")).cast("array<int>"), none((F.col("tile") + 1) * TILE - z))
+    return rows.select("m", "tile", "ord", own.alias("s")).groupBy("m", "tile").agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("parts"))
+
+
 def mix(clips: DataFrame, canvas: DataFrame) -> DataFrame:
     """Mix clips (m, ord, offset, samples) into silence of canvas (m, frames), one by one
-    in order with clamping after each: (m, i, x) for every frame, and per clip counts.
-
-    Only frames that clips touch are exploded and folded; the rest are zeros.
-    """
-    rows = clips.join(canvas, "m").select("m", "frames", "ord", "offset", F.posexplode("samples").alias("k", "s")).withColumn("i", F.col("offset") + F.col("k")).where((F.col("i") >= 0) & (F.col("i") < F.col("frames")))
-    per = rows.groupBy("m", "i").agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("parts"))
-    return per.select("m", "i", F.aggregate("parts", F.lit(0), lambda a, p: clamp16(a + p["s"])).alias("x"))
+    in order with clamping after each: (m, i, x) for every frame that a clip touches; the
+    rest are zeros."""
+    start = F.array_repeat(F.lit(None).cast("int"), TILE)
+    added = lambda x, y: F.when(y.isNull(), x).otherwise(clamp16(F.coalesce(x, F.lit(0)) + y))
+    mixed = F.aggregate("parts", start, lambda a, p: F.zip_with(a, p["s"], added))
+    rows = tiles(clips, canvas).select("m", "tile", F.posexplode(mixed).alias("k", "x")).where("x is not null")
+    return rows.select("m", (F.col("tile") * TILE + F.col("k")).alias("i"), "x")
 
 
 def mix_counts(clips: DataFrame, canvas: DataFrame) -> DataFrame:
     """Of each clip: written, truncated and overlapped frames, and clipped samples."""
-    rows = clips.join(canvas, "m").select("m", "frames", "ord", "offset", F.size("samples").alias("n"), F.posexplode_outer("samples").alias("k", "s")).withColumn("i", F.col("offset") + F.col("k"))
-    inside = rows.where((F.col("i") >= 0) & (F.col("i") < F.col("frames")))
-    per = inside.groupBy("m", "i").agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("parts"))
-    start = F.struct(F.lit(0).alias("x"), F.expr("cast(array() as array<struct<ord:int,over:int,clip:int>>)").alias("out"))
+    empty = "cast(array() as array<struct<ord:bigint,written:int,over:int,clip:int>>)"
+    start = F.struct(F.array_repeat(F.lit(None).cast("int"), TILE).alias("x"), F.expr(empty).alias("out"))
 
     def step(a: Column, p: Column) -> Column:
-        total = a["x"] + p["s"]
-        mark = F.struct(p["ord"].cast("int").alias("ord"), (a["x"] != 0).cast("int").alias("over"), ((total < LOW) | (total > HIGH)).cast("int").alias("clip"))
-        return F.struct(clamp16(total).alias("x"), F.concat(a["out"], F.array(mark)).alias("out"))
-
-    marks = per.select("m", F.explode(F.aggregate("parts", start, step, lambda a: a["out"])).alias("k")).groupBy("m", F.col("k.ord").alias("ord")).agg(F.count(F.lit(1)).alias("written"), F.sum("k.over").alias("overlapped"), F.sum("k.clip").alias("clipped"))
+        total = F.zip_with(a["x"], p["s"], lambda x, y: F.coalesce(x, F.lit(0)) + y)
+        over = F.zip_with(a["x"], p["s"], lambda x, y: (x != 0) & y.isNotNull())
+        count = lambda values, fn: F.size(F.filter(values, fn)).cast("int")
+        mark = F.struct(
+            p["ord"].cast("long").alias("ord"), count(total, lambda t: t.isNotNull()).alias("written"), count(over, lambda o: o).alias("over"), count(total, lambda t: (t < LOW) | (t > HIGH)).alias("clip")
+        )
+        return F.struct(F.zip_with(a["x"], total, lambda x, t: F.when(t.isNull(), x).otherwise(clamp16(t))).alias("x"), F.concat(a["out"], F.array(mark)).alias("out"))
+
+    marks = tiles(clips, canvas).select("m", F.explode(F.aggregate("parts", start, step, lambda a: a["out"])).alias("k"))
+    marks = marks.groupBy("m", F.col("k.ord").alias("ord")).agg(F.sum("k.written").alias("written"), F.sum("k.over").alias("overlapped"), F.sum("k.clip").alias("clipped"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     every = clips.select("m", "ord", F.size("samples").alias("n"))
     return every.join(marks, ["m", "ord"], "left").select("m", "ord", zero("written"), (F.col("n") - F.coalesce("written", F.lit(0))).cast("long").alias("truncated"), zero("overlapped"), zero("clipped"))

@@ -13,22 +13,16 @@ from revoicer.operators.timeline import overlaps
 EMPTY = "qc-empty-hypothesis"
 
 
-def word_edits(pairs: DataFrame, native_words: int = 40) -> DataFrame:
-    """Adds ``edits`` (least word edits) to pairs with arrays rw and hw.
-
-    Segment-sized pairs fold in the JVM; a pair with more words takes the Arrow path."""
-    short = (F.size("rw") <= native_words) & (F.size("hw") <= native_words)
-    return pairs.where(short).withColumn("edits", X.edits(F.col("rw"), F.col("hw"))["c"]).unionByName(pairs.where(~short).withColumn("edits", X.word_distance(F.array_join("rw", " "), F.array_join("hw", " "))))
-
-
-def score_pairs(pairs: DataFrame, native_words: int = 40, composed: bool = False) -> DataFrame:
+def score_pairs(pairs: DataFrame, composed: bool = False) -> DataFrame:
     """Adds wer, cer, edits, ref_words, hyp_words, latin to pairs with reference and hypothesis.
 
     An empty hypothesis is all deletions (both rates 1); an empty reference raises."""
-    out = pairs.withColumns({"r": X.normalised(F.col("reference"), composed), "h": X.normalised(F.col("hypothesis"), composed)})
+    once = lambda df, **c: df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))))  # noqa: E731  not again for every use
+    out = once(pairs, r=X.normalised(F.col("reference"), composed), h=X.normalised(F.col("hypothesis"), composed))
     out = out.withColumn("r", F.when(F.col("r") == "", F.raise_error(F.lit("the reference has no words"))).otherwise(F.col("r")))
     split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    out = word_edits(out.withColumns({"rw": split("r"), "hw": split("h")}), native_words)
+    out = once(out, rw=split("r"), hw=split("h"))
+    out = once(out, edits=X.word_distance(F.col("rw"), F.col("hw")))
     n = F.size("rw")
     return out.withColumns({"ref_words": n, "hyp_words": F.size("hw"), "wer": F.when(F.size("hw") == 0, F.lit(1.0)).otherwise(F.col("edits") / n), "cer": X.cer(F.col("r"), F.col("h")), "latin": X.latin_tokens(F.col("r"))}).drop("rw", "hw")
 

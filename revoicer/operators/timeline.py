@@ -99,13 +99,15 @@ def nearest_silence(points: DataFrame, silences: DataFrame, snap_s: float = 1.5)
 
 def asof_neighbours(points: DataFrame, segments: DataFrame, eps: float = TIMELINE_EPS) -> DataFrame:
     """For each point (m, t) the segment that ends last at or before it and the one that
-    starts first at or after it. One union and one sort per medium, no range join."""
+    starts first at or after it. One union and two sorts per medium, no range join: either
+    neighbour is the last one seen, going forwards or backwards."""
     p = points.select("m", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("ends"), F.lit(None).cast("int").alias("starts"))
     e = segments.select("m", (F.col("end") - eps).alias("at"), F.lit(0).alias("kind"), F.col("id").cast("int").alias("ends"), F.lit(None).cast("int").alias("starts"))
     s = segments.select("m", (F.col("start") + eps).alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("int").alias("ends"), F.col("id").cast("int").alias("starts"))
-    w = by_m().orderBy("at", "kind", F.coalesce("ends", "starts"))
+    order = (F.col("at"), F.col("kind"), F.coalesce("ends", "starts"))
+    seen = lambda c, by: F.last(c, True).over(by_m().orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
     rows = p.unionByName(e).unionByName(s)
-    back, ahead = F.last("ends", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("starts", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = seen("ends", order), seen("starts", [c.desc() for c in order])
     return rows.withColumns({"before_id": back, "after_id": ahead}).where("kind = 1").select("m", F.col("at").alias("t"), "before_id", "after_id")
 
 

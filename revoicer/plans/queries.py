@@ -262,7 +262,7 @@ def faded_signals(spark, d):
     return fx.signals(spark, d).select("m", pcm.faded(F.col("samples"), F.col("rate")).alias("faded"))
 
 
-CLIPS = "clips AS (SELECT label::BIGINT AS m, m AS ord, m % 40 AS off, s FROM sig WHERE m < 400)"
+CLIPS = "clips AS (SELECT label::BIGINT AS m, m AS ord, m % 40 AS off, s FROM sig)"
 
 
 def clips(spark, d):
@@ -276,19 +276,14 @@ def canvas(rows):
 @query(f"""WITH {SIG}, {CLIPS}, f AS (SELECT m, ord, off + generate_subscripts(s, 1) - 1 AS i, unnest(s) * 3 AS x FROM clips), g AS (SELECT m, i, list(x ORDER BY ord) AS xs FROM f WHERE i < 90 GROUP BY ALL)
  SELECT m, i, list_reduce(list_concat([0], xs), lambda a, x: greatest(-32768, least(32767, a + x)))::BIGINT AS x FROM g""")
 def mixed_signals(spark, d):
-    """The clips that the SQL mixes: ids under 400 alone."""
-    some = clips(spark, d).where("ord < 400")
-    return pcm.mix(some, canvas(some))
-
-
-@query()
-def mixed_signals_whole(spark, d):
-    """Every clip."""
     every = clips(spark, d)
     return pcm.mix(every, canvas(every))
 
 
-@query()
+@query(f"""WITH {SIG}, {CLIPS}, f AS (SELECT m, ord, off + generate_subscripts(s, 1) - 1 AS i, unnest(s) * 3 AS x FROM clips), g AS (SELECT m, i, list(ord ORDER BY ord) AS os, list(x ORDER BY ord) AS xs FROM f WHERE i < 90 GROUP BY ALL),
+ k AS (SELECT m, os, xs, unnest(range(1, len(xs) + 1)) AS j FROM g), t AS (SELECT m, os[j] AS ord, xs[j] AS x, list_reduce(list_concat([0], xs[:j - 1]), lambda a, v: greatest(-32768, least(32767, a + v))) AS old FROM k),
+ w AS (SELECT m, ord, count(*) AS written, count(*) FILTER (old <> 0) AS overlapped, count(*) FILTER (old + x NOT BETWEEN -32768 AND 32767) AS clipped FROM t GROUP BY ALL)
+ SELECT c.m, c.ord, coalesce(written, 0) AS written, len(s) - coalesce(written, 0) AS truncated, coalesce(overlapped, 0) AS overlapped, coalesce(clipped, 0) AS clipped FROM clips c LEFT JOIN w ON c.m = w.m AND c.ord = w.ord""")
 def mix_counts(spark, d):
     every = clips(spark, d)
     return pcm.mix_counts(every, canvas(every))
@@ -341,43 +336,19 @@ def cer_pairs(spark, d):
 
 EDITS = """list_reduce(list_concat([range(0, len(hw) + 1)], list_transform(rw, lambda w: list_transform(hw, lambda v: (v <> w)::BIGINT))), lambda row, mm:
  list_transform(range(1, len(row) + 1), lambda j: j - 1 + list_min(list_transform(range(1, j + 1), lambda k: (CASE WHEN k = 1 THEN row[1] + 1 ELSE least(row[k] + 1, row[k - 1] + mm[k - 1]) END) - (k - 1)))))[-1]"""
-WORDS40 = f"""{PAIRS}, w40 AS (SELECT m, segment_id, list_slice(string_split(r, ' '), 1, 40) AS rw, list_slice(list_filter(string_split(h, ' '), lambda x: x <> ''), 1, 40) AS hw FROM pairs WHERE h <> '')"""
-
+WORDS = f"""{PAIRS}, ws AS (SELECT m, segment_id, r, h, list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw FROM pairs)"""
 
-def whole_words(spark, d):
-    part = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    return fx.pairs(spark, d).where("hypothesis != ''").select("m", "segment_id", part("reference").alias("rw"), part("hypothesis").alias("hw"))
 
-
-def first_words(spark, d):
-    """The first forty words alone: what the SQL of the prefix queries can fold."""
-    return whole_words(spark, d).withColumns({c: F.slice(c, 1, 40) for c in ("rw", "hw")})
-
-
-@query(f"WITH {WORDS40} SELECT m, segment_id, ({EDITS})::BIGINT AS edits, round(({EDITS}) / len(rw), 6) AS wer FROM w40")
+@query(f"WITH {WORDS}, e AS (SELECT m, segment_id, ({EDITS})::BIGINT AS edits, len(rw) AS n, len(hw) AS k FROM ws) SELECT m, segment_id, edits, n AS ref_words, k AS hyp_words, CASE WHEN k = 0 THEN 1 ELSE round(edits / n, 6) END AS wer FROM e")
 def wer_pairs(spark, d):
-    """Segment-sized texts: the first forty words of each turn."""
-    return first_words(spark, d).withColumn("edits", X.edits(F.col("rw"), F.col("hw"))["c"]).select("m", "segment_id", "edits", (F.col("edits") / F.size("rw")).alias("wer"))
+    return qc.score_pairs(fx.pairs(spark, d), composed=True).select("m", "segment_id", "edits", "ref_words", "hyp_words", "wer")
 
 
-@query(f"WITH {WORDS40}, e AS (SELECT m, ({EDITS}) AS e, len(rw) AS n FROM w40) SELECT m, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, round(sum(e) / sum(n), 6) AS wer FROM e GROUP BY 1")
+@query(f"""WITH {WORDS}, e AS (SELECT m, CASE WHEN h = '' THEN len(rw) ELSE ({EDITS}) END AS we, len(rw) AS rw, levenshtein(r, CASE WHEN h = '' THEN '{qc.EMPTY}' ELSE h END) AS ce, length(r) AS rc FROM ws)
+ SELECT m, count(*) AS n, sum(we)::BIGINT AS word_edits, sum(rw)::BIGINT AS ref_words, sum(ce)::BIGINT AS char_edits, sum(rc)::BIGINT AS ref_chars, round(sum(we) / sum(rw), 6) AS wer, round(sum(ce) / sum(rc), 6) AS cer FROM e GROUP BY 1""")
 def corpus_wer(spark, d):
-    return rates(first_words(spark, d))
-
-
-def rates(pairs):
-    return qc.word_edits(pairs).groupBy("m").agg(F.sum("edits").alias("edits"), F.sum(F.size("rw")).alias("words"), (F.sum("edits") / F.sum(F.size("rw"))).alias("wer"))
-
-
-@query()
-def wer_pairs_whole(spark, d):
-    """Every word of each turn."""
-    return qc.word_edits(whole_words(spark, d)).select("m", "segment_id", "edits", (F.col("edits") / F.size("rw")).alias("wer"))
-
-
-@query()
-def corpus_wer_whole(spark, d):
-    return rates(whole_words(spark, d))
+    """Micro-averaged word and character rates of each medium."""
+    return qc.corpus_rates(qc.score_pairs(fx.pairs(spark, d), composed=True), ["m"])
 
 
 # ---- folds ------------------------------------------------------------------
@@ -612,32 +583,19 @@ def windowed_costs(spark, d):
 # ---- the flagship -----------------------------------------------------------
 
 
-@query(f"""WITH {WORDS40}, {SEG}, {PLACED}, p AS (SELECT m, segment_id, placed_start_s, duration_s, window_end_s - window_start_s AS target, placed_start_s + duration_s - lead(placed_start_s) OVER (PARTITION BY m ORDER BY placed_start_s, segment_id) AS o FROM placed),
- e AS (SELECT m, segment_id, ({EDITS}) / len(rw) AS wer FROM w40),
- s AS (SELECT e.m, e.segment_id, wer, (duration_s - target) / target * 100 AS drift, CASE WHEN o > 1e-3 THEN o ELSE 0 END AS overlap_s FROM e JOIN p ON e.m = p.m AND e.segment_id = p.segment_id)
- SELECT m, segment_id, round(wer, 6) AS wer, round(drift, 6) AS signed_drift, round(overlap_s, 6) AS overlap_s, round(wer + abs(drift) / 100, 6) AS combined, wer > 0 OR abs(drift) > 5 OR overlap_s > 0 AS flagged, row_number() OVER (PARTITION BY m ORDER BY round(wer + abs(drift) / 100, 9) DESC, segment_id) AS rank FROM s""")
+@query(f"""WITH {WORDS}, {SEG}, {PLACED}, p AS (SELECT m, segment_id, placed_start_s, duration_s, window_end_s - window_start_s AS target, placed_start_s + duration_s - lead(placed_start_s) OVER (PARTITION BY m ORDER BY placed_start_s, segment_id) AS o FROM placed),
+ e AS (SELECT m, segment_id, CASE WHEN len(hw) = 0 THEN 1 ELSE ({EDITS}) / len(rw) END AS wer, len(hw) AS hyp_words, len(list_filter(rw, lambda w: regexp_matches(w, '[a-z]'))) AS latin FROM ws),
+ {FITS},
+ s AS (SELECT e.m, e.segment_id, wer, hyp_words, latin, coalesce(f.clamped, false) AS clamped, (coalesce(f.achieved, duration_s) - coalesce(f.target, p.target)) / coalesce(f.target, p.target) * 100 AS drift, CASE WHEN o > 1e-3 THEN o ELSE 0 END AS overlap_s FROM e JOIN p ON e.m = p.m AND e.segment_id = p.segment_id LEFT JOIN (SELECT m, segment_id, min(target) AS target, min(achieved) AS achieved, bool_or(clamped) AS clamped FROM fits GROUP BY ALL) f ON f.m = e.m AND f.segment_id = e.segment_id)
+ SELECT m, segment_id, round(wer, 6) AS wer, round(drift, 6) AS signed_drift, round(overlap_s, 6) AS overlap_s, round(wer + abs(drift) / 100, 6) AS combined, wer > 0 OR abs(drift) > 5 OR overlap_s > 0 AS flagged, row_number() OVER (PARTITION BY m ORDER BY round(wer + abs(drift) / 100, 9) DESC, segment_id) AS rank,
+ array_to_string(list_filter([CASE WHEN hyp_words = 0 THEN 'no speech was recognised in the window' END, CASE WHEN wer >= 0.5 THEN 'high word error rate (#)' WHEN wer > 0 THEN 'word error rate #' END, CASE WHEN abs(drift) > 5 THEN CASE WHEN drift > 0 THEN 'overruns' ELSE 'underruns' END || ' its window by #%' END,
+ CASE WHEN clamped THEN 'pace was clamped' END, CASE WHEN overlap_s > 0 THEN 'overlaps the next clip by # s' END, CASE WHEN latin > 0 THEN '# tokens of the reference are in Latin script' END], lambda x: x IS NOT NULL), '; ') AS why FROM s""")
 def qc_rank_worst(spark, d):
-    """Rank every medium's segments by word error rate plus drift: joins, scoring by a
-    fold, window rank; the whole quality stage on segment-sized texts."""
-    return ranked_pairs(spark, d, first_words(spark, d))
-
-
-@query()
-def qc_rank_worst_whole(spark, d):
-    """The same over every word of each turn."""
-    return ranked_pairs(spark, d, whole_words(spark, d))
-
-
-def ranked_pairs(spark, d, words):
-    text = lambda c: F.array_join(F.col(c), " ")
-    pairs = words.select("m", "segment_id", text("rw").alias("reference"), text("hw").alias("hypothesis"))
-    placed = fx.placements(spark, d).join(pairs.select("m", "segment_id"), ["m", "segment_id"])
-    # Overlaps are those of the whole timeline, not of the scored part alone.
-    over = timeline.overlaps(fx.placements(spark, d)).select("m", F.col("left_id").alias("segment_id"), "overlap_s")
-    scored = qc.score_pairs(placed.join(pairs, ["m", "segment_id"]).join(over, ["m", "segment_id"], "left"), composed=True)
-    window = F.col("window_end_s") - F.col("window_start_s")
-    rows = scored.withColumn("signed_drift", S.signed_drift_pct(F.col("duration_s"), window)).withColumn("overlap_s", F.coalesce("overlap_s", F.lit(0.0)))
-    drift = F.abs("signed_drift")
-    rows = rows.withColumn("score", S.combined_score(F.col("wer"), drift)).withColumn("flagged", (F.col("wer") > 0) | (drift > 5) | (F.col("overlap_s") > 0))
-    rank = F.row_number().over(Window.partitionBy("m").orderBy(F.round("score", 9).desc(), "segment_id"))
-    return rows.select("m", "segment_id", "wer", "signed_drift", "overlap_s", F.col("score").alias("combined"), "flagged", rank.alias("rank"))
+    """The quality stage over every word of each turn: placements with their segments, fits
+    and overlaps, word error rates, drift, reasons, and the rank in each medium. Numbers
+    within reasons are shown as #."""
+    pairs = fx.pairs(spark, d)
+    fits = fx.fits(spark, d).groupBy("m", "segment_id").agg(*[F.min(c).alias(c) for c in ("target", "achieved", "final_pace", "attempts", "converged")], F.bool_or("clamped").alias("clamped"))
+    rows = qc.qc_rows(fx.placements(spark, d), pairs.select("m", F.col("segment_id").alias("id"), F.col("reference").alias("translation")), fits, pairs.select("m", "segment_id", "hypothesis"), composed=True)
+    why = F.array_join(F.transform("reasons", lambda x: F.regexp_replace(x, "[0-9.]+", "#")), "; ").alias("why")
+    return qc.ranked(rows.withColumn("combined", F.round("combined", 9))).select("m", "segment_id", "wer", "signed_drift", "overlap_s", "combined", "flagged", "rank", why)

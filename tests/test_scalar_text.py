@@ -58,7 +58,7 @@ def test_edits_by_fold_and_by_rows(spark):
     cases = [("a b c", "a x c"), ("a", ""), ("a b", "b a c d"), ("x", "x"), ("a b c d e", "c d")]
     df = spark.createDataFrame(cases, "r string, h string")
     parts = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    rows = df.select("r", "h", X.edits(parts("r"), parts("h")).alias("e"), X.word_distance("r", "h").alias("w")).collect()
+    rows = df.select("r", "h", X.edits(parts("r"), parts("h")).alias("e"), X.word_distance(parts("r"), parts("h")).alias("w")).collect()
     for r in rows:
         want = brute(r.r.split(), r.h.split())
         assert r.e.c == want == r.w and r.e.s + r.e.d + r.e.i == r.e.c and r.e.d - r.e.i == len(r.r.split()) - len(r.h.split())

@@ -1,4 +1,4 @@
-"""Queries without a SQL twin take whole inputs: against plain loops on small fixtures."""
+"""Queries take whole inputs: against plain loops on small fixtures."""
 
 import __spark_entry__ as entry
 
@@ -17,14 +17,15 @@ def test_errors_after_word_forty_count(spark, tmp_path):
     turns = [own, [*own[:50], "other", *own[51:60]], own[5:], own[:8], ["new", *own[:39]]]
     rows = [(1, i, "user", " ".join(t)) for i, t in enumerate(turns)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = {i: plain_edits(a, b) for i, (a, b) in enumerate(zip(turns, turns[1:]))}
     q = entry.queries()
-    pairs = q["wer_pairs_whole"](spark, str(tmp_path)).collect()
+    pairs = q["wer_pairs"](spark, str(tmp_path)).collect()
     assert {r.segment_id: r.edits for r in pairs} == want and want[0] == 11
     assert all(r.wer == round(want[r.segment_id] / len(turns[r.segment_id]), 6) for r in pairs)
-    (total,) = q["corpus_wer_whole"](spark, str(tmp_path)).collect()
-    assert (total.edits, total.words) == (sum(want.values()), sum(map(len, turns[:-1])))
-    ranked = {r.segment_id: r for r in q["qc_rank_worst_whole"](spark, str(tmp_path)).collect()}
+    (total,) = q["corpus_wer"](spark, str(tmp_path)).collect()
+    assert (total.word_edits, total.ref_words) == (sum(want.values()), sum(map(len, turns[:-1])))
+    ranked = {r.segment_id: r for r in q["qc_rank_worst"](spark, str(tmp_path)).collect()}
     assert {i: r.wer for i, r in ranked.items()} == {r.segment_id: r.wer for r in pairs}
     assert sorted(r.rank for r in ranked.values()) == [1, 2, 3, 4]
 
@@ -49,6 +50,6 @@ def test_every_clip_is_mixed(spark, tmp_path):
             seen[3] += total != frames[at]
         counts[label, i] = tuple(seen)
     q = entry.queries()
-    assert {(r.m, r.i): r.x for r in q["mixed_signals_whole"](spark, str(tmp_path)).collect()} == frames
+    assert {(r.m, r.i): r.x for r in q["mixed_signals"](spark, str(tmp_path)).collect()} == frames
     got = {(r.m, r.ord): (r.written, r.truncated, r.overlapped, r.clipped) for r in q["mix_counts"](spark, str(tmp_path)).collect()}
     assert got == counts and len(got) == len(rows)
