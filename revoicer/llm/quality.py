@@ -43,7 +43,7 @@ class Limits:
     word_distance: float = 0.17
     word_allowance: float = 1.4  # over the square root of n_words: what sampling alone adds to a short text's distance
     min_chars: int = 200
-    min_words: int = 100
+    min_words: int = 50  # as the base rule: the allowance alone protects short texts
     min_reference: int = 2000  # words that a reference needs before it judges at all
 
 
