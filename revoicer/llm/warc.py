@@ -32,12 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import arrow_schema, column, file_system, materialise, record, shared_dir
+from .url_filter import AUTHORITY, NAME
 
 BLOCK = 512
 LEVEL = 4
+#: Bytes of payload that an archive holds about, where there are more than tasks can share.
+ARCHIVE_BYTES = 256 << 20
 #: Rows of about 80 bytes that may be sent to every task.
 BROADCAST = 100_000
 RECORD_URI = "urn:revoicer:page:"
+EXACT_URI = "X-Exact-Target-URI"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "file string, first_key string, last_key string, records bigint, directory_offset bigint, directory_length bigint"
 CAPTURES = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -48,9 +52,9 @@ def url_key(url: Column) -> Column:
     host is lower-cased; scheme, user, port and fragment go; a null or odd URL without a
     host is kept whole behind a closing bracket."""
     url = F.coalesce(url, F.lit(""))
-    pattern = r"^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)"
+    pattern = AUTHORITY + NAME + r"(?::[0-9]*)?([^#]*)"
     host = F.lower(F.regexp_extract(url, pattern, 1))
-    reversed_host = F.array_join(F.reverse(F.split(host, r"\.")), ",")
+    reversed_host = F.when(F.startswith(host, F.lit("[")), host).otherwise(F.array_join(F.reverse(F.split(host, r"\.")), ","))
     return F.when(host != "", F.concat(reversed_host, F.lit(")"), F.regexp_extract(url, pattern, 2))).otherwise(F.concat(F.lit(")"), url))
 
 
@@ -58,7 +62,7 @@ def url_key(url: Column) -> Column:
 
 
 def clean(value: str) -> str:
-    """A header value on one line."""
+    """A header value on one line; EXACT_URI then has the value itself."""
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
@@ -69,6 +73,8 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD_URI}{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append(f"WARC-Target-URI: {clean(url)}")
+        if clean(url) != url:
+            head.append(f"{EXACT_URI}: {json.dumps(url)}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{RECORD_URI}{refers_to}>", f"WARC-Profile: {PROFILE}"]
@@ -90,7 +96,7 @@ def parsed(raw: bytes) -> dict:
     if not revisit and (len(payload) != size or sha1(payload) != digest):
         raise ValueError(f"payload of record {own} does not match its digest")
     return {
-        "page_id": int(own) if own else None, "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest,
+        "page_id": int(own) if own else None, "url": json.loads(fields[EXACT_URI.lower()]) if EXACT_URI.lower() in fields else fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest,
         "record_type": fields["warc-type"], "refers_to": int(fields["warc-refers-to"][len(RECORD_URI) + 1 : -1]) if revisit else None, "payload": None if revisit else payload,
     }
 
@@ -137,8 +143,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archives:
     page with an id; an empty table gives no archive.
     """
     spark = pages.sparkSession
-    n = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = roles(pages, min_bytes).repartitionByRange(n, "key", "page_id", F.xxhash64("html")).sortWithinPartitions("key", "page_id")
+    if archives is None:
+        size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+        archives = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ARCHIVE_BYTES))
+    rows = roles(pages, min_bytes).repartitionByRange(archives, "key", "page_id", F.xxhash64("html")).sortWithinPartitions("key", "page_id")
     struct = T._parse_datatype_string(FILES)
     arrow = arrow_schema(struct)
 
@@ -193,6 +201,8 @@ class Archive:
         fs, root = file_system(folder)
         self.records, self.index = fs.open_input_file(f"{root}/{row['file']}.warc.gz"), fs.open_input_file(f"{root}/{row['file']}.idx")
         self.directory = json.loads(gunzipped(self.index.read_at(row["directory_length"], row["directory_offset"])))
+        self.firsts = [d[0] for d in self.directory]
+        self.last: tuple = (None, [], [])  # the block that was searched last
 
     def block(self, i: int) -> list[list]:
         _, place, length, _, _ = self.directory[i]
@@ -205,13 +215,19 @@ class Archive:
                 yield parsed(gunzipped(data[at - start : at - start + length]))
 
     def find(self, key: str) -> Iterator[dict]:
-        """Captures of a key: binary search over blocks, then within them."""
-        keys = [d[0] for d in self.directory]
-        for i in range(max(0, bisect_left(keys, key) - 1), bisect_right(keys, key)):
-            lines = self.block(i)
-            own = [x[0] for x in lines]
-            for _, _, at, length in lines[bisect_left(own, key) : bisect_right(own, key)]:
-                yield parsed(gunzipped(self.records.read_at(length, at)))
+        """Captures of a key: binary search over blocks, then within them; those of a block
+        lie side by side and are read at once."""
+        for i in range(max(0, bisect_left(self.firsts, key) - 1), bisect_right(self.firsts, key)):
+            if self.last[0] != i:
+                lines = self.block(i)
+                self.last = (i, lines, [x[0] for x in lines])
+            _, lines, own = self.last
+            found = lines[bisect_left(own, key) : bisect_right(own, key)]
+            if found:
+                start = found[0][2]
+                data = self.records.read_at(found[-1][2] + found[-1][3] - start, start)
+                for _, _, at, length in found:
+                    yield parsed(gunzipped(data[at - start : at - start + length]))
 
     def close(self) -> None:
         self.records.close()
@@ -249,14 +265,19 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> Data
 
 
 def lookup(files: DataFrame, folder: str, urls: DataFrame) -> DataFrame:
-    """Captures of the urls (column ``url``): asked, and the columns of a capture.
+    """Captures that share a key with the urls (column ``url``): asked, and the columns of
+    a capture."""
+    return search(files, folder, urls.select(F.col("url").cast("string").alias("asked"), url_key(F.col("url")).alias("key")).distinct())
+
+
+def search(files: DataFrame, folder: str, asked: DataFrame, payloads: bool = True) -> DataFrame:
+    """Captures of each (asked, key) row: asked, and the columns of a capture.
 
     The table of files has a row per archive, not per page, and is searched on every
     executor; each file's requests then go to one task, split where they are many.
     """
     table = sorted((r["first_key"], r["last_key"], r["file"], r["directory_offset"], r["directory_length"]) for r in files.collect())
     firsts, lasts = [t[0] for t in table], [t[1] for t in table]
-    asked = urls.select(F.col("url").cast("string").alias("asked"), url_key(F.col("url")).alias("key")).distinct()
     routed = T._parse_datatype_string("asked string, key string, file int")
     routed_arrow = arrow_schema(routed)
 
@@ -267,7 +288,7 @@ def lookup(files: DataFrame, folder: str, urls: DataFrame) -> DataFrame:
             at = np.repeat(np.arange(len(keys)), [len(s) for s in spans])
             yield record({"asked": column(batch, "asked").take(pa.array(at)), "key": column(batch, "key").take(pa.array(at)), "file": [i for s in spans for i in s]}, routed_arrow)
 
-    struct = T._parse_datatype_string("asked string, " + CAPTURES)
+    struct = T._parse_datatype_string("asked string, " + (CAPTURES if payloads else CAPTURES.removesuffix(", payload binary")))
     arrow = arrow_schema(struct)
 
     def run(batches):
@@ -290,7 +311,9 @@ def archive_folder(df: DataFrame) -> str:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write every page to archives and read all of them back: page_id, url,
-    payload_bytes, payload_digest, record_type, refers_to."""
+    """Write every page to archives and find each again by its key through the index:
+    page_id, url, payload_bytes, payload_digest, record_type, refers_to. A record that the
+    search missed would be missing here; :func:`read_archives` reads without a search."""
     folder = archive_folder(pages)
-    return read_archives(write_archives(pages, folder, min_bytes), folder)
+    keys = pages.select(url_key(F.col("url").cast("string")).alias("key")).distinct().select(F.lit(None).cast("string").alias("asked"), "key")
+    return search(write_archives(pages, folder, min_bytes), folder, keys, payloads=False).drop("asked")

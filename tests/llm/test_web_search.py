@@ -125,5 +125,19 @@ def test_estimates_are_unbiased_within_bounds():
 
 
 def test_column_functions(spark):
-    r = spark.range(1).select(warc.url_key(F.lit("HTTP://u:p@A.b.Com:80/x?y#z")).alias("k"), url_filter.url_keys(F.lit("http://a.b.com/p/q")).alias("u")).first()
+    r = spark.range(1).select(warc.url_key(F.lit("HTTP://u:p@A.b.Com:80/x?y#z")).alias("k"), url_filter.url_keys(F.lit("http://a.b.com/p/q"), 9).alias("u")).first()
     assert r.k == "com,b,a)/x?y" and r.u == ["com", "b.com", "a.b.com", "a.b.com/p", "a.b.com/p/q"]
+
+
+def test_deep_paths_addresses_and_long_histories(spark):
+    entries = [("h.com/a/b/c/d/e", "block", 5), ("[2001:db8::1]", "block", 0)] + [("long.com", "block" if t % 2 else "remove", t) for t in range(300)]
+    captures = [(1, "http://h.com/a/b/c/d/e/f", 5), (2, "http://h.com/a/b/c/d", 9), (3, "http://[2001:DB8::1]:8080/x", 1), (4, "http://long.com/", 7), (5, "http://long.com/", 8), (6, "http://h.com/a/b/c/d/e", 4)]
+    out = url_filter.judge(spark.createDataFrame(captures, "id long, url string, fetched_at long"), spark.createDataFrame(entries, "key string, action string, at long")).collect()
+    assert {r.id: r.verdict for r in out} == {1: "block", 2: "none", 3: "block", 4: "block", 5: "none", 6: "none"}
+
+
+def test_odd_urls_come_back(spark):
+    urls = ["http://x.com/a\r\nb", "http://x.com/a", "http://x.com/a#1", "http://x.com/a#2", "http://[::1]:80/z", None, "", " no url ", "http://y/\u00e9\n"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id: r.url for r in warc.round_trip(pages).collect()} == dict(enumerate(urls))
+    assert pages.select(warc.url_key(pages.url)).collect()[4][0] == "[::1])/z"
