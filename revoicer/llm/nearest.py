@@ -1,16 +1,19 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
 Every vector is centred, padded to CODE_BITS dimensions where it has fewer, rotated at
-random, and kept as one bit per dimension with two correction scalars: its distance from
-the centre, and the inner product of its unit residual with its own code. From packed
-bits and scalars the inner product with a query is estimated without bias, with an error
-bound that shrinks as the code grows. In each block of the table the SEEDS best estimates
-are scored exactly, which gives a floor; then only vectors whose upper bound reaches it
-are, on the original vectors in double precision.
-
-Queries are held against all rows in blocks. Copies of a vector are merged first: of
-equal vectors only the TOP + 1 least ids can be among a query's nearest, since ties go to
-the smaller id, so a vector that fills a third of the table costs one code.
+random, and kept as one bit per dimension, packed to 64-bit words, with two correction
+scalars: its distance from the centre, and the inner product of its unit residual with its
+own code. A query is rotated too and rounded to LEVELS steps, kept as one packed word list
+for each binary digit; the inner product with a code is then a sum of bit counts. Bits and
+scalars give it without bias, with an error bound that shrinks as the code grows. In each
+block of the table the SEEDS best estimates are scored exactly, which gives a floor; then
+only vectors whose upper bound reaches it are, on the original vectors in double precision.
+
+Blocks of the table and chunks of queries are files in the shared folder; each task reads
+one block and some chunks, so neither is copied for the other. The work still is every
+query against every code. Copies of a vector are merged first: of equal vectors only the
+TOP + 1 least ids can be among a query's nearest, since ties go to the smaller id, so a
+vector that fills a third of the table costs one code.
 """
 
 from __future__ import annotations
@@ -21,24 +24,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, column, materialise, record
+from .shared import arrow_schema, column, fresh_folder, materialise, read_block, record, write_by_block
 
 TOP = 20
 QUERY_STEP = 20
-#: Vectors of a block of the table, and queries of a block of queries.
-BLOCK, QUERIES = 8192, 1024
+#: Vectors of a block of the table: the least where tasks are few, and the most.
+BLOCK, BLOCK_MOST = 8192, 65536
+#: Queries of a chunk, and chunks that a task takes.
+QUERIES, CHUNKS = 4096, 64
 #: Rows that the centre is the mean of: those with the least hashes.
 CENTRE_ROWS = 4096
 #: Standard errors that the bounds span.
 WIDTH = 2.5
 #: Least length of a code, and estimates scored first in each block.
-CODE_BITS, SEEDS = 256, 48
+CODE_BITS, SEEDS = 128, 48
+#: Binary digits of a rounded query, and its steps.
+DIGITS = 4
+LEVELS = 1 << DIGITS
 SEED = 11
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     """The first ``dim`` rows of a random orthogonal matrix: pads to CODE_BITS and rotates."""
-    bits = -(-max(dim, CODE_BITS) // 8) * 8
+    bits = -(-max(dim, CODE_BITS) // 64) * 64
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
     return (q * np.sign(np.diag(r)))[:dim]
 
@@ -52,29 +60,49 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     return np.packbits(unit > 0, axis=1), norm, np.where(norm > 0, own, 1.0)
 
 
-def unpacked(bits: np.ndarray, norm: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes times norm / own, and the deviation of an estimate for a query of length 1.
+class Codes:
+    """The codes of a block: packed words, set bits, and what scales and bounds estimates.
 
     <q, x> = <q, centre> + norm * <q, unit>, and <q, unit> is estimated by <q', code> / own
-    with q' the rotated query; its deviation is |q| * sqrt((1 - own^2) / own^2 / (bits - 1)).
-    """
-    n = bits.shape[1] * 8
-    code = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
-    code *= (norm / own / np.sqrt(n)).astype(np.float32)[:, None]
-    return code, (norm * np.sqrt(np.maximum(1 - own**2, 0) / own**2 / (n - 1))).astype(np.float32)
-
-
-def estimate(code: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """Estimated inner products (queries, rows)."""
-    guess = (queries @ turn).astype(np.float32) @ code.T
+    with q' the rotated query; its deviation is |q| * sqrt((1 - own^2) / own^2 / (bits - 1))."""
+
+    def __init__(self, bits: np.ndarray, norm: np.ndarray, own: np.ndarray):
+        self.words = np.ascontiguousarray(np.ascontiguousarray(bits).view(np.uint64).T)  # (words, rows)
+        self.n = bits.shape[1] * 8
+        self.set = np.bitwise_count(self.words).sum(axis=0, dtype=np.int64).astype(np.float32)
+        self.scale = (norm / own).astype(np.float32)
+        self.deviation = (norm * np.sqrt(np.maximum(1 - own**2, 0) / own**2 / (self.n - 1))).astype(np.float32)
+
+
+def estimate(codes: Codes, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products (queries, rows) and their standard errors, by bit counts."""
+    q = queries @ turn
+    low = q.min(axis=1)
+    step = np.maximum((q.max(axis=1) - low) / (LEVELS - 1), 1e-30)
+    rounded = np.rint((q - low[:, None]) / step[:, None]).astype(np.uint8)
+    sums = np.zeros((len(q), codes.words.shape[1]), np.uint32)
+    both, counted = np.empty(sums.shape, np.uint64), np.empty(sums.shape, np.uint8)
+    for digit in range(DIGITS):
+        planes = np.packbits(rounded >> digit & 1, axis=1).view(np.uint64)
+        for w, row in enumerate(codes.words):
+            np.bitwise_and(planes[:, w, None], row[None], out=both)
+            np.bitwise_count(both, out=counted)
+            sums += counted.astype(np.uint32) << digit
+    # <q', code> = twice the sum over the set bits, less the sum over all.
+    guess = sums.astype(np.float32)
+    guess *= (2 * step).astype(np.float32)[:, None]
+    guess += np.outer(2 * low, codes.set).astype(np.float32)
+    guess -= (low * codes.n + step * rounded.sum(axis=1)).astype(np.float32)[:, None]
+    guess *= codes.scale[None] / np.float32(np.sqrt(codes.n))
     guess += (queries @ centre).astype(np.float32)[:, None]
-    return guess
+    spread = np.stack([np.linalg.norm(queries, axis=1), step / np.sqrt(12)], axis=1).astype(np.float32)
+    return guess, spread @ np.stack([codes.deviation, codes.scale])
 
 
-def block_top(code: np.ndarray, deviation: np.ndarray, vectors: np.ndarray, ids: np.ndarray, firsts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, centre: np.ndarray, turn: np.ndarray, top: int):
+def block_top(codes: Codes, vectors: np.ndarray, ids: np.ndarray, firsts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, centre: np.ndarray, turn: np.ndarray, top: int):
     """(query row, id, score) of the best in one block: distinct vectors, the ids of
     vector i at firsts[i]:firsts[i + 1]."""
-    guess = estimate(code, queries, centre, turn)
+    guess, deviation = estimate(codes, queries, centre, turn)
     n, size = len(vectors), np.diff(firsts)
     # One place is kept for the query itself, which is among the candidates.
     seeds = min(n, max(SEEDS, top + 1))
@@ -83,13 +111,13 @@ def block_top(code: np.ndarray, deviation: np.ndarray, vectors: np.ndarray, ids:
         first = np.argpartition(-guess, seeds - 1, axis=1)[:, :seeds]
         exact = np.einsum("qsd,qd->qs", vectors[first], queries)
         floor = np.sort(exact, axis=1)[:, -(top + 1)]
-    guess += (WIDTH * np.linalg.norm(queries, axis=1)).astype(np.float32)[:, None] * deviation[None]
-    # A hair of room for the rounding of single precision.
+    guess += WIDTH * deviation
+    # A hair of room for rounding, which differs between sums in different orders.
     rows, at = np.nonzero(guess >= (floor - 1e-5 * np.abs(floor))[:, None])
     for i in range(0, len(rows), 1 << 18):
         r, a = rows[i : i + (1 << 18)], at[i : i + (1 << 18)]
         exact = np.einsum("ij,ij->i", queries[r], vectors[a])
-        good = exact >= floor[r]
+        good = exact >= floor[r] - 1e-9 * np.abs(floor[r])
         r, a, exact = r[good], a[good], exact[good]
         m = size[a]
         rr, ss = np.repeat(r, m), np.repeat(exact, m)
@@ -143,53 +171,43 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, top: int = TOP,
     groups = materialise(ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     sample = np.array([r["embedding"] for r in groups.orderBy(F.xxhash64("embedding"), "embedding").limit(CENTRE_ROWS).select("embedding").collect()])
     centre, turn = (sample.mean(axis=0) if len(sample) else np.zeros(dim)), rotation(dim)
-    parts = max(1, -(-groups.count() // BLOCK))
-    index = materialise(coded(groups, centre, turn, parts), "codes")
+    n, tasks = groups.count(), 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // BLOCK_MOST), min(-(-n // BLOCK), tasks))
+    index_files, query_files = fresh_folder(vectors.sparkSession, "codes"), fresh_folder(vectors.sparkSession, "queries")
+    write_by_block(coded(groups, centre, turn, parts), index_files)
+    chunks = max(1, -(-asked.count() // QUERIES))
+    write_by_block(asked.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(chunks)).alias("block"), "vec_id", "embedding"), query_files)
     shared = vectors.sparkSession.sparkContext.broadcast((centre, turn))
-    n_queries = asked.count()
-    chunks = max(1, -(-n_queries // QUERIES))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(chunks)).cast("int").alias("chunk"), spread(parts).alias("block"), F.array("vec_id").alias("ids"), "embedding", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("double").alias("norm"), F.lit(None).cast("double").alias("own"), F.lit(0).alias("side"))
-    right = index.select(spread(chunks).alias("chunk"), "block", "ids", "embedding", "bits", "norm", "own", F.lit(1).alias("side"))
     struct = T._parse_datatype_string("query_id bigint, vec_id bigint, score double")
     arrow = arrow_schema(struct)
 
-    def cell(qs: list[pa.RecordBatch], vs: list[pa.RecordBatch]):
-        q, v = pa.Table.from_batches(qs), pa.Table.from_batches(vs)
+    def cell(v: pa.Table, chunk: int):
+        if (q := read_block(query_files, chunk)) is None:
+            return
         grid = lambda t: np.asarray(t["embedding"].combine_chunks().flatten()).reshape(-1, dim)
-        queries_, vectors_ = grid(q), grid(v)
-        query_ids = np.asarray(q["ids"].combine_chunks().flatten())
+        queries_, vectors_, query_ids = grid(q), grid(v), np.asarray(q["vec_id"])
         lists = v["ids"].combine_chunks()
         ids, firsts = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))])
-        bits = np.frombuffer(b"".join(v["bits"].to_pylist()), np.uint8).reshape(len(vectors_), -1)
-        code, deviation = unpacked(bits, np.asarray(v["norm"]), np.asarray(v["own"]))
+        codes = Codes(np.frombuffer(b"".join(v["bits"].to_pylist()), np.uint8).reshape(len(vectors_), -1), np.asarray(v["norm"]), np.asarray(v["own"]))
         centre_, turn_ = shared.value
-        for i in range(0, len(queries_), 256):
-            found = list(block_top(code, deviation, vectors_, ids, firsts, queries_[i : i + 256], query_ids[i : i + 256], centre_, turn_, top))
+        size = max(1, (1 << 20) // max(1, len(vectors_)))
+        for i in range(0, len(queries_), size):
+            found = list(block_top(codes, vectors_, ids, firsts, queries_[i : i + size], query_ids[i : i + size], centre_, turn_, top))
             if found:
                 r, d, s = (np.concatenate(x) for x in zip(*found, strict=True))
                 keep = best(r, d, s, top)
-                yield record({"query_id": query_ids[i : i + 256][r[keep]], "vec_id": d[keep], "score": s[keep]}, arrow)
+                yield record({"query_id": query_ids[i : i + size][r[keep]], "vec_id": d[keep], "score": s[keep]}, arrow)
 
     def run(batches):
-        now, qs, vs = None, [], []
         for batch in batches:
-            key = np.asarray(column(batch, "chunk")).astype(np.int64) << 32 | np.asarray(column(batch, "block"))
-            side = np.asarray(column(batch, "side"))
-            edges = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(side) != 0)) + 1, [len(key)]])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if key[a] != now:
-                    if qs and vs:
-                        yield from cell(qs, vs)
-                    now, qs, vs = key[a], [], []
-                (vs if side[a] else qs).append(batch.slice(a, b - a))
-        if qs and vs:
-            yield from cell(qs, vs)
-
-    cells = left.unionByName(right).repartition("chunk", "block").sortWithinPartitions("chunk", "block", "side")
-    found = cells.mapInArrow(run, struct)
+            for task in column(batch, "id").to_pylist():
+                block, group = task % parts, task // parts
+                if (v := read_block(index_files, block)) is not None:
+                    for chunk in range(group * CHUNKS, min(chunks, (group + 1) * CHUNKS)):
+                        yield from cell(v, chunk)
+
+    cells = parts * -(-chunks // CHUNKS)
+    found = vectors.sparkSession.range(0, cells, 1, cells).mapInArrow(run, struct)
     # At most ``top`` rows of each query from each block meet here.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
@@ -197,8 +215,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, top: int = TOP,
 
 def coded(groups: DataFrame, centre: np.ndarray, turn: np.ndarray, parts: int) -> DataFrame:
     """The index: block, ids, embedding, bits, norm, own of every distinct vector."""
-    rows = groups.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(parts)).cast("int"))
-    struct = T._parse_datatype_string("block int, ids array<bigint>, embedding array<double>, bits binary, norm double, own double")
+    rows = groups.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(parts)))
+    struct = T._parse_datatype_string("block bigint, ids array<bigint>, embedding array<double>, bits binary, norm double, own double")
     arrow = arrow_schema(struct)
     dim = len(centre)
 

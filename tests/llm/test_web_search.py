@@ -119,8 +119,8 @@ def test_estimates_are_unbiased_within_bounds():
     rng = np.random.default_rng(2)
     x, q = rng.normal(size=(500, 64)), rng.normal(size=(40, 64))
     centre, turn = x.mean(axis=0), nearest.rotation(64)
-    code, deviation = nearest.unpacked(*nearest.encode(x, centre, turn))
-    off = (nearest.estimate(code, q, centre, turn) - q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * deviation)
+    guess, deviation = nearest.estimate(nearest.Codes(*nearest.encode(x, centre, turn)), q, centre, turn)
+    off = (guess - q @ x.T) / deviation
     assert abs(off.mean()) < 0.1 and 0.7 < off.std() < 1.3 and (np.abs(off) < nearest.WIDTH).mean() > 0.95
 
 
