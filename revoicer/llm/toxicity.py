@@ -35,7 +35,6 @@ class Sample:
 
     positives: int = 1500
     negatives: int = 3000
-    windows: int = 12  # of each document, spread evenly over the whole text
     steps: int = 450
     batch: int = 96
     seed: int = 7
@@ -355,16 +354,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), held_out_
     ids = known.where("__label = 1").orderBy(order, "__id").limit(sample.positives).unionByName(known.where("__label = 0").orderBy(order, "__id").limit(sample.negatives))
     # At most positives + negatives ids: safe to broadcast at any size of the tables.
     rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("__doc") == F.col("__id"))
-    most = sample.windows
 
     def cut(batch, texts):
         out = []
         for raw in texts:
             words = raw.decode("utf-8", "replace").split()
-            places = range(0, max(1, len(words)), WINDOW)
-            step = max(1.0, len(places) / most)
-            picks = sorted({places[int(i * step)] for i in range(min(most, len(places)))})
-            out.append("\n".join(" ".join(words[i : i + WINDOW]) for i in picks))
+            out.append("\n".join(" ".join(words[i : i + WINDOW]) for i in range(0, max(1, len(words)), WINDOW)))
         return {"cut": out}
 
     got = with_columns(rows, cut, "cut string", keep=["__doc", "__label"]).collect()
