@@ -202,19 +202,34 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     one = np.zeros((size, CLASSES))
     one[np.arange(size), own] = 1
     grid = one.T @ n @ one
-    share = grid.sum(axis=0) / max(1, grid.sum())
-    moves = (1 - MIXED) * grid / np.maximum(grid.sum(axis=1, keepdims=True), 1) + MIXED * (share + 1e-6) / (1 + 1e-6 * CLASSES)
     model = {
-        "units": units, "own": own, "moves": np.log10(np.maximum(moves, 1e-12)), "tokens": grid.sum(axis=0), "distinct": one.T @ distinct,
+        "units": units, "own": own, "moves": np.log10(transitions(grid)), "tokens": grid.sum(axis=0), "distinct": one.T @ distinct,
         "frequent": dict(top), "texts": texts, "n": int(words["n"] or 0) + texts, "v": int(words["v"]) + (texts > 0),
     }
-    return met.join(totals, "word"), model
+    # Frequent words leave before the join: they are in every block, and every task has them.
+    # The list is short words, FREQUENT of them at most.
+    frequent = F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in model["frequent"]], "word binary"))
+    return met.join(frequent, "word", "left_anti").join(totals.join(frequent, "word", "left_anti"), "word"), model
 
 
-def side_files(counted: DataFrame, model: dict, folder: str) -> None:
+def transitions(grid: np.ndarray) -> np.ndarray:
+    """Probability of each class after each other, from counts: mixed with the class's own,
+    which stands alone after a class that was never seen. Each row sums to 1."""
+    share = grid.sum(axis=0) + 1e-6 * max(1, grid.sum())
+    share = share / share.sum()
+    before = grid.sum(axis=1, keepdims=True)
+    return np.where(before > 0, (1 - MIXED) * grid / np.maximum(before, 1) + MIXED * share, share)
+
+
+def side_files(counted: DataFrame, folder: str) -> None:
     """For each block one file of its words that are not frequent, with their counts."""
-    listed = counted.sparkSession.createDataFrame([(bytearray(w),) for w in model["frequent"]], "word binary")
-    write_by_block(counted.join(F.broadcast(listed), "word", "left_anti").select("block", "word", "c"), folder)
+    write_by_block(counted.select("block", "word", "c"), folder)
+
+
+def sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of each text's values; a text's sum does not depend on its neighbours."""
+    first = np.cumsum(sizes) - sizes
+    return np.where(sizes > 0, np.add.reduceat(np.append(x, 0), first), 0) if len(sizes) else np.zeros(0)
 
 
 def counts_of(words: list[bytes], frequent: dict[bytes, int], folder: str, block: int) -> np.ndarray:
@@ -236,7 +251,7 @@ def score(docs: DataFrame) -> DataFrame:
     plain = ids_and_text(docs)
     counted, model = fit(plain)
     folder = fresh_folder(docs.sparkSession, "block_counts")
-    side_files(counted, model, folder)
+    side_files(counted, folder)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FREQUENT words and a grid of classes
     struct = T._parse_datatype_string("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     arrow = arrow_schema(struct)
@@ -253,16 +268,12 @@ def score(docs: DataFrame) -> DataFrame:
             cls = m["own"][unit]
             base = np.log10(c + 1) - np.log10(whole)
             emit = np.log10(c + 1) - below[cls]
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            total = lambda x, edges=edges: np.diff(np.concatenate([[0], np.cumsum(x)])[edges])
             seq = with_ends(cls[flat], sizes, 0)
             moves = m["moves"][np.concatenate([[0], seq[:-1]]), seq] if len(seq) else np.zeros(0)
-            ends = edges + np.arange(len(edges))
-            moved = np.diff(np.concatenate([[0], np.cumsum(moves)])[ends])
             ids = column(batch, "doc_id")
             yield record({
-                "doc_id": ids, "held_out": held_out(ids.to_pylist()), "n_tokens": sizes + 1, "n_known": total((c > 0)[flat].astype(np.int64)) + (m["texts"] > 0),
-                "train_tokens": np.full(len(sizes), m["n"]), "base_score": total(base[flat]) + np.log10((m["texts"] + 1) / whole), "score": total(emit[flat]) + moved,
+                "doc_id": ids, "held_out": held_out(ids.to_pylist()), "n_tokens": sizes + 1, "n_known": sums((c > 0)[flat], sizes).astype(np.int64) + (m["texts"] > 0),
+                "train_tokens": np.full(len(sizes), m["n"]), "base_score": sums(base[flat], sizes) + np.log10((m["texts"] + 1) / whole), "score": sums(emit[flat], sizes) + sums(moves, sizes + 1),
             }, arrow)
 
     return plain.mapInArrow(run, struct)

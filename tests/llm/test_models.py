@@ -111,6 +111,47 @@ def test_language_model(docs, no_docs, corpus):
     assert class_lm.score(no_docs).count() == 0
 
 
+def test_score_by_plain_counting(docs, corpus):
+    """The model's score from its classes alone: transitions and shares counted by hand."""
+    rows = {(r.doc_id, round(r.score, 4)) for r in class_lm.score(docs).collect()}
+    _, m = class_lm.fit(class_lm.ids_and_text(docs))
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    cls = lambda w: int(m["own"][m["units"][w] if w in m["units"] else len(m["units"]) + zlib.crc32(w[-3:]) % class_lm.POOLS])
+    texts = [(i, (t or "").encode().lower().split()) for i, t, *_ in corpus]
+    train = [ws for i, ws in texts if not held(i)]
+    c = Counter(w for ws in train for w in ws)
+    grid, tokens, words = Counter(), Counter(), Counter(cls(w) for w in c)
+    for ws in train:
+        chain = [0, *map(cls, ws), 0]
+        grid.update(zip(chain, chain[1:]))
+        tokens.update(chain[1:])
+    total, k = sum(grid.values()), class_lm.CLASSES
+    share = [sum(grid[a, b] for a in range(k)) + 1e-6 * total for b in range(k)]
+
+    def move(a, b):
+        own, before = share[b] / sum(share), sum(grid[a, x] for x in range(k))
+        return class_lm.MIXED * own + (1 - class_lm.MIXED) * grid[a, b] / before if before else own
+
+    def score(ws):
+        chain = [0, *map(cls, ws), 0]
+        return sum(math.log10(move(a, b)) for a, b in zip(chain, chain[1:])) + sum(math.log10((c[w] + 1) / (tokens[cls(w)] + words[cls(w)] + 1)) for w in ws)
+
+    some = [(i, ws) for i, ws in texts if len(ws) < 420]
+    assert {(i, round(score(ws), 4)) for i, ws in some} <= rows
+    for x in range(k):  # what may follow a class, and what a class may say, known or not
+        assert math.isclose(sum(move(x, y) for y in range(k)), 1) and math.isclose(sum((c[w] + 1) for w in c if cls(w) == x) + 1, tokens[x] * (x > 0) + words[x] + 1)
+
+
+def test_class_model_gains_on_held_out_text(spark):
+    import random
+
+    rng = random.Random(8)
+    nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    texts = [" ".join(rng.choice((nouns, verbs)[j % 2]) for j in range(60)) for _ in range(300)]
+    rows = class_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").collect()
+    assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows) + 10 * len(rows)
+
+
 # ---- pieces -----------------------------------------------------------------
 
 
