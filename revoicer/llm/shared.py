@@ -11,6 +11,7 @@ Conventions
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
@@ -55,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, so a
     lost executor costs no recomputation, and later steps see one fixed result."""
-    path = f"{shared_dir(df.sparkSession)}/revoicer/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -253,4 +254,19 @@ def read_block(folder: str, block: int) -> pa.Table | None:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/revoicer/{name}-{uuid.uuid4().hex}"
+    """A new name in this run's part of the shared folder. Results read what lies there, so
+    it stays until the driver's process ends, which removes it."""
+    root = f"{shared_dir(spark)}/revoicer/{spark.sparkContext.applicationId}"
+    if root not in RUNS:
+        RUNS.add(root)
+        atexit.register(removed, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+RUNS: set[str] = set()
+
+
+def removed(root: str) -> None:
+    with contextlib.suppress(Exception):  # at the end of the process there is no one to tell
+        fs, path = file_system(root)
+        fs.delete_dir(path)
