@@ -14,6 +14,7 @@ by random ones. Nothing else is fitted on a sample; scoring covers all text.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,8 @@ from .shared import with_columns
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
-#: Windows that one pass of the network takes at most.
-CHUNK = 4096
+#: Windows that one pass of the network takes at most, and words whose n-grams are held at once.
+CHUNK, WORDS = 4096, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -95,8 +96,18 @@ def group_mean(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def many_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_features of a large vocabulary, some words at a time."""
+    parts = [word_features(words[i : i + WORDS]) for i in range(0, max(1, len(words)), WORDS)]
+    bucket, grams, counts = zip(*parts, strict=True)
+    return np.concatenate(bucket), np.concatenate([g.astype(np.int32) for g in grams]), np.concatenate(counts)
+
+
 def word_vectors(p: dict, bucket: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([p["Ew"][bucket], group_mean(p["Ec"][grams], counts)], axis=1)
+    """Some words at a time: the rows of all n-grams of a large vocabulary are many."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    means = [group_mean(p["Ec"][grams[ends[i] : ends[min(i + WORDS, len(counts))]]], counts[i : i + WORDS]) for i in range(0, max(1, len(counts)), WORDS)]
+    return np.concatenate([p["Ew"][bucket], np.concatenate(means)], axis=1)
 
 
 # ---- the network ------------------------------------------------------------
@@ -218,11 +229,13 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Word numbers of all texts, word counts, and the distinct words."""
-    parts = [x.lower().split() for x in texts]
     known: dict[str, int] = {}
-    put = known.setdefault
-    flat = np.fromiter((put(w, len(known)) for ws in parts for w in ws), dtype=np.int64)
-    return flat, np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)), list(known)
+    put, flat, sizes = known.setdefault, array("q"), []
+    for x in texts:  # text by text: of its words only new ones stay
+        words = x.lower().split()
+        sizes.append(len(words))
+        flat.extend([put(w, len(known)) for w in words])
+    return np.array(flat, dtype=np.int64), np.array(sizes, dtype=np.int64), list(known)
 
 
 def highest(p: dict, texts: list[str]) -> np.ndarray:
@@ -261,11 +274,12 @@ def fit_texts(rows: list[tuple[list[str], int]], sample: Sample = Sample(), weig
     pieces = [w for ws, _ in rows for w in ws]
     doc = np.repeat(np.arange(len(rows)), [len(ws) for ws, _ in rows])
     flat, sizes, vocab = coded(pieces)
-    bucket, grams, counts = word_features(vocab)
+    bucket, grams, counts = many_features(vocab)
     place, mask, owner = windows(sizes)
     if not len(owner):
         return {"p": None, "prior": prior, "scale": (1.0, 0.0)}
-    index, of = flat[place].astype(np.int32), doc[owner]
+    index, of = flat.astype(np.int32)[place], doc[owner]
+    del place, pieces
     offset = np.cumsum(counts) - counts
     # The first number of each embedding starts at the log odds of its documents.
     seen = {"Ew": np.zeros((2, WORD_BUCKETS)), "Ec": np.zeros((2, GRAM_BUCKETS))}
