@@ -205,6 +205,34 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator
         yield part << 24 | i, batch, texts
 
 
+def write_file(folder: str, name: str, rows: pa.Table) -> None:
+    """An Arrow file that appears whole; every attempt of a task writes the same rows, so
+    the first file that is there may stay."""
+    from pyspark import TaskContext
+
+    fs, root = file_system(folder)
+    fs.create_dir(root, recursive=True)
+    own, final = f"{root}/{name}.{TaskContext.get().taskAttemptId()}", f"{root}/{name}"
+    with fs.open_output_stream(own, compression=None) as out, pa.ipc.new_file(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    try:
+        fs.move(own, final)
+    except OSError:
+        if not fs.get_file_info(final).is_file:
+            raise
+        fs.delete_file(own)
+
+
+def read_file(folder: str, name: str) -> pa.Table | None:
+    """What :func:`write_file` wrote; None where there is no such file."""
+    fs, root = file_system(folder)
+    path = f"{root}/{name}"
+    if not fs.get_file_info(path).is_file:
+        return None
+    with fs.open_input_file(path) as source:
+        return pa.ipc.open_file(source).read_all()
+
+
 def write_by_block(rows: DataFrame, folder: str) -> None:
     """One Arrow file per block from rows (block, ...). A block's rows are the same in
     every attempt, and a file appears whole, so a repeated task does no harm."""
@@ -213,17 +241,10 @@ def write_by_block(rows: DataFrame, folder: str) -> None:
     done_schema = pa.schema([("block", pa.int64())])
 
     def run(batches):
-        from pyspark import TaskContext
-
-        fs, root = file_system(folder)
-        fs.create_dir(root, recursive=True)
         now, parts, done = None, [], []
 
         def close():
-            own = f"{root}/{now}.arrow.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(own, compression=None) as out, pa.ipc.new_file(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(pa.Table.from_batches(parts, schema))
-            fs.move(own, f"{root}/{now}.arrow")
+            write_file(folder, f"{now}.arrow", pa.Table.from_batches(parts, schema))
             done.append(now)
 
         for batch in batches:
@@ -245,12 +266,7 @@ def write_by_block(rows: DataFrame, folder: str) -> None:
 
 def read_block(folder: str, block: int) -> pa.Table | None:
     """A block's rows; None for a block without any."""
-    fs, root = file_system(folder)
-    path = f"{root}/{block}.arrow"
-    if not fs.get_file_info(path).is_file:
-        return None
-    with fs.open_input_file(path) as source:
-        return pa.ipc.open_file(source).read_all()
+    return read_file(folder, f"{block}.arrow")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

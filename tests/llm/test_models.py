@@ -114,9 +114,12 @@ def test_language_model(docs, no_docs, corpus):
 def test_score_by_plain_counting(docs, corpus):
     """The model's score from its classes alone: transitions and shares counted by hand."""
     rows = {(r.doc_id, round(r.score, 4)) for r in class_lm.score(docs).collect()}
-    _, m = class_lm.fit(class_lm.ids_and_text(docs))
+    _, tail, _, m = class_lm.fit(class_lm.ids_and_text(docs))
+    single = {bytes(r.word): r.cls for r in tail.collect()}
+    assert single and not single.keys() & m["units"].keys()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    cls = lambda w: int(m["own"][m["units"][w] if w in m["units"] else len(m["units"]) + zlib.crc32(w[-3:]) % class_lm.POOLS])
+    pool = lambda w: int(m["own"][m["units"][w] if w in m["units"] else len(m["units"]) + zlib.crc32(w[-3:]) % class_lm.POOLS])
+    cls = lambda w: single.get(w, pool(w))
     texts = [(i, (t or "").encode().lower().split()) for i, t, *_ in corpus]
     train = [ws for i, ws in texts if not held(i)]
     c = Counter(w for ws in train for w in ws)
@@ -152,6 +155,37 @@ def test_class_model_gains_on_held_out_text(spark):
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows) + 10 * len(rows)
 
 
+def test_rarer_words_leave_their_pool(spark, monkeypatch):
+    """Nouns and verbs that share one pool part by their neighbours, counted by hand."""
+    import random
+
+    monkeypatch.setattr(class_lm, "UNITS", 40)
+    rng = random.Random(9)
+    common = [f"n{i}" for i in range(20)], [f"v{i}" for i in range(20)]
+    rare = [f"n{i}end" for i in range(40)], [f"v{i}end" for i in range(40)]
+    texts = [" ".join(rng.choice((common if rng.random() < 0.9 else rare)[j % 2]) for j in range(60)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    _, tail, _, m = class_lm.fit(docs)
+    found = {bytes(r.word).decode(): (r.c, r.cls) for r in tail.collect()}
+    train = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for ws in train for w in ws)
+    assert {w: n for w, (n, _) in found.items()} == {w: n for w, n in c.items() if w.encode() not in m["units"]}
+    assert not {k for w, (_, k) in found.items() if w[0] == "n"} & {k for w, (_, k) in found.items() if w[0] == "v"}
+    size = class_lm.CLASSES
+    pool = lambda w: int(m["own"][m["units"][w.encode()] if w.encode() in m["units"] else len(m["units"]) + zlib.crc32(w.encode()[-3:]) % class_lm.POOLS])
+    grid, near = np.zeros((size, size)), {w: np.zeros(2 * size) for w in found}
+    for ws in train:
+        chain = [0, *map(pool, ws), 0]
+        for a, b in zip(chain, chain[1:]):
+            grid[a, b] += 1
+        for w, a, b in zip(ws, chain, chain[2:]):
+            if w in near:
+                near[w][a] += 1
+                near[w][size + b] += 1
+    for w, (_, k) in found.items():
+        assert class_lm.best_class(near[w][None], grid)[0] == k
+
+
 # ---- pieces -----------------------------------------------------------------
 
 
