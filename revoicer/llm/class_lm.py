@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, blocks, column, fresh_folder, id_crc, ids_and_text, lists, materialise, read_block, read_file, record, without_cycles, write_by_block, write_file
+from .shared import arrow_schema, blocks, column, fresh_folder, give_back, id_crc, ids_and_text, lists, materialise, read_block, read_file, record, without_cycles, write_by_block, write_file
 
 UNITS, POOLS, CLASSES = 1000, 256, 48
 #: Frequent words that every task holds; the others come by block.
@@ -43,6 +43,8 @@ HELD_OUT = (7, 2)  # modulus and remainder of crc32(doc_id) that marks held-out
 NEIGHBOUR = np.dtype([("slot", "u1"), ("n", "<u4")])
 #: Tasks that a pass over blocks has at most.
 TASKS = 10_000
+#: Bytes of text in a block, but for a single longer text.
+BLOCK_BYTES = 8 << 20
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -77,7 +79,7 @@ def write_blocks(docs: DataFrame, folder: str) -> DataFrame:
 
     @without_cycles
     def run(batches):
-        for block, batch, texts in blocks(batches):
+        for block, batch, texts in blocks(batches, limit=BLOCK_BYTES):
             flat, sizes, words = indexed(texts)
             ids = column(batch, "doc_id")
             train = ~held_out(ids.to_pylist())
@@ -99,6 +101,7 @@ def over_blocks(listed: DataFrame, fn, schema: str) -> DataFrame:
         for batch in batches:
             for block in column(batch, "block").to_pylist():
                 yield record(fn(block), arrow)
+                give_back()
 
     return listed.select("block").repartition(min(TASKS, max(1, listed.count()))).mapInArrow(run, struct)
 
@@ -108,7 +111,7 @@ def read_texts(folder: str, block: int) -> tuple[pa.Array, np.ndarray, np.ndarra
     rows = read_file(folder, f"{block}.texts").combine_chunks()
     words = rows["words"].combine_chunks()
     words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-    return rows["doc_id"], np.asarray(rows["train"]), np.asarray(words.flatten()).astype(np.int64), np.asarray(pc.list_value_length(words)).astype(np.int64)
+    return rows["doc_id"], np.asarray(rows["train"]), np.asarray(words.flatten()), np.asarray(pc.list_value_length(words)).astype(np.int64)
 
 
 def read_words(folder: str, block: int) -> tuple[list[bytes], np.ndarray]:
@@ -175,10 +178,13 @@ def neighbours(listed: DataFrame, folder: str, units: dict[bytes, int], own: np.
         words, _ = read_words(folder, block)
         unit = unit_numbers(words, units)
         number = training(flat, sizes, train, np.arange(len(words)), -1)
-        cls = training(flat, sizes, train, own[unit], 0)
+        cls = training(flat, sizes, train, own[unit].astype(np.int8), 0)
         at = np.flatnonzero((number >= 0) & (np.append(unit, 0)[number] >= len(units)))
-        before, after = np.concatenate([[0], cls])[at], cls[at + 1]  # an end follows every word
-        key, n = np.unique(np.concatenate([number[at] * (2 * CLASSES) + before, number[at] * (2 * CLASSES) + CLASSES + after]), return_counts=True)
+        key = np.repeat(number[at] * (2 * CLASSES), 2)
+        key[::2] += np.append(np.int8(0), cls)[at]
+        key[1::2] += CLASSES + cls[at + 1].astype(np.int64)  # an end follows every word
+        del number, cls, at, flat
+        key, n = np.unique(key, return_counts=True)
         packed = np.empty(len(key), NEIGHBOUR)
         packed["slot"], packed["n"] = key % (2 * CLASSES), n
         which, first = np.unique(key // (2 * CLASSES), return_index=True)
@@ -228,13 +234,14 @@ def assigned(near: DataFrame, grid: np.ndarray) -> DataFrame:
                 yield rows(words[:-1], counts[:-1])
         if held[0]:
             yield rows(*held)
+        give_back()
 
     return near.repartition("word").sortWithinPartitions("word").mapInArrow(run, struct)
 
 
 def with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """The values of each text with an end after them."""
-    out = np.full(len(values) + len(sizes), end, dtype=np.int64)
+    out = np.full(len(values) + len(sizes), end, dtype=values.dtype)
     out[np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
     return out
 
@@ -340,7 +347,7 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, str, dict]:
         "frequent": {w: i for i, (w, _) in enumerate(top)}, "counts": np.array([c for _, c in top], np.int64), "classes": np.array([classes[w] for w, _ in top], np.int64),
     }
     side = fresh_folder(spark, "block_counts")
-    write_by_block(met.select("block", "word").join(frequent, "word", "left_anti").join(tail.join(frequent, "word", "left_anti"), "word").select("block", "word", "c", "cls"), side)
+    write_by_block(met.select("block", "word").join(frequent, "word", "left_anti").join(tail.join(frequent, "word", "left_anti").hint("merge"), "word").select("block", "word", "c", "cls"), side)
     grid = summed(class_bigrams(listed, folder, side, model), CLASSES)
     model |= {"moves": np.log10(transitions(grid)), "tokens": grid.sum(axis=0)}
     return listed, tail, folder, model
