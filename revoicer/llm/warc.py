@@ -306,10 +306,14 @@ def search(files: DataFrame, folder: str, asked: DataFrame, payloads: bool = Tru
     return to.repartition("file", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("file", "key").mapInArrow(run, struct)
 
 
+def archive_folder(df: DataFrame) -> str:
+    return fresh_folder(df.sparkSession, "warc")
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write every page to archives and find each again by its key through the index:
     page_id, url, payload_bytes, payload_digest, record_type, refers_to. A record that the
     search missed would be missing here; :func:`read_archives` reads without a search."""
-    folder = fresh_folder(pages.sparkSession, "warc")
+    folder = archive_folder(pages)
     keys = pages.select(url_key(F.col("url").cast("string")).alias("key")).distinct().select(F.lit(None).cast("string").alias("asked"), "key")
     return search(write_archives(pages, folder, min_bytes), folder, keys, payloads=False).drop("asked")
