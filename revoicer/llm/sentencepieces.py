@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 1. Words: stretches of text that no piece crosses (white space before letters or marks).
+   They are looked for once in each distinct token of a block (what stands between spaces).
    Each block of documents sends its distinct words once, packed by hash bucket.
 2. Lattice: every substring of a word up to the longest piece is exploded and equi-joined
    to the piece table; what matches are the edges, grouped by word.
@@ -26,7 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,8 @@ def load(data: bytes) -> Model:
         raise ValueError("only models with byte pieces are supported")
     if max(map(len, pieces)) > 32:
         raise ValueError("pieces of more than 32 characters are not supported")
+    if len(pieces) >= 1 << PIECE:
+        raise ValueError("so many pieces are not supported")
     return Model(kinds[proto.trainer_spec.model_type], pieces, bytes_, unknown, shown, spec.add_dummy_prefix, word_pattern(list(pieces)))
 
 
@@ -110,18 +113,72 @@ def marked(text: str, model: Model) -> str:
     return (" " + text if model.prefix and text else text).replace(" ", SPACE)
 
 
-def words_of(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray]:
+def tokens_of(texts: list[bytes], model: Model) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all marked texts, that is the words of COARSE, and how many each text
+    has. Tokens lack their first mark, since nearly all have one; a space stands before
+    those that have none."""
+    parts = pa.compute.split_pattern(pa.array(texts, pa.large_binary()), b" ")
+    flat, counts = parts.flatten(), np.asarray(pa.compute.list_value_length(parts)).astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    # Texts with marks of their own, or with spaces beside each other or at an end.
+    mark = SPACE.encode()
+    odd = np.flatnonzero([not model.prefix or not t or t[:1] == b" " or t[-1:] == b" " or b"  " in t or mark in t for t in texts])
+    if not len(odd):
+        return flat, counts
+    found = [re.findall(COARSE, marked(texts[i].decode("utf-8", "replace"), model)) for i in odd.tolist()]
+    own = [(x[1:] if x[0] == SPACE else " " + x).encode() for x in chain.from_iterable(found)]
+    first = edges[:-1]
+    counts[odd] = np.fromiter(map(len, found), np.int64, len(found))
+    first[odd] = len(flat) + np.cumsum(counts[odd]) - counts[odd]
+    return pa.concat_arrays([flat, pa.array(own, pa.large_binary())]).take(pa.array(spans(first, counts))), counts
+
+
+def listed(values: pa.Array) -> list:
+    """Python's objects of binary or string values, much faster than by ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+@dataclass
+class Spelt:
+    """Texts as numbers of distinct tokens, those as numbers of distinct words."""
+
+    words: pa.StringArray
+    counts: np.ndarray  # tokens of each text
+    token: np.ndarray
+    first: np.ndarray  # of each distinct token's words
+    size: np.ndarray
+    word: np.ndarray
+
+
+def spelt(texts: list[bytes], model: Model) -> Spelt:
+    """The words of a text are those of its tokens, so each distinct token is searched once."""
     find = re.compile(model.pattern).findall
-    parts = [find(marked(t.decode("utf-8", "replace"), model)) for t in texts]
-    return list(chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+    flat, counts = tokens_of(texts, model)
+    coded = flat.dictionary_encode()
+    tokens, held = listed(coded.dictionary), pa.compute.match_substring
+    # Those that are more than a mark and other characters after it.
+    odd = np.asarray(pa.compute.equal(pa.compute.binary_length(coded.dictionary), 0)) | np.asarray(held(coded.dictionary, " ")) | np.asarray(held(coded.dictionary, SPACE))
+    plain = [tokens[k] for k in np.flatnonzero(~odd).tolist()] if odd.any() else tokens
+    words = find(b" ".join([b"", *plain]).decode("utf-8", "replace").replace(" ", SPACE))
+    more = [find(tokens[k][1:].decode() if tokens[k][:1] == b" " else SPACE + tokens[k].decode()) for k in np.flatnonzero(odd).tolist()]
+    n = len(words)
+    found = pa.array(words + list(chain.from_iterable(more)), pa.string())
+    first, size = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
+    first[~odd] = np.flatnonzero(np.asarray(pa.compute.starts_with(found.slice(0, n), SPACE)))
+    size[~odd] = np.diff(np.append(first[~odd], n))
+    size[odd] = np.fromiter(map(len, more), np.int64, len(more))
+    first[odd] = n + np.cumsum(size[odd]) - size[odd]
+    known = found.dictionary_encode()
+    return Spelt(known.dictionary, counts, np.asarray(coded.indices), first, size, np.asarray(known.indices))
 
 
 # ---- the lattice ------------------------------------------------------------
 
 #: Bytes of text whose words a task holds at once.
 BLOCK_BYTES = 3 << 20
-#: Bits of an edge's first character, and the id that stands for a missing piece.
-PLACE, NONE = 26, 0x7FFFFFFF
+#: Bits of an edge's first character, those of its piece's number, those that count the
+#: words; and the id that stands for a missing piece.
+PLACE, PIECE, TURN, NONE = 26, 20, 17, 0x7FFFFFFF
 
 
 @dataclass
@@ -145,18 +202,21 @@ class Pieces:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """Edges of each word of (word, block, members) rows, grouped; rows without a word pass
-    by, in their place. Every single character has an edge, if need be to no piece."""
+    """Edges of each word of (word, members) rows, grouped; rows without a word pass by, in
+    their place. Every single character has an edge, if need be to no piece."""
     table = Pieces.of(model)
     # Bounded by the vocabulary: tens of thousands of short rows.
     pieces = words.sparkSession.createDataFrame([(p, k) for k, p in enumerate(table.texts)], "piece string, p int")
-    spans = words.select(F.monotonically_increasing_id().alias("at"), "word", F.char_length("word").alias("n"), "block", "members")
-    spans = spans.withColumn("i", F.explode_outer(F.expr("if(n > 0, sequence(0, n - 1), null)")))
-    spans = spans.withColumn("rest", F.expr(f"substring(word, i + 1, {model.longest})")).withColumn("l", F.explode_outer(F.expr("sequence(1, char_length(rest))")))
+    spans = words.selectExpr("monotonically_increasing_id() as at", "word", "if(word is null, 0, char_length(word)) as n", "coalesce(cast(word as binary), members) as carried")
+    spans = spans.withColumn("i", F.expr("explode(if(n > 0, sequence(0, n - 1), array(-1)))"))
+    spans = spans.withColumn("rest", F.expr(f"if(i < 0, '', substring(word, i + 1, {model.longest}))")).withColumn("l", F.expr("explode(if(i < 0, array(0), sequence(1, char_length(rest))))"))
     spans = spans.withColumn("piece", F.expr("substring(rest, 1, l)"))
-    met = spans.join(F.broadcast(pieces), "piece", "left").where("p is not null or l = 1 or i is null")
-    edge = F.shiftleft(F.coalesce("p", F.lit(len(table.texts))).cast("long"), PLACE).bitwiseOR(F.col("i").cast("long"))
-    rows = met.select("at", F.expr("if(i = 0 and l = 1, word, null)").alias("word"), edge.alias("edge"), "block", "members")
+    met = spans.join(F.broadcast(pieces), "piece", "left").where("p is not null or l <= 1")
+    # Millions of rows go to Python, so they are two columns: one number, and at a word's
+    # first edge the word. A negative number marks a row without a word.
+    turn = f"at & {(1 << TURN) - 1}L"
+    edge = f"shiftleft({turn}, {PLACE + PIECE}) | shiftleft(cast(coalesce(p, {len(table.texts)}) as bigint), {PLACE}) | cast(i as bigint)"
+    rows = met.selectExpr(f"if(i < 0, ~({turn}), {edge}) as edge", "if(i <= 0 and l <= 1, carried, null) as carried")
     shape = BPE_EDGES if model.kind == "bpe" else UNIGRAM_EDGES
     arrow = pa.schema([*((f, k) for f, k in shape.items()), *CARRIED.items()])
     struct = T.StructType([T.StructField(f.name, from_arrow(f.type)) for f in arrow])
@@ -180,42 +240,47 @@ WIDE = pa.struct([*PART, ("at", pa.int64()), ("better", pa.list_(pa.struct(PART)
 #: ``at`` is a place (high half) and an id (low half); ``odd``: some character has no piece.
 BPE_EDGES = {"word": pa.string(), "n": pa.int32(), "odd": pa.bool_(), "ones": pa.list_(pa.int64()), "joins": pa.list_(JOIN), "wide": pa.list_(WIDE)}
 UNIGRAM_EDGES = {"word": pa.string(), "n": pa.int32(), "odd": pa.bool_(), "into": pa.list_(pa.list_(pa.struct([("b", pa.int32()), ("o", pa.float64()), ("id", pa.int32())])))}
-CARRIED = {"block": pa.int64(), "members": pa.binary()}
+CARRIED = {"members": pa.binary()}
 
 
 def grouped(batches, table: Pieces, edges, arrow: pa.Schema):
-    """Rows (at, word, edge, block, members) to one row per word, in the same order.
+    """Rows (edge, carried) to one row per word, in the same order.
 
     A word's rows follow each other, by place and length: they come from exploding one row
-    and from a join that streams them past the piece table. ``at`` numbers the words of a
-    partition upwards, so an order that ever was otherwise would be seen, and raises."""
+    and from a join that streams them past the piece table. Each edge has the last bits of
+    its word's number in the partition, which is that of the row before or the next one, so
+    an order that ever was otherwise would be seen, and raises."""
     held: list[pa.RecordBatch] = []
-    last = -1
+    last = None
+
+    def turns(edge: np.ndarray) -> np.ndarray:
+        return np.where(edge < 0, ~edge, edge >> (PLACE + PIECE))
 
     def emit(rows: pa.Table):
-        wordless = np.asarray(pa.compute.is_null(rows["edge"]))
-        turns = np.flatnonzero(np.diff(wordless)) + 1
-        for a, b in zip([0, *turns], [*turns, len(rows)], strict=True):
+        wordless = np.asarray(rows["edge"]) < 0
+        changes = np.flatnonzero(np.diff(wordless)) + 1
+        for a, b in zip([0, *changes], [*changes, len(rows)], strict=True):
             part = rows.slice(a, b - a).combine_chunks()
             if wordless[a]:
-                out = {c: part[c] for c in CARRIED} | {c: pa.nulls(len(part), arrow.field(c).type) for c in arrow.names if c not in CARRIED}
+                out = {"members": part["carried"]} | {c: pa.nulls(len(part), arrow.field(c).type) for c in arrow.names if c != "members"}
             else:
-                edge, at = np.asarray(part["edge"]), np.asarray(part["at"])
-                local = np.cumsum(np.concatenate([[0], at[1:] != at[:-1]]))
-                out = edges(local, edge >> PLACE, edge & ((1 << PLACE) - 1), table)
-                count = len(out["n"])
-                out |= {"word": part["word"].drop_null()} | {c: pa.nulls(count, k) for c, k in CARRIED.items()}
+                edge = np.asarray(part["edge"])
+                local = np.cumsum(np.concatenate([[0], np.diff(edge >> (PLACE + PIECE)) != 0]))
+                out = edges(local, edge >> PLACE & ((1 << PIECE) - 1), edge & ((1 << PLACE) - 1), table)
+                out |= {"word": part["carried"].drop_null().cast(pa.string()), "members": pa.nulls(len(out["n"]), CARRIED["members"])}
             columns = [out[f.name] for f in arrow]
             yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns], schema=arrow)
 
     for batch in batches:
         if not len(batch):
             continue
-        at = np.asarray(column(batch, "at"))
-        if at[0] < last or (np.diff(at) < 0).any():
+        turn = turns(np.asarray(column(batch, "edge")))
+        step = np.diff(turn, prepend=turn[0] if last is None else last) & ((1 << TURN) - 1)
+        if (step > 1).any():
             raise RuntimeError("the rows of a word came apart")
-        last = int(at[-1])
-        whole = int(np.searchsorted(at, last))  # the last word may go on in the next batch
+        last = turn[-1]
+        new = np.flatnonzero(step)
+        whole = int(new[-1]) if len(new) else 0  # the last word may go on in the next batch
         if whole:
             yield from emit(pa.Table.from_batches([*held, batch.slice(0, whole)]))
             held = []
@@ -330,8 +395,8 @@ def computed(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def coded(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids, block, members) of (word, block, members) rows; rows without a word
-    keep their place among the others."""
+    """(word, ids, members) of (word, members) rows; rows without a word keep their place
+    among the others."""
     rows = lattice(words, model)
     if model.kind == "bpe":
         rows = computed(rows.withColumns({"mask": F.expr(f"if(n <= {BITS}, {ONCE}, null)"), "masks": F.expr(f"if(n > {BITS}, {wide_fold()}, null)")}), "ones", "joins", "wide", "mask", "masks")
@@ -356,23 +421,23 @@ def coded(words: DataFrame, model: Model) -> DataFrame:
 # ---- documents --------------------------------------------------------------
 
 
-def packed(numbers: np.ndarray, text: str = "") -> bytes:
+def packed(numbers: np.ndarray, text: bytes = b"") -> bytes:
     """Numbers and a text, compressed; :func:`unpacked` takes them back."""
     body = np.ascontiguousarray(numbers, "<i4").tobytes()
-    raw = len(numbers).to_bytes(8, "little") + body + text.encode()
+    raw = len(numbers).to_bytes(8, "little") + body + text
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, str]:
+def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
     raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     end = 8 + 4 * int.from_bytes(raw[:8], "little")
-    return np.frombuffer(raw[8:end], "<i4"), raw[end:].decode()
+    return np.frombuffer(raw[8:end], "<i4"), raw[end:]
 
 
-def dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def dealt(words: pa.StringArray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order of the words by bucket, the buckets that have some, where each begins in that
     order, and a checksum of each one's words."""
-    crc = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.int64, len(words))
+    crc = np.fromiter(map(zlib.crc32, listed(words.cast(pa.binary()))), np.int64, len(words))
     order = np.argsort(crc % buckets, kind="stable")
     own, first = np.unique((crc % buckets)[order], return_index=True)
     return order, own, first, np.bitwise_xor.reduceat(crc[order], first) if len(words) else crc
@@ -387,11 +452,12 @@ def block_words(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
     @without_cycles
     def run(batches):
         for block, _, texts in blocks(batches, BLOCK_BYTES):
-            distinct = list(dict.fromkeys(words_of(texts, shared.value)[0]))
+            distinct = spelt(texts, shared.value).words
             order, own, first, mark = dealt(distinct, buckets)
-            held = [distinct[i] for i in order]
-            size = np.fromiter(map(len, held), np.int32, len(held))
-            parts = [packed(size[a:b], "".join(held[a:b])) for a, b in zip(first, [*first[1:], len(held)], strict=True)] if held else []
+            held = distinct.take(pa.array(order)).cast(pa.binary())
+            size = np.asarray(pa.compute.binary_length(held))
+            ends, text = np.concatenate([[0], np.cumsum(size)]), b"".join(listed(held))
+            parts = [packed(size[a:b], text[ends[a] : ends[b]]) for a, b in zip(first, [*first[1:], len(held)], strict=True)] if len(held) else []
             yield record({"bucket": own, "block": np.full(len(own), block), "mark": mark, "words": parts}, arrow)
 
     return docs.mapInArrow(run, struct)
@@ -399,36 +465,43 @@ def block_words(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
 
 def told_apart(rows: DataFrame) -> DataFrame:
     """From packed rows, those of a bucket together: each distinct word of a bucket, then
-    for each block of it a row without a word, whose members are the block's words by their
-    number in the bucket."""
-    struct = T._parse_datatype_string("word string, block bigint, members binary")
+    for each block of it a row without a word, whose members are the bucket, the checksum
+    and the block, then the block's words by their number in the bucket."""
+    struct = T._parse_datatype_string("word string, members binary")
     arrow = arrow_schema(struct)
 
-    def flush(bucket: int, known: dict[str, int], parts: list[tuple[int, int, np.ndarray]]):
-        words = list(known)
-        for i in range(0, len(words), 1 << 14):
-            own = words[i : i + (1 << 14)]
-            yield record({"word": own, "block": pa.nulls(len(own)), "members": pa.nulls(len(own))}, arrow)
-        for block, mark, at in parts:
-            head = np.array([bucket, mark - (1 << 31)], "<i4")
-            yield record({"word": [None], "block": [block], "members": [head.tobytes() + at.astype("<i4").tobytes()]}, arrow)
+    def flush(bucket: int, parts: list[tuple[int, int]], words: list[pa.Array]):
+        coded = pa.chunked_array(words).dictionary_encode().unify_dictionaries()
+        known = coded.chunk(0).dictionary
+        for i in range(0, len(known), 1 << 14):
+            own = known[i : i + (1 << 14)]
+            yield record({"word": own, "members": pa.nulls(len(own), pa.binary())}, arrow)
+        held, size = [], 0
+        for (block, mark), x in zip(parts, coded.chunks, strict=True):
+            held.append(np.array([bucket, mark, block], "<i8").tobytes() + np.asarray(x.indices).astype("<i4").tobytes())
+            size += len(held[-1])
+            if size > 1 << 20:
+                yield record({"word": [None] * len(held), "members": held}, arrow)
+                held, size = [], 0
+        if held:
+            yield record({"word": [None] * len(held), "members": held}, arrow)
 
     @without_cycles
     def run(batches):
-        now, known, parts = None, {}, []
+        now, parts, words = None, [], []
         for batch in batches:
             for bucket, block, mark, data in zip(*(column(batch, c).to_pylist() for c in ("bucket", "block", "mark", "words")), strict=True):
                 if bucket != now:
                     if parts:
-                        yield from flush(now, known, parts)
-                    now, known, parts = bucket, {}, []
+                        yield from flush(now, parts, words)
+                    now, parts, words = bucket, [], []
                 size, text = unpacked(data)
-                ends = np.cumsum(size)
-                put = known.setdefault
-                parts.append((block, mark, np.fromiter((put(text[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, len(size))))
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                parts.append((block, mark))
+                words.append(pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.tobytes()), pa.py_buffer(text)))
         if parts:
-            yield from flush(now, known, parts)
-        known, parts = {}, []
+            yield from flush(now, parts, words)
+        parts, words = [], []
         give_back()
 
     return rows.mapInArrow(run, struct)
@@ -458,10 +531,10 @@ def block_ids(rows: DataFrame) -> DataFrame:
                     sizes = np.concatenate([np.asarray(pa.compute.list_value_length(x)) for x in held]).astype(np.int64)
                     first, flat = np.cumsum(sizes) - sizes, np.concatenate([np.asarray(x.flatten()) for x in held])
                 out: dict[str, list] = {c: [] for c in arrow.names}
-                for block, data in zip(column(batch, "block").slice(a, b - a).to_pylist(), members.slice(a, b - a).to_pylist(), strict=True):
-                    head, at = np.frombuffer(data[:8], "<i4"), np.frombuffer(data[8:], "<i4")
+                for data in members.slice(a, b - a).to_pylist():
+                    (bucket, mark, block), at = np.frombuffer(data[:24], "<i8").tolist(), np.frombuffer(data[24:], "<i4")
                     own = np.concatenate([[len(at)], sizes[at], flat[spans(first[at], sizes[at])]])
-                    for c, x in zip(arrow.names, (block, int(head[0]), int(head[1]) + (1 << 31), packed(own)), strict=True):
+                    for c, x in zip(arrow.names, (block, bucket, mark, packed(own)), strict=True):
                         out[c].append(x)
                 yield record(out, arrow)
         held = sizes = first = flat = None
@@ -493,7 +566,7 @@ def encode(docs: DataFrame, data: bytes, with_ids: bool = True) -> DataFrame:
     struct = T._parse_datatype_string("doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, text_crc32 bigint, round_trip boolean" + (", ids array<int>" if with_ids else ""))
     arrow = arrow_schema(struct)
 
-    def table(block: int, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def table(block: int, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many ids each of the block's words has, all ids, and each word's place there."""
         own = read_block(folder, block)
         order, at, first, mark = dealt(words, buckets)
@@ -511,16 +584,15 @@ def encode(docs: DataFrame, data: bytes, with_ids: bool = True) -> DataFrame:
     def run(batches):
         shown = Decoder(shared.value)
         for block, batch, texts in blocks(batches, BLOCK_BYTES):
-            words_, counts = words_of(texts, shared.value)
-            known: dict[str, int] = {}  # each word's first occurrence
-            met = np.fromiter(map(known.setdefault, words_, count()), np.int64, len(words_))
-            number = np.zeros(len(words_), np.int64)
-            number[list(known.values())] = np.arange(len(known))
-            sizes, flat_table, place = table(block, list(known))
-            at = place[number[met]]
-            first = np.cumsum(sizes) - sizes
-            flat = flat_table[spans(first[at], sizes[at])]
-            edges = np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum(counts)])]
+            own = spelt(texts, shared.value)
+            sizes, flat_table, place = table(block, own.words)
+            at = place[own.word]  # from here to the ids of the distinct tokens, then to those of the texts
+            flat = flat_table[spans((np.cumsum(sizes) - sizes)[at], sizes[at])]
+            ends = np.concatenate([[0], np.cumsum(sizes[at])])
+            first, last = ends[own.first], ends[own.first + own.size]
+            sizes = (last - first)[own.token]
+            flat = flat[spans(first[own.token], sizes)]
+            edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(own.counts)])]
             raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
             decoded = [shown.text(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             out = {

@@ -283,3 +283,43 @@ def test_order_of_merges_that_one_pass_would_miss(spark):
     words = ["abc", "xabc", "abcd", "xabcd", "bcabcab", "cabc", "xabcd" * 20, "cab" * 30 + "d"]
     out = sentencepieces.coded(spark.createDataFrame([(w, None, None) for w in words], "word string, block long, members binary"), model).collect()
     assert {r.word: list(r.ids) for r in out} == {w: plain_code(w, model) for w in words}
+
+
+def test_words_of_texts_are_those_of_their_distinct_tokens():
+    import re
+
+    model = sentencepieces.load(model_bytes())
+    find = re.compile(model.pattern).findall
+    odd = ["", " ", "  a", "a  b", "a ", "▁", "a▁ b", "▁▁ x▁y", "\n \n", "é日² ²", "x.\ny 12a"]
+    texts = [x.encode() for x in odd] + [b"\xff a\xe2\x96 b", b"\xe3\x81 \xe3\x81", b"one two, one " * 3000]
+    for prefix in (True, False):
+        model.prefix = prefix
+        own = sentencepieces.spelt(texts, model)
+        words, ends = own.words.to_pylist(), np.concatenate([[0], np.cumsum(own.counts)])
+        got = [[words[w] for t in own.token[a:b] for w in own.word[own.first[t] : own.first[t] + own.size[t]]] for a, b in zip(ends[:-1], ends[1:])]
+        assert got == [find(sentencepieces.marked(t.decode("utf-8", "replace"), model)) for t in texts]
+        assert len(set(words)) == len(words)
+        assert len(own.first) < 40 and len(own.word) < 60  # what the pattern searched: not the 9000 words of the last text
+
+
+def test_edges_reach_python_in_two_columns_and_in_order(spark):
+    import pyarrow as pa
+
+    model = sentencepieces.load(model_bytes())
+    rows = sentencepieces.lattice(spark.createDataFrame([("▁the", None, None), (None, 1, bytearray(b"m"))], "word string, block long, members binary"), model)
+    assert rows._jdf.queryExecution().analyzed().child().output().size() == 2
+    assert [(r.word, r.n, r.members) for r in rows.collect()] == [("▁the", 4, None), (None, None, bytearray(b"m"))]
+
+    table = sentencepieces.Pieces.of(model)
+    arrow = pa.schema([*sentencepieces.BPE_EDGES.items(), *sentencepieces.CARRIED.items()])
+    bits, a = sentencepieces.PLACE + sentencepieces.PIECE, table.texts.index("a") << sentencepieces.PLACE
+
+    def words_of(turns):
+        batches = [pa.record_batch({"edge": pa.array([t << bits | a]), "carried": pa.array([b"a"])}) for t in turns]
+        return [w for x in sentencepieces.grouped(batches, table, sentencepieces.bpe_edges, arrow) for w in x["word"].to_pylist()]
+
+    last = (1 << sentencepieces.TURN) - 1
+    assert words_of([last - 1, last, 0, 1]) == ["a"] * 4  # the count goes round
+    for turns in ([0, 2], [1, 0], [0, 1, 0]):
+        with pytest.raises(RuntimeError):
+            words_of(turns)
