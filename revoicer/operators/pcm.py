@@ -1,8 +1,13 @@
-"""PCM signals: arrays of int16 samples as ARRAY<INT>; all native higher-order functions."""
+"""PCM signals: arrays of int16 samples as ARRAY<INT>; native higher-order functions, but
+for the mix, whose blocks of clips are folded in numpy."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revoicer.functions.scalar import amplitude, dbfs
@@ -68,48 +73,100 @@ def pcm_slice(samples: Column, rate: Column, start_s: Column, end_s: Column) ->
     return F.when(last <= first, F.raise_error(F.lit("the slice is empty")).cast("array<int>")).otherwise(F.slice(samples, first + 1, last - first))
 
 
-#: Frames of a tile: clips are cut to tiles, which meet as arrays, not sample by sample.
-TILE = 4096
+#: Frames of a tile, and clips of a block: clips are cut to tiles, and the clips of a tile
+#: are taken in blocks. Tasks hold one block's parts at a time, however many clips meet.
+TILE, BLOCK = 4096, 1024
 
 
-def tiles(clips: DataFrame, canvas: DataFrame) -> DataFrame:
-    """(m, tile, parts): of each tile of the canvas the parts (ord, s) that clips have in
-    it, in order; s covers the tile, null where the clip does not."""
-    rows = clips.join(canvas, "m").withColumn("stop", F.least(F.col("offset") + F.size("samples"), F.col("frames")).cast("int")).withColumn("from", F.greatest("offset", F.lit(0)).cast("int")).where("from < stop")
+def parts(clips: DataFrame, canvas: DataFrame) -> DataFrame:
+    """(m, tile, block, pos, ord, at, s): of each tile of the canvas the samples s that clips
+    have in it, from its frame ``at`` on; pos is the clip's place in its medium."""
+    order = clips.select("m", "ord").distinct().withColumn("pos", F.row_number().over(Window.partitionBy("m").orderBy("ord")) - 1).join(canvas, "m")
+    order = order.select(F.col("m").alias("__m"), F.col("ord").alias("__ord"), "pos", F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), "frames")
+    rows = clips.join(order, (F.col("m") == F.col("__m")) & F.col("ord").eqNullSafe(F.col("__ord")))
+    rows = rows.withColumn("stop", F.least(F.col("offset") + F.size("samples"), F.col("frames")).cast("int")).withColumn("from", F.greatest("offset", F.lit(0)).cast("int")).where("from < stop")
     rows = rows.withColumn("tile", F.explode(F.expr(f"sequence(cast(from div {TILE} as int), cast((stop - 1) div {TILE} as int))")))
     a, z = F.greatest("from", F.col("tile") * TILE), F.least("stop", (F.col("tile") + 1) * TILE)
-    none = lambda n: F.array_repeat(F.lit(None).cast("int"), n.cast("int"))
-    own = F.concat(none(a - F.col("tile") * TILE), F.slice("samples", (a - F.col("offset") + 1).cast("int"), (z - a).cast("int")).cast("array<int>"), none((F.col("tile") + 1) * TILE - z))
-    return rows.select("m", "tile", "ord", own.alias("s")).groupBy("m", "tile").agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("parts"))
+    own = F.slice("samples", (a - F.col("offset") + 1).cast("int"), (z - a).cast("int")).cast("array<int>")
+    return rows.select("m", "tile", "block", "pos", F.col("ord").cast("long").alias("ord"), (a - F.col("tile") * TILE).cast("int").alias("at"), own.alias("s"))
+
+
+def in_order(rows: pd.DataFrame) -> list[tuple]:
+    """(ord, frames, samples) of a block's parts in order; equal places by their samples.
+    Samples that are null are left out."""
+    out = []
+    for pos, ord_, at, s in zip(rows["pos"], rows["ord"], rows["at"], rows["s"]):
+        x = np.asarray(s, "f8")
+        known = ~np.isnan(x)
+        w = slice(at, at + len(x)) if known.all() else at + np.flatnonzero(known)
+        out.append((pos, -at, ord_, w, x[known].astype("i8")))
+    twice = rows["pos"].duplicated().any()
+    return [x[2:] for x in sorted(out, key=lambda x: (*x[:2], x[4].tolist()) if twice else x[0])]
+
+
+def steps(clips_parts: DataFrame) -> DataFrame:
+    """Of each block the one step that its clips make: clamped additions in a row are
+    x -> least(high, greatest(low, x + added)) at each frame, from ``at`` on."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        added, low, high, hit = np.zeros(TILE, "i8"), np.full(TILE, LOW), np.full(TILE, HIGH), np.zeros(TILE, bool)
+        for _, w, s in in_order(rows):
+            added[w] += s
+            low[w], high[w] = np.clip(low[w] + s, LOW, HIGH), np.clip(high[w] + s, LOW, HIGH)
+            hit[w] = True
+        a, z = np.flatnonzero(hit)[[0, -1]] + (0, 1) if hit.any() else (0, 0)
+        return pd.DataFrame({"m": [key[0]], "tile": [key[1]], "block": [key[2]], "at": [a], "added": [added[a:z]], "low": [low[a:z]], "high": [high[a:z]], "hit": [hit[a:z]]})
+
+    kind = clips_parts.schema["m"].dataType.simpleString()
+    return clips_parts.groupBy("m", "tile", "block").applyInPandas(one, f"m {kind}, tile int, block int, at int, added array<bigint>, low array<int>, high array<int>, hit array<boolean>")
+
+
+def walked(rows: pd.DataFrame) -> Iterator[tuple]:
+    """(block, from, to, mix, hit) before each step of a tile; the mix goes on in place."""
+    x, hit = np.zeros(TILE, "i8"), np.zeros(TILE, bool)
+    for r in rows.sort_values("block").itertuples():
+        z = r.at + len(r.added)
+        yield r.block, r.at, z, x, hit
+        x[r.at : z] = np.clip(x[r.at : z] + r.added, r.low, r.high)
+        hit[r.at : z] |= r.hit
+    yield None, 0, 0, x, hit
 
 
 def mix(clips: DataFrame, canvas: DataFrame) -> DataFrame:
     """Mix clips (m, ord, offset, samples) into silence of canvas (m, frames), one by one
     in order with clamping after each: (m, i, x) for every frame that a clip touches; the
     rest are zeros."""
-    start = F.array_repeat(F.lit(None).cast("int"), TILE)
-    added = lambda x, y: F.when(y.isNull(), x).otherwise(clamp16(F.coalesce(x, F.lit(0)) + y))
-    mixed = F.aggregate("parts", start, lambda a, p: F.zip_with(a, p["s"], added))
-    rows = tiles(clips, canvas).select("m", "tile", F.posexplode(mixed).alias("k", "x")).where("x is not null")
-    return rows.select("m", (F.col("tile") * TILE + F.col("k")).alias("i"), "x")
+
+    def last(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *_, (_, _, _, x, hit) = walked(rows)
+        i = np.flatnonzero(hit)
+        return pd.DataFrame({"m": pd.Series([key[0]] * len(i)), "i": key[1] * TILE + i, "x": x[i]})
+
+    return steps(parts(clips, canvas)).groupBy("m", "tile").applyInPandas(last, f"m {clips.schema['m'].dataType.simpleString()}, i int, x int")
 
 
 def mix_counts(clips: DataFrame, canvas: DataFrame) -> DataFrame:
     """Of each clip: written, truncated and overlapped frames, and clipped samples."""
-    empty = "cast(array() as array<struct<ord:bigint,written:int,over:int,clip:int>>)"
-    start = F.struct(F.array_repeat(F.lit(None).cast("int"), TILE).alias("x"), F.expr(empty).alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        total = F.zip_with(a["x"], p["s"], lambda x, y: F.coalesce(x, F.lit(0)) + y)
-        over = F.zip_with(a["x"], p["s"], lambda x, y: (x != 0) & y.isNotNull())
-        count = lambda values, fn: F.size(F.filter(values, fn)).cast("int")
-        mark = F.struct(
-            p["ord"].cast("long").alias("ord"), count(total, lambda t: t.isNotNull()).alias("written"), count(over, lambda o: o).alias("over"), count(total, lambda t: (t < LOW) | (t > HIGH)).alias("clip")
-        )
-        return F.struct(F.zip_with(a["x"], total, lambda x, t: F.when(t.isNull(), x).otherwise(clamp16(t))).alias("x"), F.concat(a["out"], F.array(mark)).alias("out"))
-
-    marks = tiles(clips, canvas).select("m", F.explode(F.aggregate("parts", start, step, lambda a: a["out"])).alias("k"))
-    marks = marks.groupBy("m", F.col("k.ord").alias("ord")).agg(F.sum("k.written").alias("written"), F.sum("k.over").alias("overlapped"), F.sum("k.clip").alias("clipped"))
+    own, kind = parts(clips, canvas), clips.schema["m"].dataType.simpleString()
+
+    def before(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [(*key, block, a, x[a:z].copy()) for block, a, z, x, _ in walked(rows) if block is not None]
+        return pd.DataFrame(found, columns=["m", "tile", "block", "at", "x"])
+
+    def marked(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        x, out = np.zeros(TILE, "i8"), []
+        for at, s in zip(start["at"], start["x"]):
+            x[at : at + len(s)] = s
+        for ord_, w, s in in_order(rows):
+            old, total = x[w], x[w] + s
+            out.append((key[0], ord_, len(s), int((old != 0).sum()), int(((total < LOW) | (total > HIGH)).sum())))
+            x[w] = np.clip(total, LOW, HIGH)
+        return pd.DataFrame(out, columns=["m", "ord", "written", "over", "clip"])
+
+    keys = ("m", "tile", "block")
+    starts = steps(own).groupBy("m", "tile").applyInPandas(before, f"m {kind}, tile int, block int, at int, x array<int>")
+    marks = own.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(marked, f"m {kind}, ord bigint, written int, over int, clip int")
+    marks = marks.groupBy("m", "ord").agg(F.sum("written").alias("written"), F.sum("over").alias("overlapped"), F.sum("clip").alias("clipped"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     every = clips.select("m", "ord", F.size("samples").alias("n"))
     return every.join(marks, ["m", "ord"], "left").select("m", "ord", zero("written"), (F.col("n") - F.coalesce("written", F.lit(0))).cast("long").alias("truncated"), zero("overlapped"), zero("clipped"))
