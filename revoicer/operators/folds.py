@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revoicer.config import Config
@@ -59,14 +59,14 @@ def ladder_levels(config: Config = Config()) -> list[tuple[int, float, float]]:
     return [(i, config.silence_db + up, config.min_silence_s if factor == 1.0 else max(0.1, config.min_silence_s * factor)) for i, (up, factor) in enumerate(LADDER)]
 
 
-def plan_batches(lines: Column, cap: int = 1000, fill: float = 0.8, most: int = 12, overhead: int = 7) -> Column:
+def plan_batches(lines: Column, cap: int = 1000, fill: float = 0.8, most: int = 12, overhead: int = 7, alone: bool = False) -> Column:
     """Batch number of each line, greedily: ``lines`` is an ordered array of character
-    counts; a line longer than the cap raises."""
+    counts; a line longer than the cap raises, or with ``alone`` is a batch of its own."""
     budget = int(cap * fill)
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(0).alias("g"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def step(s: Column, length: Column) -> Column:
-        checked = F.when(length > cap, F.raise_error(F.lit("a line is longer than the cap")).cast("int")).otherwise(length)
+        checked = length if alone else F.when(length > cap, F.raise_error(F.lit("a line is longer than the cap")).cast("int")).otherwise(length)
         cost = checked + overhead
         close = (s["n"] > 0) & ((s["used"] + cost > budget) | (s["n"] >= most))
         g = s["g"] + close.cast("int")
@@ -76,16 +76,17 @@ def plan_batches(lines: Column, cap: int = 1000, fill: float = 0.8, most: int =
 
 
 def batches(segments: DataFrame, cap: int = 1000, fill: float = 0.8, most: int = 12, context: int = 2, text: str = "text") -> DataFrame:
-    """m, batch, payload ids, context ids (trimmed to the cap, nearest first) and line ids."""
+    """m, batch, payload ids, context ids (trimmed to the cap, nearest first) and line ids. A
+    line longer than the cap is a batch of its own, without context: ``pieces`` cuts it."""
     own = segments.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("id", F.char_length(F.trim(text)).alias("n")))).alias("rows"))
-    lengths = F.transform("rows", lambda r: r["n"])
-    own = own.withColumn("g", plan_batches(lengths, cap, fill, most)).withColumn("at", F.sequence(F.lit(1), F.size("rows")))
-    line = F.zip_with("rows", "at", lambda r, i: F.struct(i.alias("at"), r["id"].alias("id"), r["n"].alias("n"), F.element_at("g", i).alias("g")))
-    own = own.select("m", line.alias("lines")).withColumn("batch", F.explode(F.array_distinct(F.transform("lines", lambda x: x["g"]))))
-    payload = F.filter("lines", lambda x: x["g"] == F.col("batch"))
-    own = own.withColumn("payload", payload)
+    g = plan_batches(F.transform("rows", lambda r: r["n"]), cap, fill, most, alone=True)
+    lines = own.select("m", F.posexplode(F.arrays_zip("rows", g.alias("g"))).alias("at", "x")).select("m", F.col("x.g").alias("batch"), F.struct("at", "x.rows.id", "x.rows.n").alias("x"))
+    w = Window.partitionBy("m").orderBy("x.at")
+    beside = lambda fn: F.slice(F.array(*[fn("x", d).over(w) for d in range(1, max(1, context) + 1)]), 1, context)
+    lines = lines.withColumns({"before": beside(F.lag), "after": beside(F.lead)})
+    own = lines.groupBy("m", "batch").agg(F.array_sort(F.collect_list("x")).alias("payload"), F.min_by("before", "x.at").alias("before"), F.max_by("after", "x.at").alias("after"))
     low, high = F.col("payload")[0]["at"], F.element_at("payload", -1)["at"]
-    near = F.filter("lines", lambda x: (x["g"] != F.col("batch")) & (x["at"] >= low - context) & (x["at"] <= high + context))
+    near = F.filter(F.concat("before", "after"), lambda x: x.isNotNull())
     # A sort by distance then place; a line that does not fit is left out, later ones may fit.
     by_distance = F.array_sort(F.transform(near, lambda x: F.struct(F.greatest(low - x["at"], x["at"] - high).alias("d"), x["at"].alias("at"), x["id"].alias("id"), x["n"].alias("n"))))
     used = F.aggregate("payload", F.lit(0), lambda a, x: (a + x["n"] + 7).cast("int"))
@@ -100,6 +101,14 @@ def batches(segments: DataFrame, cap: int = 1000, fill: float = 0.8, most: int =
     return own.select("m", "batch", ids.alias("payload_ids"), chosen.alias("context_ids"), F.array_sort(F.concat(ids, chosen)).alias("line_ids"))
 
 
+def pieces(text: Column, cap: int) -> Column:
+    """``array<struct<text, gap>>``: a text in pieces of at most cap characters, cut where
+    white space is (which is the gap after a piece), or hard within a word beyond the cap."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)(?:\S.{{0,{cap - 1}}}(?<=\S)(?=\s|\z)|\S{{{cap}}})\s*"), F.lit(0))
+    cut = F.transform(found, lambda x: F.struct(F.regexp_replace(x, r"\s+\z", "").alias("text"), F.regexp_extract(x, r"(\s*)\z", 1).alias("gap")))
+    return F.when(F.char_length(text) > cap, cut).otherwise(F.array(F.struct(text.alias("text"), F.lit("").alias("gap"))))
+
+
 def render_batch(texts: Column) -> Column:
     """One line bare, several as ``[n] text``."""
     many = F.array_join(F.transform(texts, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.trim(x))), "\n")
