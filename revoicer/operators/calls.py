@@ -67,7 +67,8 @@ def translate_segments(segments: DataFrame, backend: Backend, config: Config = C
 
     Round one sends batches; those whose reply does not give each line back go again in
     round two, a line each. Only payload lines are taken; context lines were sent for
-    their sense. The counters: batches planned, parsed and fallen back, requests, characters.
+    their sense. A text longer than the model takes is sent in pieces, whose replies are
+    joined. The counters: batches planned, parsed and fallen back, requests, characters.
     """
     cap = CHAR_CAPS[config.translate_model]
     own = segments.select("m", "id", F.trim("text").alias("text"))
@@ -76,20 +77,29 @@ def translate_segments(segments: DataFrame, backend: Backend, config: Config = C
     lines = plan.select("m", "batch", F.posexplode("line_ids").alias("n", "id")).join(own.withColumn("id", F.col("id").cast("long")), ["m", "id"])
     bodies = lines.groupBy("m", "batch").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("l")).select("m", "batch", folds.render_batch(F.transform("l", lambda x: x["text"])).alias("text"))
     with_args = lambda df: check_translate(df.withColumns({"target": F.lit(config.target_lang), "mode": F.lit(config.translate_mode)}), config.translate_model)
-    first = backend(with_args(bodies.withColumnRenamed("batch", "id"))).select("m", F.col("id").alias("batch"), F.col("text").alias("body"), "reply")
+
+    def asked(df: DataFrame, key: str) -> DataFrame:
+        """(m, key, reply, requests, chars) of texts (m, key, text)."""
+        cut = df.select("m", F.col(key).alias("id"), F.posexplode(folds.pieces(F.col("text"), cap)).alias("piece", "x")).select("m", "id", "piece", "x.text", "x.gap")
+        got = backend(with_args(cut)).groupBy("m", "id").agg(F.array_sort(F.collect_list(F.struct("piece", "gap", "reply"))).alias("l"), F.count(F.lit(1)).alias("requests"), F.sum(F.char_length("text")).alias("chars"))
+        whole = F.array_join(F.transform("l", lambda x: F.concat(F.trim(x["reply"]), x["gap"])), "")
+        reply = F.when(F.size("l") == 1, F.col("l")[0]["reply"]).when(~F.exists("l", lambda x: x["reply"].isNull()), whole)
+        return got.select("m", F.col("id").alias(key), reply.alias("reply"), "requests", "chars")
+
+    first = asked(bodies, "batch")
     parsed = plan.join(first, ["m", "batch"]).withColumn("lines", folds.parse_batch(F.coalesce("reply", F.lit("")), F.size("line_ids")))
     good = parsed.where("lines is not null").select("m", F.col("payload_ids").alias("p"), F.explode(F.arrays_zip("line_ids", "lines")).alias("x")).where(F.array_contains("p", F.col("x.line_ids"))).select("m", F.col("x.line_ids").cast("int").alias("id"), F.col("x.lines").alias("translation"))
     lost = parsed.where("lines is null").select("m", F.explode("payload_ids").alias("id")).join(own.withColumn("id", F.col("id").cast("long")), ["m", "id"])
-    second = backend(with_args(lost)).select("m", F.col("id").cast("int").alias("id"), F.col("text").alias("body"), F.trim(F.coalesce("reply", F.lit(""))).alias("translation"))
+    second = asked(lost, "id").select("m", F.col("id").cast("int").alias("id"), F.trim(F.coalesce("reply", F.lit(""))).alias("translation"), "requests", "chars")
     counts = parsed.groupBy("m").agg(
         F.count(F.lit(1)).alias("batches_planned"), F.count_if(F.col("lines").isNotNull()).alias("batches_parsed"), F.count_if(F.col("lines").isNull()).alias("batches_fell_back"),
-        F.sum(F.size("context_ids")).alias("context_lines"), F.sum(F.char_length("body")).alias("chars1"), F.count_if(F.size("line_ids") == 1).alias("single1"),
+        F.sum(F.size("context_ids")).alias("context_lines"), F.sum("chars").alias("chars1"), F.sum("requests").alias("n1"), F.sum(F.when(F.size("line_ids") == 1, F.col("requests")).otherwise(0)).alias("single1"),
     )
-    again = second.groupBy("m").agg(F.count(F.lit(1)).alias("n2"), F.sum(F.char_length("body")).alias("chars2"))
+    again = second.groupBy("m").agg(F.sum("requests").alias("n2"), F.sum("chars").alias("chars2"))
     payload = own.groupBy("m").agg(F.sum(F.char_length("text")).alias("payload_chars"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     stats = counts.join(again, "m", "left").join(payload, "m").select(
-        "m", "batches_planned", "batches_parsed", "batches_fell_back", "context_lines", (F.col("batches_planned") + zero("n2")).alias("requests"), (F.col("single1") + zero("n2")).alias("single_line_requests"),
+        "m", "batches_planned", "batches_parsed", "batches_fell_back", "context_lines", (F.col("n1") + zero("n2")).alias("requests"), (F.col("single1") + zero("n2")).alias("single_line_requests"),
         (F.col("chars1") + zero("chars2")).alias("request_chars"), "payload_chars", (F.col("chars1") + zero("chars2") - F.col("payload_chars")).alias("overhead_chars"),
     )
     return good.unionByName(second.select("m", "id", "translation")), stats

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from revoicer.operators import pcm
+from revoicer.config import Config
+from revoicer.operators import calls, folds, pcm
 
 
 def test_many_clips_of_a_tile_meet_block_by_block(spark, monkeypatch):
@@ -27,3 +28,20 @@ def test_many_clips_of_a_tile_meet_block_by_block(spark, monkeypatch):
     assert max(r.n for r in held) == 3 and max(r.most for r in held) < 25
     assert {(r.m, r.i): r.x for r in pcm.mix(clips, canvas).collect()} == frames
     assert {(r.m, r.ord): (r.written, r.truncated, r.overlapped, r.clipped) for r in pcm.mix_counts(clips, canvas).collect()} == counts
+
+
+def test_a_text_longer_than_the_model_takes_goes_in_pieces(spark):
+    long = " ".join(f"w{i}" for i in range(700)) + "  " + "z" * 2300 + "\te"
+    texts = ["short", long, "x" * 1999, "end", "more"]
+    rows = spark.createDataFrame([(m, i, t) for m in (1, 3) for i, t in enumerate(texts)], "m long, id int, text string")
+    cut = rows.where("m = 1 and id = 1").select(folds.pieces(F.col("text"), 2000).alias("p")).first().p
+    assert "".join(x.text + x.gap for x in cut) == long and len(cut) > 2 and max(len(x.text) for x in cut) == 2000 and all(x.text == x.text.strip() for x in cut)
+    plan = {r.batch: r for r in folds.batches(rows.where("m = 1"), cap=2000, most=4).collect()}
+    assert {b: (r.payload_ids, r.context_ids) for b, r in plan.items()} == {0: ([0], []), 1: ([1], []), 2: ([2], []), 3: ([3, 4], [])}
+
+    def backend(df):  # medium 3 loses a marker where several lines are sent
+        return df.withColumn("reply", F.upper(F.when((F.col("m") == 3) & F.col("text").startswith("[1]"), F.regexp_replace("text", r"\[2\]", "")).otherwise(F.col("text"))))
+
+    found, counters = calls.translate_segments(rows, backend, Config(translate_model="translate-long", translate_mode="formal"))
+    assert {(r.m, r.id): r.translation for r in found.collect()} == {(m, i): t.upper() for m in (1, 3) for i, t in enumerate(texts)}
+    assert {r.m: (r.batches_planned, r.requests) for r in counters.collect()} == {1: (4, 3 + len(cut)), 3: (4, 3 + len(cut) + 2)}
