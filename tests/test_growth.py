@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from revoicer.config import Config
-from revoicer.operators import calls, folds, pcm
+from revoicer.operators import calls, folds, pcm, stats
 
 
 def test_many_clips_of_a_tile_meet_block_by_block(spark, monkeypatch):
@@ -45,3 +45,23 @@ def test_a_text_longer_than_the_model_takes_goes_in_pieces(spark):
     found, counters = calls.translate_segments(rows, backend, Config(translate_model="translate-long", translate_mode="formal"))
     assert {(r.m, r.id): r.translation for r in found.collect()} == {(m, i): t.upper() for m in (1, 3) for i, t in enumerate(texts)}
     assert {r.m: (r.batches_planned, r.requests) for r in counters.collect()} == {1: (4, 3 + len(cut)), 3: (4, 3 + len(cut) + 2)}
+
+
+def test_percentiles_of_large_groups_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(stats, "LARGE", 20)
+    monkeypatch.setattr(stats, "SECOND", 4)
+    draw = random.Random(3)
+    kinds = {
+        "wide": lambda: draw.choice((-1, 1)) * 10 ** draw.uniform(-300, 300), "ties": lambda: float(draw.randrange(3)), "near": lambda: 1 + draw.randrange(60) * 2.0**-52,
+        "one": lambda: 7.5, "odd": lambda: draw.choice((float("inf"), float("-inf"), float("nan"), -0.0, 1.0, None)), "none": lambda: None, None: lambda: draw.gauss(0, 9),
+    }
+    rows = [(k, f(), draw.random()) for k, f in kinds.items() for _ in range(301)] + [("few", float(i), 1.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(3)
+    wanted = [("v50", "v", 50), ("v95", "v", 95), ("v0", "v", 0), ("w99", "w", 99)]
+    out = stats.grouped(df, ["k"], F.count(F.lit(1)).alias("n"), *[stats.Percentile(*w) for w in wanted])
+    assert out.columns == ["k", "n", "v50", "v95", "v0", "w99"]
+    plain = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[stats.percentile(v, p).alias(n) for n, v, p in wanted])
+    shown = lambda x: {r.k: tuple(map(str, r)) for r in x.collect()}
+    assert shown(out) == shown(plain) and len(shown(out)) == 8
+    fits = df.where("k = 'ties'").select("k", F.lit(1.0).alias("target"), F.col("v").alias("achieved"))
+    assert stats.drift_block(fits, ["k"]).first().drift_p50 in (0.0, 100.0)
