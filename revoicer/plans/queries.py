@@ -107,7 +107,7 @@ def stage_latency(spark, d):
 
 @query(f"WITH {CALLS} SELECT stage, {r6('quantile_cont(latency_s, 0.5)=p50', 'quantile_cont(latency_s, 0.95)=p95', 'quantile_cont(latency_s, 0.99)=p99', 'avg(latency_s)=mean')} FROM calls GROUP BY 1")
 def percentiles_by_stage(spark, d):
-    return fx.calls(spark, d).groupBy("stage").agg(stats.percentile("latency_s", 50).alias("p50"), stats.percentile("latency_s", 95).alias("p95"), stats.percentile("latency_s", 99).alias("p99"), F.avg("latency_s").alias("mean"))
+    return stats.grouped(fx.calls(spark, d), ["stage"], *[stats.Percentile(f"p{p}", "latency_s", p) for p in (50, 95, 99)], F.avg("latency_s").alias("mean"))
 
 
 @query(f"WITH {CALLS} SELECT stage, {r6('min(latency_s)=least', 'max(latency_s)=most', 'avg(latency_s)=mean', 'stddev_samp(latency_s)=stdev', 'max(latency_s) - min(latency_s)=spread', '(max(latency_s) - min(latency_s)) / avg(latency_s) * 100=spread_pct')}, count(DISTINCT latency_s) = 1 AS identical FROM calls GROUP BY 1")
